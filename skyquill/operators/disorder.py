@@ -58,6 +58,7 @@ class SlackFold:
             "punct": punct,
             "slack": np.r_[self.slack, slack][count],
             "progress": np.r_[self.progress, progress][count],
+            "prior": np.r_[self.progress, progress][count - advance],
         }
         tail = ts[at[-1] + 1:] if len(at) else ts
         if len(at):
@@ -78,16 +79,16 @@ def _longs(batch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _carried_highest(rows: DataFrame) -> dict[int, int]:
-    carried, highest = {}, 0
+def _carried_highest(rows: DataFrame, highest: int = 0) -> dict[int, int]:
+    carried = {}
     for part, top in sorted(tuple(r) for r in rows.groupBy(PART).agg(F.max("__ts")).collect()):
         carried[part] = highest
         highest = max(highest, top)
     return carried
 
 
-def _carried_slack(rows: DataFrame, highest: dict[int, int]) -> dict[int, tuple[int, int]]:
-    """Per partition the open segment minimum and the slack at its start."""
+def _carried_slack(rows: DataFrame, highest: dict[int, int], segment: int = _NONE, slack: int = 0):
+    """Per partition the open segment minimum and the slack at its start; then both after the last one."""
 
     def summarise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, top, head_min, first, delay, tail = None, 0, _NONE, None, 0, _NONE
@@ -126,7 +127,7 @@ def _carried_slack(rows: DataFrame, highest: dict[int, int]) -> dict[int, tuple[
                                   ("delay", pa.int64()), ("tail", pa.int64())]))
 
     found = rows.select(PART, "__ts").mapInArrow(summarise, "part int, head long, first long, delay long, tail long")
-    carried, segment, slack = {}, _NONE, 0
+    carried = {}
     for r in sorted(found.collect(), key=lambda r: r["part"]):
         carried[r["part"]] = (segment, slack)
         if r["first"] is None:
@@ -134,10 +135,10 @@ def _carried_slack(rows: DataFrame, highest: dict[int, int]) -> dict[int, tuple[
         else:
             slack = max(slack, r["first"] - min(segment, r["head"]), r["delay"])
             segment = r["tail"]
-    return carried
+    return carried, (segment, slack)
 
 
-def _carried_progress(rows: DataFrame, start) -> tuple[dict[int, int], dict[int, int], int]:
+def _carried_progress(rows: DataFrame, start, progress: int = 0) -> tuple[dict[int, int], dict[int, int], int]:
     """Progress at the start of every partition, highest punctuation inside it, and the final progress."""
 
     def summarise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +156,7 @@ def _carried_progress(rows: DataFrame, start) -> tuple[dict[int, int], dict[int,
             yield pa.RecordBatch.from_pydict({"part": [part], "best": [best]},
                                              schema=pa.schema([("part", pa.int32()), ("best", pa.int64())]))
 
-    before, inside, progress = {}, {}, 0
+    before, inside = {}, {}
     found = rows.select(PART, "__ts").mapInArrow(summarise, "part int, best long").collect()
     for part, best in sorted(tuple(r) for r in found):
         before[part], inside[part] = progress, best
@@ -166,16 +167,19 @@ def _carried_progress(rows: DataFrame, start) -> tuple[dict[int, int], dict[int,
 class _Passes:
     """Rows in arrival order with the carried state of every range partition."""
 
-    def __init__(self, df: DataFrame, ts: str, order: Sequence[str]):
+    def __init__(self, df: DataFrame, ts: str, order: Sequence[str], initial: SlackFold | None = None):
+        initial = initial or SlackFold()
         self.columns = df.columns
         self.rows = range_ordered(df.withColumn("__ts", micros(df, ts)), order)
-        highest = _carried_highest(self.rows)
-        slack = _carried_slack(self.rows, highest)
+        highest = _carried_highest(self.rows, int(initial.highest))
+        slack, last = _carried_slack(self.rows, highest, int(initial.segment_min), int(initial.slack))
 
         def start(part: int) -> SlackFold:
             return SlackFold(highest[part], *slack[part])
 
-        self.before, self.inside, self.progress = _carried_progress(self.rows, start)
+        self.before, self.inside, self.progress = _carried_progress(self.rows, start, int(initial.progress))
+        top = self.rows.agg(F.max("__ts")).first()[0]
+        self.final = SlackFold(max(int(initial.highest), top or 0), *last, self.progress)
         before = self.before
 
         def resume(part: int) -> SlackFold:
@@ -186,14 +190,16 @@ class _Passes:
         self.resume = resume
 
 
-def kslack(df: DataFrame, ts: str, order: Sequence[str]) -> DataFrame:
-    """Add ``slack`` and ``progress`` after each row and ``is_late``, in arrival order ``order``.
+def kslack(df: DataFrame, ts: str, order: Sequence[str], initial: SlackFold | None = None) -> DataFrame:
+    """Add ``slack``, the ``prior_progress`` before and the ``progress`` after each row, and ``is_late``.
 
     A row is late when its event time is below the highest punctuation, the
-    largest of (highest event time - slack) seen at any advance so far.
+    largest of (highest event time - slack) seen at any advance so far. ``initial``
+    is the state after the rows of an earlier call.
     """
-    passes = _Passes(df, ts, order)
+    passes = _Passes(df, ts, order, initial)
     resume = passes.resume
+    added = ["slack", "prior_progress", "progress", "is_late"]
 
     def flag(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold = None
@@ -204,13 +210,33 @@ def kslack(df: DataFrame, ts: str, order: Sequence[str]) -> DataFrame:
             times = _longs(batch, "__ts")
             state = fold.feed(times)
             arrays = [batch.column(i) for i in range(batch.num_columns)]
-            arrays += [pa.array(state["slack"], pa.int64()), pa.array(state["progress"], pa.int64()),
-                       pa.array(times < state["progress"])]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "slack", "progress", "is_late"])
+            arrays += [pa.array(state[c], pa.int64()) for c in ("slack", "prior", "progress")]
+            arrays.append(pa.array(times < state["progress"]))
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, *added])
+
+    schema = T.StructType([*passes.rows.schema.fields, *[T.StructField(c, T.LongType()) for c in added[:3]],
+                           T.StructField("is_late", T.BooleanType())])
+    return passes.rows.mapInArrow(flag, schema).select(*passes.columns, *added)
+
+
+def arrival_delay(df: DataFrame, ts: str, order: Sequence[str], name: str = "delay") -> DataFrame:
+    """How far each row lies behind the largest event time that arrived before or with it."""
+    rows = range_ordered(df.withColumn("__ts", micros(df, ts)), order)
+    highest = _carried_highest(rows)
+
+    def behind(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            top = highest[_one(batch, PART)] if top is None else top
+            ts = _longs(batch, "__ts")
+            high = np.maximum(np.maximum.accumulate(ts), top)
+            top = high[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(high - ts)], names=[*batch.schema.names, name])
 
-    schema = T.StructType([*passes.rows.schema.fields, T.StructField("slack", T.LongType()),
-                           T.StructField("progress", T.LongType()), T.StructField("is_late", T.BooleanType())])
-    return passes.rows.mapInArrow(flag, schema).select(*passes.columns, "slack", "progress", "is_late")
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.LongType())])
+    return rows.mapInArrow(behind, schema).select(*df.columns, name)
 
 
 def kslack_progress(df: DataFrame, ts: str, order: Sequence[str]) -> int:

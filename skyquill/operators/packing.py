@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import ceil, sqrt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,30 +36,30 @@ def pack_tiles(df: DataFrame, low: Sequence[str], high: Sequence[str], per_tile:
                name: str = "tile_id") -> DataFrame:
     """Sort-tile-recursive packing: slices along each axis in turn, ``per_tile`` rows per tile.
 
-    Every axis costs one range-partitioned sort. A slice has a known number of
-    rows, so the position in it follows from the global rank.
+    Every axis costs one range-partitioned sort. A slice is known by the global
+    rank of its first row and its number of rows, so the position in it follows
+    from the global rank. A slice that needs no further cut keeps its order.
     """
     axes = len(low)
-    rows = df
-    total = df.count()
-    slice_rows = max(1, total)
-    order: list[str] = []
+    start, size, pos = F.col("__start"), F.col("__size"), F.col("__rank") - F.col("__start")
+    rows = df.withColumns({
+        "__start": F.lit(0).cast("long"), "__size": F.lit(df.count()).cast("long"),
+        "__done": F.lit(False), "__kept": F.lit(0).cast("long")})
     for axis in range(axes):
-        rows = rows.withColumn("__center", F.col(low[axis]) + F.col(high[axis]))
-        rows = arrival_rank(rows, [*order, "__center", *ties], "__rank").drop("__center")
-        slices = ceil(sqrt(ceil(slice_rows / per_tile)))
-        if axis == axes - 1 or slices == 1 or slices * per_tile == slice_rows:
+        center = F.when(F.col("__done"), F.col("__kept")).otherwise(F.col(low[axis]) + F.col(high[axis]))
+        rows = arrival_rank(rows.withColumn("__center", center), ["__start", "__center", *ties], "__rank")
+        if axis == axes - 1:
             break
-        # slices of one parent begin at its first row; parents hold slice_rows rows each
-        parent = F.expr(f"__rank div {slice_rows}")
-        inside = F.col("__rank") - parent * slice_rows
-        rows = rows.withColumn(
-            "__slice", parent * ceil(slice_rows / (slices * per_tile)) + F.expr(f"(__rank % {slice_rows}) div {slices * per_tile}")
-        ) if axis else rows.withColumn("__slice", (inside - inside % (slices * per_tile)) / (slices * per_tile))
-        rows = rows.withColumn("__slice", F.col("__slice").cast("long")).drop("__rank")
-        order = ["__slice"]
-        slice_rows = slices * per_tile
-    return rows.withColumn(name, F.expr(f"__rank div {int(per_tile)}")).drop("__rank", "__slice")
+        width = F.ceil(F.sqrt(F.ceil(size / per_tile))) * per_tile
+        done = F.col("__done") | (width == per_tile) | (width == size)
+        offset = pos - pos % width
+        rows = rows.withColumns({
+            "__start": F.when(done, start).otherwise(start + offset).cast("long"),
+            "__size": F.when(done, size).otherwise(F.least(width, size - offset)).cast("long"),
+            "__done": done, "__kept": pos,
+        }).drop("__rank", "__center")
+    helpers = ["__start", "__size", "__done", "__kept", "__center", "__rank"]
+    return rows.withColumn(name, F.expr(f"__rank div {int(per_tile)}")).drop(*helpers)
 
 
 def tile_report(tiles: DataFrame, id_col: str, low: Sequence[str], high: Sequence[str], name: str = "tile_id") -> DataFrame:

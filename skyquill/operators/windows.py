@@ -178,32 +178,40 @@ def in_window_order(result: DataFrame, *ties: str) -> DataFrame:
     return result.orderBy("window_id", *ties)
 
 
-def pane_split(df: DataFrame, ts: str, windows: Windows, how: str = "adaptive", parts: int = 8) -> DataFrame:
-    """Part number of every row when panes are split over workers.
+def split_plan(rows: DataFrame, how: str = "adaptive", parts: int = 8, alpha: float = 1.0) -> DataFrame:
+    """Rows and number of parts of every pane (``pane_id``) when panes are split over workers.
 
     ``none`` keeps a pane whole, ``round_robin`` deals every pane into ``parts``,
-    ``adaptive`` deals only panes larger than mean + one standard deviation of
-    the pane sizes, into as many parts as bring each below that size.
+    ``adaptive`` deals only panes larger than (mean + one standard deviation) / ``alpha``
+    of the pane sizes, into as many parts as bring each below that size.
     """
-    rows = with_pane(df, ts, windows)
+    sizes = rows.groupBy("pane_id").agg(F.count("*").alias("n_rows"))
     if how == "none":
-        return rows.withColumn("part_id", F.lit(0))
-    deal = F.xxhash64(*[F.col(c) for c in df.columns])
+        return sizes.withColumn("n_parts", F.lit(1))
     if how == "round_robin":
-        return rows.withColumn("part_id", F.pmod(deal, F.lit(parts)).cast("int"))
+        return sizes.withColumn("n_parts", F.lit(parts))
     if how != "adaptive":
         raise ValueError(f"unknown split {how!r}")
-    sizes = rows.groupBy("pane_id").agg(F.count("*").alias("__n"))
-    limit = sizes.agg((F.avg("__n") + F.stddev_pop("__n")).alias("limit")).first()["limit"]
+    limit = sizes.agg(((F.avg("n_rows") + F.stddev_pop("n_rows")) / F.lit(alpha)).alias("limit")).first()["limit"]
     if limit is None:
-        return rows.withColumn("part_id", F.lit(0))
-    # only oversized panes are listed: fewer than rows / limit of them, so the list stays small
-    large = sizes.filter(F.col("__n") > limit).select(
-        "pane_id", F.ceil(F.col("__n") / F.lit(limit)).cast("int").alias("__parts"))
+        return sizes.withColumn("n_parts", F.lit(1))
+    return sizes.withColumn("n_parts", F.ceil(F.col("n_rows") / F.lit(limit)).cast("int"))
+
+
+def pane_split(df: DataFrame, ts: str, windows: Windows, how: str = "adaptive", parts: int = 8,
+               alpha: float = 1.0) -> DataFrame:
+    """Rows with their pane and the part of the pane they go to."""
+    rows = with_pane(df, ts, windows)
+    deal = F.xxhash64(*[F.col(c) for c in df.columns])
+    if how != "adaptive":
+        n = F.lit(1 if how == "none" else parts)
+        return rows.withColumn("part_id", F.pmod(deal, n).cast("int"))
+    # only panes that are split are listed, and their number shrinks as they grow
+    split = split_plan(rows, how, alpha=alpha).filter("n_parts > 1").select("pane_id", "n_parts")
     return (
-        rows.join(large, "pane_id", "left")
-        .withColumn("part_id", F.pmod(deal, F.coalesce("__parts", F.lit(1))).cast("int"))
-        .drop("__parts")
+        rows.join(split, "pane_id", "left")
+        .withColumn("part_id", F.pmod(deal, F.coalesce("n_parts", F.lit(1))).cast("int"))
+        .drop("n_parts")
     )
 
 

@@ -1 +1 @@
-
+"""Queries over the driver's tables and the SQL each is checked against."""
