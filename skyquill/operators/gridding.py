@@ -29,7 +29,7 @@ HOT_CELL_ROWS = 200_000
 
 def _level(lows: Sequence[Column], highs: Sequence[Column], floor: int) -> Column:
     side = F.greatest(*[h - l for l, h in zip(lows, highs)]) if len(lows) > 1 else highs[0] - lows[0]
-    exact = F.ceil(F.log(F.lit(_BASE), F.when(side > 0, side)))
+    exact = F.ceil(F.log(_BASE, F.when(side > 0, side)))
     return F.greatest(F.coalesce(exact, F.lit(_BOTTOM)), F.lit(floor)).cast("int")
 
 
