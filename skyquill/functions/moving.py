@@ -7,7 +7,7 @@ from functools import reduce
 from operator import add, and_
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyquill.functions.geometry import EPS, Box, _col, contains, intersects, same_shape, touches
@@ -274,24 +274,27 @@ def center_distance(a: MovingBox, b: MovingBox, during: Interval | None = None)
             .otherwise(primitive(h) - primitive(F.lit(0.0))))
 
 
-def intersection_area_in_time(a: MovingBox, b: MovingBox, during: Interval | None = None) -> Column:
-    """Area of the common region integrated over the time the boxes meet.
+def with_common_area(df: DataFrame, a: MovingBox, b: MovingBox, name: str, during: Interval | None = None) -> DataFrame:
+    """Add the area of the common region integrated over the time the boxes meet.
 
     On each axis the sides that bound the common region change where two sides
     cross. Between consecutive crossings every width is linear, so the area is
-    a polynomial of degree n, and Simpson's rule is exact for n <= 3.
+    a polynomial of degree n, and Simpson's rule is exact for n <= 3. The
+    crossing times are a column of their own, so they are worked out once per row.
     """
     if a.n > 3:
         raise ValueError("defined for up to three dimensions")
     meets, when = meeting_interval(a, b, during)
-    crossings = []
+    rows = df.withColumn("__when", F.when(meets, F.array(when.start, when.end)))
+    first, last = F.get("__when", F.lit(0)), F.get("__when", F.lit(1))
+    times = [first, last]
     for i in range(a.n):
         for x, vx, y, vy in ((a.low[i], a.v_low[i], b.low[i], b.v_low[i]),
                              (a.high[i], a.v_high[i], b.high[i], b.v_high[i])):
             slope = vx - vy
             t = ((y - vy * b.start) - (x - vx * a.start)) / F.when(slope != 0, slope)
-            crossings.append(F.coalesce(F.least(F.greatest(t, when.start), when.end), when.start))
-    times = F.array_sort(F.array(when.start, *crossings, when.end))
+            times.append(F.coalesce(F.least(F.greatest(t, first), last), first))
+    rows = rows.withColumn("__times", F.array_sort(F.array(*times)))
 
     def common(t: Column) -> Column:
         at_a, at_b = box_at(a, t), box_at(b, t)
@@ -299,11 +302,10 @@ def intersection_area_in_time(a: MovingBox, b: MovingBox, during: Interval | Non
                   for al, ah, bl, bh in zip(at_a.low, at_a.high, at_b.low, at_b.high)]
         return reduce(lambda p, q: p * q, widths)
 
-    def piece(t: Column, i: Column) -> Column:
-        t1 = F.get(times, i + 1)
-        h = F.coalesce(t1 - t, F.lit(0.0))
-        end = F.coalesce(t1, t)
-        return h / 6.0 * (common(t) + common((t + end) / 2.0) * 4.0 + common(end))
-
-    total = F.aggregate(F.transform(times, piece), F.lit(0.0), lambda acc, x: acc + x)
-    return F.when(meets, total).otherwise(F.lit(0.0))
+    # the area at every crossing and half-way to the next
+    knots = [F.get("__times", F.lit(i)) for i in range(len(times))]
+    rows = rows.withColumns({f"__at{i}": common(t) for i, t in enumerate(knots)})
+    pieces = [(u - t) / 6.0 * (F.col(f"__at{i}") + common((t + u) / 2.0) * 4.0 + F.col(f"__at{i + 1}"))
+              for i, (t, u) in enumerate(zip(knots, knots[1:]))]
+    total = F.when(F.col("__when").isNotNull(), reduce(add, pieces)).otherwise(F.lit(0.0))
+    return rows.withColumn(name, total).drop("__when", "__times", *[f"__at{i}" for i in range(len(times))])

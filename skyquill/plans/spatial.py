@@ -82,16 +82,16 @@ def _orient(a, b, c):
 
 _SIDES = """WITH {boxes}, {segments}, corners AS (
   SELECT vec_id, x_lo, y_lo, x_hi, y_hi, unnest([
-    {{'ax': x_lo, 'ay': y_lo, 'bx': x_lo, 'by': y_hi}}, {{'ax': x_lo, 'ay': y_hi, 'bx': x_hi, 'by': y_hi}},
-    {{'ax': x_hi, 'ay': y_hi, 'bx': x_hi, 'by': y_lo}}, {{'ax': x_hi, 'ay': y_lo, 'bx': x_lo, 'by': y_lo}}]) AS s FROM bx),
-sides AS (SELECT vec_id, x_lo, y_lo, x_hi, y_hi, s.ax AS ax, s.ay AS ay, s.bx AS bx, s.by AS by FROM corners)
+    {{'cx': x_lo, 'cy': y_lo, 'dx': x_lo, 'dy': y_hi}}, {{'cx': x_lo, 'cy': y_hi, 'dx': x_hi, 'dy': y_hi}},
+    {{'cx': x_hi, 'cy': y_hi, 'dx': x_hi, 'dy': y_lo}}, {{'cx': x_hi, 'cy': y_lo, 'dx': x_lo, 'dy': y_lo}}]) AS s FROM bx),
+sides AS (SELECT vec_id, x_lo, y_lo, x_hi, y_hi, s.cx AS cx, s.cy AS cy, s.dx AS dx, s.dy AS dy FROM corners)
 SELECT DISTINCT segment_id, vec_id FROM sg, sides WHERE
   (sx BETWEEN x_lo AND x_hi AND sy BETWEEN y_lo AND y_hi) OR (ex BETWEEN x_lo AND x_hi AND ey BETWEEN y_lo AND y_hi)
   OR (sign({o1}) * sign({o2}) <= 0 AND sign({o3}) * sign({o4}) <= 0
-      AND least(sx, ex) <= greatest(ax, bx) AND least(ax, bx) <= greatest(sx, ex)
-      AND least(sy, ey) <= greatest(ay, by) AND least(ay, by) <= greatest(sy, ey))"""
-_SEGMENTS = _SIDES.format(boxes=BOXES, segments=SEGMENTS, o1=_orient("s", "e", "a"), o2=_orient("s", "e", "b"),
-                          o3=_orient("a", "b", "s"), o4=_orient("a", "b", "e"))
+      AND least(sx, ex) <= greatest(cx, dx) AND least(cx, dx) <= greatest(sx, ex)
+      AND least(sy, ey) <= greatest(cy, dy) AND least(cy, dy) <= greatest(sy, ey))"""
+_SEGMENTS = _SIDES.format(boxes=BOXES, segments=SEGMENTS, o1=_orient("s", "e", "c"), o2=_orient("s", "e", "d"),
+                          o3=_orient("c", "d", "s"), o4=_orient("c", "d", "e"))
 
 
 def self_join(spark, sf_dir):
