@@ -181,11 +181,11 @@ def segments_intersect(s: Segment, t: Segment) -> Column:
 
 
 def segment_intersects_box(s: Segment, b: Box) -> Column:
-    """An end inside the box or any side crossed."""
-    inside = contains(b, point(*s.start)) | contains(b, point(*s.end))
+    """The segment and the closed box share a point: nothing separates them, neither
+    an axis (their boxes meet) nor the segment's line (the corners are not all on one side)."""
     corners = [(b.low[0], b.low[1]), (b.low[0], b.high[1]), (b.high[0], b.high[1]), (b.high[0], b.low[1])]
-    sides = (segments_intersect(s, Segment(corners[i], corners[(i + 1) % 4])) for i in range(4))
-    return inside | reduce(or_, sides)
+    sides = [double_area(s.start, s.end, c) for c in corners]
+    return intersects(segment_box(s), b) & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
 
 
 def signed_line_distance(s: Segment, p: Sequence[Column]) -> Column:

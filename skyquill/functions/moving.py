@@ -148,20 +148,32 @@ def meeting_interval(a: MovingBox, b: MovingBox, during: Interval | None = None)
     bound; the boxes meet between the greatest lower and the least upper bound.
     Meeting only at the very end of the common time does not count.
     """
+    first, last, t1 = _meeting_bounds(a, b, during)
+    return (first <= last) & (first < t1), Interval(first, last)
+
+
+def _meeting_bounds(a: MovingBox, b: MovingBox, during: Interval | None) -> tuple[Column, Column, Column]:
     t0, t1 = _window(a, b, during)
-    lower, upper, possible = [t0], [t1], [t0 < t1]
+    lower, upper = [t0], [t1]
     sides = [(a.low[i], a.v_low[i], a.start, b.high[i], b.v_high[i], b.start) for i in range(a.n)]
     sides += [(b.low[i], b.v_low[i], b.start, a.high[i], a.v_high[i], a.start) for i in range(a.n)]
     for x, vx, sx, y, vy, sy in sides:
         # x + vx (t - sx) <= y + vy (t - sy)   <=>   slope * t <= room
         slope = vx - vy
         room = (y - vy * sy) - (x - vx * sx)
-        bound = room / F.when(slope != 0, slope)
-        upper.append(F.when(slope > 0, bound).otherwise(F.lit(FOREVER)))
-        lower.append(F.when(slope < 0, bound).otherwise(F.lit(-FOREVER)))
-        possible.append((slope != 0) | (room >= 0))
-    first, last = F.greatest(*lower), F.least(*upper)
-    return reduce(and_, possible) & (first <= last) & (first < t1), Interval(first, last)
+        lower.append(F.when(slope < 0, room / slope))  # null bounds are ignored
+        upper.append(F.when(slope > 0, room / slope).when((slope == 0) & (room < 0), F.lit(-FOREVER)))
+    return F.greatest(*lower), F.least(*upper), t1
+
+
+def with_meeting(df: DataFrame, a: MovingBox, b: MovingBox, during: Interval | None = None,
+                 names: tuple[str, str] = ("meet_from", "meet_to")) -> DataFrame:
+    """Rows whose two boxes meet, with the interval. The bounds are generated columns,
+    so they are worked out once per row and not again in every condition on them."""
+    first, last, t1 = _meeting_bounds(a, b, during)
+    bounds = F.struct(first.alias(names[0]), last.alias(names[1]), t1.alias("__until"))
+    found = df.select("*", F.inline(F.array(bounds)))
+    return found.filter((F.col(names[0]) <= F.col(names[1])) & (F.col(names[0]) < F.col("__until"))).drop("__until")
 
 
 def meets_in_time(a: MovingBox, b: MovingBox, during: Interval | None = None) -> Column:
@@ -274,19 +286,27 @@ def center_distance(a: MovingBox, b: MovingBox, during: Interval | None = None)
             .otherwise(primitive(h) - primitive(F.lit(0.0))))
 
 
-def with_common_area(df: DataFrame, a: MovingBox, b: MovingBox, name: str, during: Interval | None = None) -> DataFrame:
+def with_common_area(df: DataFrame, a: MovingBox, b: MovingBox, name: str, during: Interval | None = None,
+                     when: Interval | None = None) -> DataFrame:
     """Add the area of the common region integrated over the time the boxes meet.
 
     On each axis the sides that bound the common region change where two sides
-    cross. Between consecutive crossings every width is linear, so the area is
-    a polynomial of degree n, and Simpson's rule is exact for n <= 3. The
-    crossing times are a column of their own, so they are worked out once per row.
+    cross. Between consecutive crossings every width is linear, so its value
+    half-way is the mean of its ends and Simpson's rule is exact up to three
+    axes. ``when`` gives the meeting interval of rows already known to meet.
+    Crossing times and widths are generated columns: each is worked out once.
     """
     if a.n > 3:
         raise ValueError("defined for up to three dimensions")
-    meets, when = meeting_interval(a, b, during)
-    rows = df.withColumn("__when", F.when(meets, F.array(when.start, when.end)))
-    first, last = F.get("__when", F.lit(0)), F.get("__when", F.lit(1))
+    columns = df.columns
+    if when is None:
+        first, last, t1 = _meeting_bounds(a, b, during)
+        bounds = F.struct(first.alias("__first"), last.alias("__last"), t1.alias("__until"))
+        rows = df.select("*", F.inline(F.array(bounds)))
+        meets = (F.col("__first") <= F.col("__last")) & (F.col("__first") < F.col("__until"))
+    else:
+        rows, meets = df.withColumns({"__first": when.start, "__last": when.end}), F.lit(True)
+    first, last = F.col("__first"), F.col("__last")
     times = [first, last]
     for i in range(a.n):
         for x, vx, y, vy in ((a.low[i], a.v_low[i], b.low[i], b.v_low[i]),
@@ -294,18 +314,25 @@ def with_common_area(df: DataFrame, a: MovingBox, b: MovingBox, name: str, durin
             slope = vx - vy
             t = ((y - vy * b.start) - (x - vx * a.start)) / F.when(slope != 0, slope)
             times.append(F.coalesce(F.least(F.greatest(t, first), last), first))
-    rows = rows.withColumn("__times", F.array_sort(F.array(*times)))
-
-    def common(t: Column) -> Column:
-        at_a, at_b = box_at(a, t), box_at(b, t)
-        widths = [F.greatest(F.least(ah, bh) - F.greatest(al, bl), F.lit(0.0))
-                  for al, ah, bl, bh in zip(at_a.low, at_a.high, at_b.low, at_b.high)]
-        return reduce(lambda p, q: p * q, widths)
-
-    # the area at every crossing and half-way to the next
-    knots = [F.get("__times", F.lit(i)) for i in range(len(times))]
-    rows = rows.withColumns({f"__at{i}": common(t) for i, t in enumerate(knots)})
-    pieces = [(u - t) / 6.0 * (F.col(f"__at{i}") + common((t + u) / 2.0) * 4.0 + F.col(f"__at{i + 1}"))
-              for i, (t, u) in enumerate(zip(knots, knots[1:]))]
-    total = F.when(F.col("__when").isNotNull(), reduce(add, pieces)).otherwise(F.lit(0.0))
-    return rows.withColumn(name, total).drop("__when", "__times", *[f"__at{i}" for i in range(len(times))])
+    knots = range(len(times))
+    rows = rows.select("*", F.explode(F.array(F.array_sort(F.array(*times)))).alias("__times"))
+    rows = rows.select("*", F.inline(F.array(F.struct(*[F.get("__times", F.lit(k)).alias(f"__t{k}") for k in knots]))))
+    for i in range(a.n):
+        widths = []
+        for k in knots:
+            ta, tb = F.col(f"__t{k}") - a.start, F.col(f"__t{k}") - b.start
+            upper = F.least(a.high[i] + a.v_high[i] * ta, b.high[i] + b.v_high[i] * tb)
+            lower = F.greatest(a.low[i] + a.v_low[i] * ta, b.low[i] + b.v_low[i] * tb)
+            widths.append(F.greatest(upper - lower, F.lit(0.0)).alias(f"__w{i}_{k}"))
+        rows = rows.select("*", F.inline(F.array(F.struct(*widths))))
+
+    def product(pick) -> Column:
+        return reduce(lambda p, q: p * q, (pick(i) for i in range(a.n)))
+
+    pieces = []
+    for k in knots[:-1]:
+        at, to = (lambda i, k=k: F.col(f"__w{i}_{k}")), (lambda i, k=k: F.col(f"__w{i}_{k + 1}"))
+        half = product(lambda i: (at(i) + to(i)) / 2.0)
+        pieces.append((F.col(f"__t{k + 1}") - F.col(f"__t{k}")) / 6.0 * (product(at) + half * 4.0 + product(to)))
+    total = F.when(meets, reduce(add, pieces)).otherwise(F.lit(0.0))
+    return rows.select(*columns, total.alias(name))

@@ -17,7 +17,7 @@ from math import ceil, log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyquill.runtime import BROADCAST_ROWS
+from skyquill.runtime import BROADCAST_ROWS, spread
 
 _BASE = 4.0
 _DEPTH = 12
@@ -38,29 +38,30 @@ def _cell(coord: Column, level: Column) -> Column:
 
 
 class Grid:
-    """Levels in use on both sides, from one narrow aggregate per side."""
+    """Levels in use on both sides, from one narrow aggregate over both."""
 
     def __init__(self, left: DataFrame, right: DataFrame, axes: int):
         self.axes = axes
-        tops, reach = [], 0.0
-        levels = []
+        sides = []
         for side, name in ((left, "l"), (right, "r")):
             lows = [F.col(f"__{name}lo{i}") for i in range(axes)]
             highs = [F.col(f"__{name}hi{i}") for i in range(axes)]
             largest = F.greatest(F.lit(0.0), *[F.greatest(F.abs(lo), F.abs(hi)) for lo, hi in zip(lows, highs)])
-            found = (
-                side.groupBy(_level(lows, highs, _BOTTOM).alias("level"))
-                .agg(F.max(largest).alias("reach"))
-                .collect()  # a few dozen levels at most
-            )
-            levels.append({r["level"] for r in found})
-            tops += [r["level"] for r in found]
-            reach = max([reach, *[r["reach"] for r in found]])
-        top = max([t for t in tops if t > _BOTTOM], default=0)
+            sides.append(side.select(
+                F.lit(name).alias("side"), _level(lows, highs, _BOTTOM).alias("level"), largest.alias("reach")))
+        # a few dozen levels at most
+        found = sides[0].unionByName(sides[1]).groupBy("side", "level").agg(
+            F.max("reach").alias("reach"), F.count("*").alias("n")).collect()
+        top = max([r["level"] for r in found if r["level"] > _BOTTOM], default=0)
+        reach = max([r["reach"] for r in found], default=0.0)
         # cell numbers must stay exact integers in a double
         exact = ceil(log(reach, _BASE)) - 24 if reach > 0 else top - _DEPTH
         self.floor = max(top - _DEPTH, exact)
-        self.left_levels, self.right_levels = ({max(v, self.floor) for v in side} for side in levels)
+        self.left_levels, self.right_levels = (
+            {max(r["level"], self.floor) for r in found if r["side"] == name} for name in ("l", "r"))
+        left_rows = sum(r["n"] for r in found if r["side"] == "l")
+        #: no key can have more left rows than this
+        self.left_keys = left_rows * (1 + len(self.right_levels)) * 2 ** axes
 
     def keys(self, df: DataFrame, name: str) -> DataFrame:
         """One row per (role, level, cell). Role 0 pairs a left row with right rows of
@@ -133,7 +134,9 @@ def meeting_pairs(
         right = right.filter(F.col(f"__rlo{i}") <= F.col(f"__rhi{i}"))
     grid = Grid(left, right, axes)
     keys = [*extra, "__role", "__level", *[f"__c{i}" for i in range(axes)]]
-    l, r, keys = share_out(grid.keys(left, "l"), grid.keys(right, "r"), keys, hot_rows)
+    l, r = grid.keys(spread(left), "l"), grid.keys(right, "r")
+    if grid.left_keys > hot_rows:
+        l, r, keys = share_out(l, r, keys, hot_rows)
     joined = l.join(r, keys)
     overlap = reduce(lambda a, b: a & b, (
         (F.col(f"__llo{i}") <= F.col(f"__rhi{i}")) & (F.col(f"__rlo{i}") <= F.col(f"__lhi{i}")) for i in range(axes)))

@@ -15,7 +15,7 @@ from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,12 +28,14 @@ from skyquill.functions.kernels import (
     skyline_rows,
 )
 from skyquill.operators.ordering import arrival_rank
-from skyquill.runtime import BROADCAST_ROWS, at_most, checkpointed
+from skyquill.runtime import BROADCAST_ROWS, at_most, checkpointed, estimated_bytes, is_plain_scan, spread
 
 #: Survivors of one group that one task may finish alone.
 BLOCK_ROWS = 16_384
 #: Inputs smaller than this go to the local prune directly.
 PREFILTER_ROWS = 200_000
+#: Scans estimated below this are tried in one pass first.
+SMALL_BYTES = 64 << 20
 _PRUNE_BUFFER = 65_536
 
 
@@ -278,28 +280,50 @@ def evaluate(
     aggregate: PreferenceAggregate | None = None,
     *,
     block_rows: int = BLOCK_ROWS,
-    compact: bool = False,
+    compact_rows: int | None = None,
 ) -> DataFrame:
     """Run a preference aggregate per group of ``keys``.
 
-    ``compact`` says the input is already the small result of an earlier step
-    and cheap to read twice, so the local prune and the checkpoint are skipped.
+    ``compact_rows`` says the input is already the small result of an earlier
+    step, cheap to read twice and with at most that many rows, so the local
+    prune and the checkpoint are skipped.
     """
+    return evaluate_bounded(df, dims, keys, aggregate, block_rows, compact_rows)[0]
+
+
+def evaluate_bounded(
+    df: DataFrame, dims: Sequence[Dim | str], keys: Sequence[str] = (), aggregate: PreferenceAggregate | None = None,
+    block_rows: int = BLOCK_ROWS, compact_rows: int | None = None,
+) -> tuple[DataFrame, int]:
+    """As ``evaluate``, with an upper bound on the number of rows of the result."""
     dims, keys, aggregate = as_dims(dims), list(keys), aggregate or Skyline()
     names = _dim_names(dims)
     columns = df.columns
     rows = df.filter(usable(dims)).withColumns({n: d.value() for n, d in zip(names, dims)})
-    if not compact:
-        rows = _prefiltered(rows, keys, names)
-        rows = checkpointed(rows.mapInArrow(_pruner(keys, names, aggregate), rows.schema))
     output = columns + ([aggregate.score] if aggregate.score else [])
+    bound = compact_rows
 
     def oversized(candidates: DataFrame) -> DataFrame:
         grouped = candidates.groupBy(*keys) if keys else candidates.groupBy()
         return grouped.agg(F.count("*").alias("__rows")).filter(F.col("__rows") > block_rows)
 
-    if oversized(rows).isEmpty():
-        return _finish_small(rows, keys, names, aggregate).select(*output)
+    if compact_rows is None and is_plain_scan(df) and (estimated_bytes(df) or SMALL_BYTES) < SMALL_BYTES:
+        # a small scan: when every raw group fits a task, one pass finishes it
+        sizes = (rows.groupBy(*keys) if keys else rows.groupBy()).agg(F.count("*").alias("n"))
+        seen = sizes.agg(F.max("n").alias("largest"), F.sum("n").alias("n")).first()
+        if (seen["largest"] or 0) <= block_rows:
+            return _finish_small(rows, keys, names, aggregate).select(*output), seen["n"] or 0
+    if compact_rows is None:
+        if is_plain_scan(df):
+            rows = _prefiltered(rows, keys, names)
+        seen = Observation()
+        placed = spread(rows)
+        pruned = placed.mapInArrow(_pruner(keys, names, aggregate), rows.schema)
+        rows = checkpointed(pruned.observe(seen, F.count(F.lit(1)).alias("n")))
+        bound = seen.get["n"]
+
+    if bound <= block_rows or oversized(rows).isEmpty():
+        return _finish_small(rows, keys, names, aggregate).select(*output), bound
 
     # merge step: blocks of one group meet in one task each and prune again
     rows = checkpointed(rows.withColumn("__rid", F.monotonically_increasing_id()))
@@ -311,10 +335,10 @@ def evaluate(
     hot = checkpointed(oversized(rows))
     small = _finish_small(_without(rows, hot, keys).drop("__rid"), keys, names, aggregate).select(*output)
     if hot.isEmpty():
-        return small
+        return small, bound
     big = rows.join(hot.drop("__rows"), _on(rows, hot, keys), "left_semi") if keys else rows
     large = _finish_large(big, hot, keys, names, aggregate, block_rows)
-    return small.unionByName(large.select(*output))
+    return small.unionByName(large.select(*output)), bound
 
 
 def _without(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:

@@ -16,6 +16,7 @@ from skyquill.operators.preference import (
     PreferenceAggregate,
     Skyline,
     evaluate,
+    evaluate_bounded,
     top_delta,
 )
 from skyquill.runtime import checkpointed
@@ -117,10 +118,6 @@ def complete_windows(rows: DataFrame, ts: str, windows: Windows, progress: int |
     return ids.unionByName(tail)
 
 
-def _keep_complete(result: DataFrame, complete: DataFrame, windows: Windows) -> DataFrame:
-    return result.join(complete, "window_id", "left_semi")
-
-
 def pane_query(
     df: DataFrame, dims: Sequence[Dim | str], ts: str, windows: Windows, keys: Sequence[str] = (),
     aggregate: PreferenceAggregate | None = None, block_rows: int = BLOCK_ROWS,
@@ -129,11 +126,16 @@ def pane_query(
     return evaluate(with_pane(df, ts, windows), dims, [*keys, "pane_id"], aggregate, block_rows=block_rows)
 
 
-def _window_rows(df, dims, ts, windows, keys, block_rows) -> DataFrame:
-    panes = pane_query(df, dims, ts, windows, keys, Skyline(), block_rows)
-    if windows.per_window == 1 and windows.per_slide == 1:
-        return panes.withColumn("window_id", F.col("pane_id")).drop("pane_id")
-    return to_windows(checkpointed(panes), windows).drop("pane_id")
+def _window_rows(df, dims, ts, windows, keys, progress, block_rows) -> tuple[DataFrame, int]:
+    """Rows of the pane skylines, copied to their complete windows, and a bound on their number."""
+    complete = complete_windows(df, ts, windows, progress)
+    panes, bound = evaluate_bounded(
+        with_pane(df, ts, windows), dims, [*keys, "pane_id"], Skyline(), block_rows)
+    bound *= -(-windows.per_window // windows.per_slide)
+    if bound > block_rows:  # read twice below
+        panes = checkpointed(panes)
+    rows = to_windows(panes, windows).drop("pane_id")
+    return rows.join(complete, "window_id", "left_semi"), bound
 
 
 def window_skyline(
@@ -141,9 +143,8 @@ def window_skyline(
     progress: int | None = None, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Skyline of every complete window: pane skylines, copied to their windows and merged there."""
-    complete = complete_windows(df, ts, windows, progress)
-    rows = _keep_complete(_window_rows(df, dims, ts, windows, keys, block_rows), complete, windows)
-    return evaluate(rows, dims, [*keys, "window_id"], Skyline(), block_rows=block_rows, compact=True)
+    rows, bound = _window_rows(df, dims, ts, windows, keys, progress, block_rows)
+    return evaluate(rows, dims, [*keys, "window_id"], Skyline(), block_rows=block_rows, compact_rows=bound)
 
 
 def window_factors(
@@ -151,9 +152,8 @@ def window_factors(
     progress: int | None = None, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Candidates of every complete window with their dominance factor."""
-    complete = complete_windows(df, ts, windows, progress)
-    rows = _keep_complete(_window_rows(df, dims, ts, windows, keys, block_rows), complete, windows)
-    return evaluate(rows, dims, [*keys, "window_id"], DominanceFactor(), block_rows=block_rows, compact=True)
+    rows, bound = _window_rows(df, dims, ts, windows, keys, progress, block_rows)
+    return evaluate(rows, dims, [*keys, "window_id"], DominanceFactor(), block_rows=block_rows, compact_rows=bound)
 
 
 def window_top_delta(
@@ -161,9 +161,8 @@ def window_top_delta(
     keys: Sequence[str] = (), ties: Sequence[str] = (), progress: int | None = None, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The ``delta`` rows of smallest factor in every complete window."""
-    complete = complete_windows(df, ts, windows, progress)
-    rows = _keep_complete(_window_rows(df, dims, ts, windows, keys, block_rows), complete, windows)
-    return top_delta(rows, dims, delta, [*keys, "window_id"], ties, block_rows=block_rows, compact=True)
+    rows, bound = _window_rows(df, dims, ts, windows, keys, progress, block_rows)
+    return top_delta(rows, dims, delta, [*keys, "window_id"], ties, block_rows=block_rows, compact_rows=bound)
 
 
 def window_sizes(

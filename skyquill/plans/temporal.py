@@ -283,7 +283,7 @@ SELECT vec_id, round(CASE WHEN h <= 0 THEN 0 ELSE ((2 * a * h + b) * e - b * sqr
 def common_areas(spark, sf_dir):
     """Common area over time of every pair that meets."""
     found = versions.predictive_join(moving_objects(spark, sf_dir), moving_queries(spark, sf_dir), OBJECT(), QUERY(), 1.0)
-    return mv.with_common_area(found, OBJECT(), QUERY(), "area").select(*PAIR, F.round("area", 7).alias("area"))
+    return mv.with_common_area(found, OBJECT(), QUERY(), "area", when=mv.interval("meet_from", "meet_to")).select(*PAIR, F.round("area", 7).alias("area"))
 
 
 def _width(c, t):

@@ -48,3 +48,33 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def at_most(df: DataFrame, rows: int) -> bool:
     """True when ``df`` has no more than ``rows`` rows; reads no further than needed."""
     return df.limit(rows + 1).count() <= rows
+
+
+def _optimized(df: DataFrame):
+    try:
+        return df._jdf.queryExecution().optimizedPlan()
+    except AttributeError:  # remote sessions do not show their plans
+        return None
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size estimate. It only chooses between plans that are all exact."""
+    plan = _optimized(df)
+    return None if plan is None else int(str(plan.stats().sizeInBytes()))
+
+
+def is_plain_scan(df: DataFrame) -> bool:
+    """True when reading the input again costs a scan and nothing more."""
+    plan = _optimized(df)
+    if plan is None:
+        return False
+    nodes = {line.lstrip(" :+-").split(" ")[0].split("[")[0] for line in plan.toString().splitlines() if line.strip()}
+    return nodes <= {"Project", "Filter", "Relation", "LogicalRDD"}
+
+
+def spread(df: DataFrame, small: int = 256 << 20) -> DataFrame:
+    """Deal a small input, which may come in a single split, over all cores. Large inputs have splits enough."""
+    size = estimated_bytes(df)
+    if size is None or size > small:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
