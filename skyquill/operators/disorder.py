@@ -190,13 +190,19 @@ class _Passes:
         self.resume = resume
 
 
-def kslack(df: DataFrame, ts: str, order: Sequence[str], initial: SlackFold | None = None) -> DataFrame:
+def kslack(df: DataFrame, ts: str, order: Sequence[str]) -> DataFrame:
     """Add ``slack``, the ``prior_progress`` before and the ``progress`` after each row, and ``is_late``.
 
     A row is late when its event time is below the highest punctuation, the
-    largest of (highest event time - slack) seen at any advance so far. ``initial``
-    is the state after the rows of an earlier call.
+    largest of (highest event time - slack) seen at any advance so far.
     """
+    return kslack_with_state(df, ts, order)[0]
+
+
+def kslack_with_state(
+    df: DataFrame, ts: str, order: Sequence[str], initial: SlackFold | None = None,
+) -> tuple[DataFrame, SlackFold]:
+    """As ``kslack`` from the state after earlier rows, with the state after these."""
     passes = _Passes(df, ts, order, initial)
     resume = passes.resume
     added = ["slack", "prior_progress", "progress", "is_late"]
@@ -216,7 +222,7 @@ def kslack(df: DataFrame, ts: str, order: Sequence[str], initial: SlackFold | No
 
     schema = T.StructType([*passes.rows.schema.fields, *[T.StructField(c, T.LongType()) for c in added[:3]],
                            T.StructField("is_late", T.BooleanType())])
-    return passes.rows.mapInArrow(flag, schema).select(*passes.columns, *added)
+    return passes.rows.mapInArrow(flag, schema).select(*passes.columns, *added), passes.final
 
 
 def arrival_delay(df: DataFrame, ts: str, order: Sequence[str], name: str = "delay") -> DataFrame:
