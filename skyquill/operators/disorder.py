@@ -23,7 +23,8 @@ from skyquill.operators.ordering import PART, POS, range_ordered
 from skyquill.operators.windows import micros
 from skyquill.runtime import checkpointed
 
-_NONE = np.iinfo(np.int64).max
+_NONE = int(np.iinfo(np.int64).max)
+_LOWEST = int(np.iinfo(np.int64).min)
 #: Fixed values of the adaptive rule: proportional, integral and derivative gain, sampling period.
 GAINS = (6.0, 0.6, 0.2)
 SAMPLE_MICROS = 100_000
@@ -142,7 +143,7 @@ def _carried_progress(rows: DataFrame, start, progress: int = 0) -> tuple[dict[i
     """Progress at the start of every partition, highest punctuation inside it, and the final progress."""
 
     def summarise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, fold, best = None, None, 0
+        part, fold, best = None, None, _LOWEST
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -265,7 +266,7 @@ def _first_at_least(values: np.ndarray, start: np.ndarray, wanted: np.ndarray) -
     if not n:
         return found
     size = 1 << max(0, n - 1).bit_length()
-    tree = np.full(2 * size, np.iinfo(np.int64).min, dtype=np.int64)
+    tree = np.full(2 * size, _LOWEST, dtype=np.int64)
     tree[size:size + n] = values
     half = size
     while half > 1:
@@ -344,7 +345,7 @@ def _ladder(rows: DataFrame, resume) -> DataFrame:
     """Per partition the advances whose punctuation exceeds all earlier ones of that partition."""
 
     def climb(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fold, best = None, np.iinfo(np.int64).min
+        fold, best = None, _LOWEST
         for batch in batches:
             if not batch.num_rows:
                 continue
