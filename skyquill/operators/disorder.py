@@ -3,23 +3,24 @@
 The rules are a fold over arrival order. Over one global input they run as a
 few passes over range partitions: each pass folds its partition from a carried
 state, and only one summary row per partition reaches the driver, which chains
-them into the carried states of the next pass. Per-source forms shuffle by
-source and fold each source in arrival order.
+them into the carried states of the next pass. The adaptive rules are a control
+loop per source and run as a relay over the partitions of a source.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator, Sequence
 from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyquill.operators.ordering import PART, POS, range_ordered
+from skyquill.operators.relay import relay
 from skyquill.operators.windows import micros
 from skyquill.runtime import checkpointed
 
@@ -424,6 +425,12 @@ class AlphaControl:
         self.received = self.dropped = 0
         self.sampled = None
 
+    def state(self) -> list:
+        return [self.alpha, self.integral, self.last, self.received, self.dropped, self.sampled]
+
+    def restore(self, state: Sequence) -> None:
+        self.alpha, self.integral, self.last, self.received, self.dropped, self.sampled = state
+
     def due(self, gen: int) -> bool:
         """Called per row or at the first row of a slice; starts the clock at the first arrival."""
         if self.sampled is None:
@@ -515,17 +522,89 @@ class AdaptiveBuffer:
         return out
 
 
-def _per_source(df: DataFrame, ts: str, gen: str, source: str, order: Sequence[str]) -> DataFrame:
-    rows = df.withColumns({"__ts": micros(df, ts), "__gen": micros(df, gen)})
-    return rows.repartition(source).sortWithinPartitions(source, *order)
+class _SlackOfSource:
+    """Adaptive slack as a fold that can pause at a partition border."""
+
+    def __init__(self, target: float, gains, period: int, state: str | None):
+        self.slack = AdaptiveSlack(target, gains, period)
+        if state:
+            fold, control = json.loads(state)
+            f = self.slack.fold
+            f.highest, f.segment_min, f.slack, f.progress = fold
+            self.slack.control.restore(control)
+
+    def feed(self, rows: pa.RecordBatch, held: bool) -> list[pa.RecordBatch]:
+        late, alpha = self.slack.feed(_longs(rows, "__ts"), _longs(rows, "__gen"))
+        return [pa.RecordBatch.from_arrays([*rows.columns, pa.array(alpha), pa.array(late)],
+                                           names=[*rows.schema.names, "alpha", "is_late"])]
+
+    def end(self) -> list[pa.RecordBatch]:
+        return []
+
+    def pause(self) -> tuple[str, None]:
+        f = self.slack.fold
+        state = [int(f.highest), int(f.segment_min), int(f.slack), float(f.progress)]
+        return json.dumps([state, self.slack.control.state()]), None
+
+
+class _BufferOfSource:
+    """Reorder buffer as a fold that can pause; the rows it still holds go along."""
+
+    def __init__(self, target: float | None, gains, period: int, state: str | None):
+        self.buffer = AdaptiveBuffer(target, gains, period)
+        self.arrival = self.seq = 0
+        self.store: pa.Table | None = None
+        self.numbers = np.zeros(0, dtype=np.int64)
+        if state:
+            b = self.buffer
+            (b.highest, b.segment_min, b.slack, b.emitted), self.seq, control = json.loads(state)
+            if b.control:
+                b.control.restore(control)
+
+    def _keep(self, rows: pa.RecordBatch, numbers: np.ndarray) -> None:
+        table = pa.Table.from_batches([rows])
+        self.store = table if self.store is None else pa.concat_tables([self.store, table])
+        self.numbers = np.r_[self.numbers, numbers]
+
+    def feed(self, rows: pa.RecordBatch, held: bool) -> list[pa.RecordBatch]:
+        times = zip(_longs(rows, "__ts").tolist(), _longs(rows, "__gen").tolist())
+        self._keep(rows, np.arange(self.arrival, self.arrival + rows.num_rows))
+        if held:  # numbered again from 0, in arrival order and before all new rows
+            for t, g in times:
+                heappush(self.buffer.heap, (t, g, self.arrival))
+                self.arrival += 1
+            return []
+        left = []
+        for t, g in times:
+            left += self.buffer.push(t, g, self.arrival)
+            self.arrival += 1
+        return self._take(left)
+
+    def _take(self, left: list[tuple]) -> list[pa.RecordBatch]:
+        """Emitted rows in emission order; the store keeps the others."""
+        if not left:
+            return []
+        where = np.searchsorted(self.numbers, [row for _, row, _ in left])
+        out = self.store.take(where)
+        out = out.append_column("emit_seq", pa.array(np.arange(self.seq, self.seq + len(left))))
+        out = out.append_column("is_late", pa.array([late for _, _, late in left], pa.bool_()))
+        self.seq += len(left)
+        stay = np.ones(len(self.numbers), dtype=bool)
+        stay[where] = False
+        self.store, self.numbers = self.store.filter(pa.array(stay)), self.numbers[stay]
+        return out.combine_chunks().to_batches()
+
+    def end(self) -> list[pa.RecordBatch]:
+        return self._take(self.buffer.flush())
+
+    def pause(self) -> tuple[str, pa.Table | None]:
+        b = self.buffer
+        control = b.control.state() if b.control else None
+        return json.dumps([[b.highest, b.segment_min, b.slack, b.emitted], self.seq, control]), self.store
 
 
-def _source_slices(batch: pa.RecordBatch, source: str):
-    column = batch.column(source)
-    change = pc.not_equal(column[1:], column[:-1]) if batch.num_rows > 1 else pa.array([], pa.bool_())
-    cuts = np.flatnonzero(np.r_[True, change.to_numpy(zero_copy_only=False).astype(bool), True])
-    for lo, hi in zip(cuts[:-1], cuts[1:]):
-        yield column[int(lo)].as_py(), batch.slice(int(lo), int(hi - lo))
+def _timed(df: DataFrame, ts: str, gen: str) -> DataFrame:
+    return df.withColumns({"__ts": micros(df, ts), "__gen": micros(df, gen)})
 
 
 def adaptive_kslack(
@@ -535,23 +614,11 @@ def adaptive_kslack(
     """Slack scaled by (1 - alpha) per source, alpha steered to a ratio of late rows.
 
     Adds ``alpha`` and ``is_late``. The control loop of one source is sequential
-    by definition; its state is a few numbers, rows stream through it.
+    by definition; a source larger than a partition is relayed from one to the next.
     """
-    rows = _per_source(df, ts, gen, source, order)
-
-    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, state = None, None
-        for batch in batches:
-            for name, part in _source_slices(batch, source):
-                if state is None or name != current:
-                    current, state = name, AdaptiveSlack(target, gains, period)
-                late, alpha = state.feed(_longs(part, "__ts"), _longs(part, "__gen"))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(alpha), pa.array(late)],
-                                                 names=[*part.schema.names, "alpha", "is_late"])
-
-    schema = T.StructType([*rows.schema.fields, T.StructField("alpha", T.DoubleType()),
-                           T.StructField("is_late", T.BooleanType())])
-    return rows.mapInArrow(fold, schema).select(*df.columns, "alpha", "is_late")
+    added = [T.StructField("alpha", T.DoubleType()), T.StructField("is_late", T.BooleanType())]
+    out = relay(_timed(df, ts, gen), source, order, lambda state: _SlackOfSource(target, gains, period, state), added)
+    return out.drop("__ts", "__gen")
 
 
 def adaptive_reorder(
@@ -563,45 +630,9 @@ def adaptive_reorder(
     Rows come out with their ``emit_seq`` within the source and ``is_late``.
     Only buffered rows are held.
     """
-    rows = _per_source(df, ts, gen, source, order)
-    field_types = T.StructType([*rows.schema.fields, T.StructField("emit_seq", T.LongType()),
-                                T.StructField("is_late", T.BooleanType())])
-
-    def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, state, store, numbers, arrival, seq = None, None, None, None, 0, 0
-
-        def packed(left: list[tuple]) -> list[pa.RecordBatch]:
-            """Emitted rows in emission order; the store keeps the others."""
-            nonlocal store, numbers, seq
-            where = np.searchsorted(numbers, [row for _, row, _ in left])
-            out = store.take(where)
-            out = out.append_column("emit_seq", pa.array(np.arange(seq, seq + len(left))))
-            out = out.append_column("is_late", pa.array([late for _, _, late in left], pa.bool_()))
-            seq += len(left)
-            stay = np.ones(len(numbers), dtype=bool)
-            stay[where] = False
-            store, numbers = store.filter(pa.array(stay)), numbers[stay]
-            return out.to_batches()
-
-        for batch in batches:
-            for name, part in _source_slices(batch, source):
-                if state is None or name != current:
-                    if state is not None and (rest := state.flush()):
-                        yield from packed(rest)
-                    current, state, arrival, seq = name, AdaptiveBuffer(target, gains, period), 0, 0
-                    store, numbers = part.schema.empty_table(), np.zeros(0, dtype=np.int64)
-                store = pa.concat_tables([store, pa.Table.from_batches([part])])
-                numbers = np.r_[numbers, np.arange(arrival, arrival + part.num_rows)]
-                left = []
-                for t, g in zip(_longs(part, "__ts").tolist(), _longs(part, "__gen").tolist()):
-                    left += state.push(t, g, arrival)
-                    arrival += 1
-                if left:
-                    yield from packed(left)
-        if state is not None and (rest := state.flush()):
-            yield from packed(rest)
-
-    return rows.mapInArrow(emit, field_types).select(*df.columns, "emit_seq", "is_late")
+    added = [T.StructField("emit_seq", T.LongType()), T.StructField("is_late", T.BooleanType())]
+    out = relay(_timed(df, ts, gen), source, order, lambda state: _BufferOfSource(target, gains, period, state), added)
+    return out.drop("__ts", "__gen")
 
 
 def late_ratio(flagged: DataFrame) -> DataFrame:

@@ -28,14 +28,6 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def _control_state(control) -> tuple:
-    return (control.alpha, control.integral, control.last, control.received, control.dropped, control.sampled)
-
-
-def _load_control(control, values) -> None:
-    (control.alpha, control.integral, control.last, control.received, control.dropped, control.sampled) = values
-
-
 def _named(rows: Iterator[pd.DataFrame], names: Sequence[str]) -> pd.DataFrame:
     """The rows of a key in this batch; columns whose names begin with "_" arrive without them."""
     data = pd.concat(list(rows))
@@ -61,14 +53,14 @@ class SlackProcessor(StatefulProcessor):
             saved = self.state.get()
             fold.highest, fold.segment_min, fold.slack = (int(v) for v in saved[:3])
             fold.progress = saved[3] if self.target else int(saved[3])
-            _load_control(slack.control, saved[4:])
+            slack.control.restore(saved[4:])
         ts = data["__ts"].to_numpy(np.int64)
         if self.target:
             late, _ = slack.feed(ts, data["__gen"].to_numpy(np.int64))
         else:
             late = ts < fold.feed(ts)["progress"]
         self.state.update((int(fold.highest), int(fold.segment_min), int(fold.slack), float(fold.progress),
-                           *_control_state(slack.control)))
+                           *slack.control.state()))
         yield data[self.columns].assign(is_late=late)
 
     def close(self) -> None:
@@ -104,7 +96,7 @@ class ReorderProcessor(StatefulProcessor):
             saved = self.state.get()
             buffer.highest, buffer.segment_min, buffer.slack, buffer.emitted, seq, arrival = (int(v) for v in saved[:6])
             if buffer.control:
-                _load_control(buffer.control, saved[6:])
+                buffer.control.restore(saved[6:])
             for row in self.waiting.get():
                 held[row[-1]] = row[:-1]
                 buffer.heap.append((row[ts_at], row[gen_at], row[-1]))
@@ -122,7 +114,7 @@ class ReorderProcessor(StatefulProcessor):
             seq += 1
         control = buffer.control or AdaptiveBuffer(0.5).control
         self.state.update((int(buffer.highest), int(buffer.segment_min), int(buffer.slack), int(buffer.emitted), seq, arrival,
-                           *_control_state(control)))
+                           *control.state()))
         self.waiting.clear()
         if held:
             self.waiting.put([(*row, number) for number, row in held.items()])
