@@ -25,6 +25,7 @@ _BOTTOM = -200
 
 #: Rows of one cell above which the cell is shared out over several keys.
 HOT_CELL_ROWS = 200_000
+HOT_SAMPLE_ROWS = 5_000_000
 
 
 def _level(lows: Sequence[Column], highs: Sequence[Column], floor: int) -> Column:
@@ -59,9 +60,9 @@ class Grid:
         self.floor = max(top - _DEPTH, exact)
         self.left_levels, self.right_levels = (
             {max(r["level"], self.floor) for r in found if r["side"] == name} for name in ("l", "r"))
-        left_rows = sum(r["n"] for r in found if r["side"] == "l")
+        self.left_rows = sum(r["n"] for r in found if r["side"] == "l")
         #: no key can have more left rows than this
-        self.left_keys = left_rows * (1 + len(self.right_levels)) * 2 ** axes
+        self.left_keys = self.left_rows * (1 + len(self.right_levels)) * 2 ** axes
 
     def keys(self, df: DataFrame, name: str) -> DataFrame:
         """One row per (role, level, cell). Role 0 pairs a left row with right rows of
@@ -93,16 +94,20 @@ class Grid:
             F.col(f"__c{i}") == _cell(corner[i], F.col("__level")) for i in range(self.axes)))
 
 
-def share_out(left: DataFrame, right: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Split keys with more than ``limit`` left rows: left rows are dealt over shares, right rows go to each.
-
-    The list of such keys has fewer than (left rows / limit) entries; it is
-    broadcast only below the row bound and joined by shuffle above it.
-    """
-    hot = (
+def hot_keys(left: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """Keys with about ``limit`` rows or more and the number of shares each needs."""
+    return (
         left.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > limit)
         .select(*keys, F.ceil(F.col("__n") / limit).cast("int").alias("__shares"))
     )
+
+
+def share_out(left: DataFrame, right: DataFrame, hot: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Split hot keys: their left rows are dealt over shares, right rows go to each share.
+
+    There are fewer hot keys than (left rows / limit); they are broadcast only
+    below the row bound and joined by shuffle above it.
+    """
     found = hot.limit(BROADCAST_ROWS + 1).collect()
     if not found:
         return left, right, keys
@@ -136,7 +141,11 @@ def meeting_pairs(
     keys = [*extra, "__role", "__level", *[f"__c{i}" for i in range(axes)]]
     l, r = grid.keys(spread(left), "l"), grid.keys(right, "r")
     if grid.left_keys > hot_rows:
-        l, r, keys = share_out(l, r, keys, hot_rows)
+        # which cells are hot only shapes the plan, so a sample of the rows may tell
+        fraction = min(1.0, HOT_SAMPLE_ROWS / grid.left_rows)
+        seen = left if fraction == 1.0 else left.sample(fraction, seed=17)
+        hot = hot_keys(grid.keys(seen, "l"), keys, max(1, int(hot_rows * fraction)))
+        l, r, keys = share_out(l, r, hot, keys)
     joined = l.join(r, keys)
     overlap = reduce(lambda a, b: a & b, (
         (F.col(f"__llo{i}") <= F.col(f"__rhi{i}")) & (F.col(f"__rlo{i}") <= F.col(f"__lhi{i}")) for i in range(axes)))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyquill.runtime import checkpointed
+from skyquill.runtime import BROADCAST_ROWS, checkpointed
 
 PART = "__part"
 POS = "__pos"
@@ -40,6 +40,16 @@ def arrival_rank(df: DataFrame, order: Sequence[str], name: str = "rank") -> Dat
     )
 
 
+def first_rows(df: DataFrame, n: int, order: Sequence[Column | str]) -> DataFrame:
+    """The first ``n`` rows in an order. A short list is taken from the top of every
+    partition; a long one is cut by rank, so it never gathers in one place."""
+    if n <= BROADCAST_ROWS:
+        return df.orderBy(*order).limit(n)
+    names = [f"__o{i}" for i in range(len(order))]
+    keyed = df.withColumns({a: F.col(o) if isinstance(o, str) else o for a, o in zip(names, order)})
+    return arrival_rank(keyed, names, "__rank").filter(F.col("__rank") < n).drop("__rank", *names)
+
+
 def arrival_prefix(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     """The first ``n`` rows in arrival order."""
-    return df.orderBy(*order).limit(n)
+    return first_rows(df, n, order)

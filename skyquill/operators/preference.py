@@ -27,7 +27,7 @@ from skyquill.functions.kernels import (
     matrix,
     skyline_rows,
 )
-from skyquill.operators.ordering import arrival_rank
+from skyquill.operators.ordering import arrival_rank, first_rows
 from skyquill.runtime import BROADCAST_ROWS, at_most, checkpointed, estimated_bytes, is_plain_scan, spread
 
 #: Survivors of one group that one task may finish alone.
@@ -37,6 +37,7 @@ PREFILTER_ROWS = 200_000
 #: Scans estimated below this are tried in one pass first.
 SMALL_BYTES = 64 << 20
 _PRUNE_BUFFER = 65_536
+_SHARE_ROWS = 500_000
 
 
 class PreferenceAggregate:
@@ -376,7 +377,7 @@ def top_delta(
     scored = dominance_factor(df, dims, keys, **options)
     order = [F.col("factor"), *[d.value() for d in dims], *[F.col(t) for t in ties]]
     if not keys:
-        return scored.orderBy(*order).limit(delta)
+        return first_rows(scored, delta, order)
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return scored.withColumn("__place", place).filter(F.col("__place") <= delta).drop("__place")
 
@@ -449,25 +450,43 @@ def dominated_by(df: DataFrame, points: DataFrame, dims: Sequence[Dim | str]) ->
                 yield from table.filter(pa.array(mask)).to_batches()
 
         return rows.mapInArrow(keep, rows.schema).drop(*names)
-    paired = dominance_pairs(df.withColumn("__rid", F.monotonically_increasing_id()), points, dims)
-    return paired.dropDuplicates(["__rid"]).select(*df.columns)
+    worse = df.filter(usable(dims)).withColumn("__rid", F.monotonically_increasing_id())
+    asked = best.select(*[(F.col(n) * d.sign).alias(f"point_{d.column}") for n, d in zip(names, dims)])
+    left, right = _theta_blocks(worse, asked)
+    met = left.join(right, [left["__share"] == right["__s"], left["__block"] == right["__b"], _beaten(dims)], "left_semi")
+    return met.dropDuplicates(["__rid"]).select(*df.columns)
+
+
+def _beaten(dims: Sequence[Dim]) -> Column:
+    """The row is dominated by the point in the columns with the prefix ``point_``."""
+    pairs = [(Dim(f"point_{d.column}", d.sign).value(), d.value()) for d in dims]
+    return reduce(and_, (p <= q for p, q in pairs)) & reduce(or_, (p < q for p, q in pairs))
+
+
+def _theta_blocks(rows: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every row meets every point in exactly one (share, block) cell of bounded size."""
+    blocks = -(-max(1, points.count()) // BROADCAST_ROWS)
+    shares = -(-max(1, rows.count()) // _SHARE_ROWS)
+    left = rows.withColumn("__share", F.pmod(F.xxhash64(*rows.columns), F.lit(shares)).cast("int")).withColumn(
+        "__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = points.withColumn("__b", F.pmod(F.xxhash64(*points.columns), F.lit(blocks)).cast("int")).withColumn(
+        "__s", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    return left, right
 
 
 def dominance_pairs(df: DataFrame, points: DataFrame, dims: Sequence[Dim | str]) -> DataFrame:
     """Every (row, point) pair in which the point dominates the row; point columns get the prefix ``point_``.
 
-    The points are dealt into blocks that each fit a broadcast, and every row
-    meets each block by an equality on the block number.
+    Few points are broadcast. More of them meet the rows in cells that hold a
+    bounded share of both sides.
     """
     dims = as_dims(dims)
-    n_blocks = -(-max(1, points.count()) // BROADCAST_ROWS)
     renamed = points.select(*[F.col(c).alias(f"point_{c}") for c in points.columns])
-    dealt = renamed.withColumn("__block", F.pmod(F.xxhash64(*renamed.columns), F.lit(n_blocks)).cast("int"))
-    rows = df.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    pairs = [(Dim(f"point_{d.column}", d.sign).value(), d.value()) for d in dims]
-    better = reduce(or_, (p < q for p, q in pairs))
-    hit = reduce(and_, (p <= q for p, q in pairs)) & better
-    return rows.join(dealt, "__block").filter(hit).drop("__block")
+    if at_most(points, BROADCAST_ROWS):
+        return df.join(F.broadcast(renamed), _beaten(dims))
+    left, right = _theta_blocks(df, renamed)
+    met = left.join(right, [left["__share"] == right["__s"], left["__block"] == right["__b"], _beaten(dims)])
+    return met.drop("__share", "__block", "__s", "__b")
 
 
 __all__ = [

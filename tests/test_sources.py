@@ -70,3 +70,12 @@ def test_sinks(spark, tmp_path):
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "s")).collect()) == ["0 1 2.0", "1 0 0.0", "2 1 4.0"]
     sinks.write_window_rows(sizes, str(tmp_path / "r"))
     assert spark.read.parquet(str(tmp_path / "r")).count() == 2
+
+
+def test_long_prefixes_are_cut_by_rank(spark, monkeypatch):
+    from skyquill.operators import ordering
+
+    df = spark.range(300).withColumn("t", (F.col("id") * 37) % 300).repartition(7)
+    short = [r["t"] for r in ordering.arrival_prefix(df, 40, ["t"]).collect()]
+    monkeypatch.setattr(ordering, "BROADCAST_ROWS", 10)
+    assert sorted(r["t"] for r in ordering.arrival_prefix(df, 40, ["t"]).collect()) == short == list(range(40))
