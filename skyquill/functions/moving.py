@@ -258,32 +258,39 @@ def projected_surface(m: MovingBox, during: Interval | None = None) -> Column:
     return F.when(h > 0, value).otherwise(F.lit(0.0))
 
 
-def center_distance(a: MovingBox, b: MovingBox, during: Interval | None = None) -> Column:
-    """Distance of the centres integrated over the common time.
+def with_center_distance(df: DataFrame, a: MovingBox, b: MovingBox, name: str, during: Interval | None = None) -> DataFrame:
+    """Add the distance of the centres integrated over the common time.
 
     The squared distance is A t^2 + B t + C; its root has a closed integral.
+    The coefficients are generated columns, worked out once per row.
     """
+    columns = df.columns
     t0, t1 = _window(a, b, during)
-    h = t1 - t0
-    at_a, at_b = box_at(a, t0), box_at(b, t0)
-    gap = [(bl + bh) / 2.0 - (al + ah) / 2.0 for al, ah, bl, bh in zip(at_a.low, at_a.high, at_b.low, at_b.high)]
-    drift = [(bl + bh) / 2.0 - (al + ah) / 2.0
-             for al, ah, bl, bh in zip(a.v_low, a.v_high, b.v_low, b.v_high)]
-    qa = reduce(add, (v * v for v in drift))
-    qb = reduce(add, (F.lit(2.0) * x * v for x, v in zip(gap, drift)))
-    qc = reduce(add, (x * x for x in gap))
+    rows = df.select("*", F.inline(F.array(F.struct(t0.alias("__t0"), (t1 - t0).alias("__h")))))
+    at_a, at_b = box_at(a, F.col("__t0")), box_at(b, F.col("__t0"))
+    terms = []
+    for i in range(a.n):
+        terms.append(((at_b.low[i] + at_b.high[i]) / 2.0 - (at_a.low[i] + at_a.high[i]) / 2.0).alias(f"__x{i}"))
+        terms.append(((b.v_low[i] + b.v_high[i]) / 2.0 - (a.v_low[i] + a.v_high[i]) / 2.0).alias(f"__v{i}"))
+    rows = rows.select("*", F.inline(F.array(F.struct(*terms))))
+    gap, drift = ([F.col(f"__{c}{i}") for i in range(a.n)] for c in "xv")
+    rows = rows.select("*", F.inline(F.array(F.struct(
+        reduce(add, (v * v for v in drift)).alias("__a"),
+        reduce(add, (F.lit(2.0) * x * v for x, v in zip(gap, drift))).alias("__b"),
+        reduce(add, (x * x for x in gap)).alias("__c")))))
+    qa, qb, qc, h = (F.col(f"__{c}") for c in "abch")
 
     def primitive(t: Column) -> Column:
         # with u = t + B / 2A and K = C / A - (B / 2A)^2: sqrt(A) * integral of sqrt(u^2 + K)
         u = t + qb / (qa * 2.0)
         k = F.greatest(qc / qa - F.pow(qb / (qa * 2.0), F.lit(2.0)), F.lit(0.0))
-        root = F.sqrt(u * u + k)
         bend = F.when(k > 0, k * F.asinh(u / F.sqrt(F.when(k > 0, k)))).otherwise(F.lit(0.0))
-        return F.sqrt(qa) * (u * root + bend) / 2.0
+        return F.sqrt(qa) * (u * F.sqrt(u * u + k) + bend) / 2.0
 
-    return (F.when(h <= 0, F.lit(0.0))
-            .when(qa == 0, h * F.sqrt(qc))
-            .otherwise(primitive(h) - primitive(F.lit(0.0))))
+    value = (F.when(h <= 0, F.lit(0.0))
+             .when(qa == 0, h * F.sqrt(qc))
+             .otherwise(primitive(h) - primitive(F.lit(0.0))))
+    return rows.select(*columns, value.alias(name))
 
 
 def with_common_area(df: DataFrame, a: MovingBox, b: MovingBox, name: str, during: Interval | None = None,

@@ -15,7 +15,7 @@ from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,7 +28,15 @@ from skyquill.functions.kernels import (
     skyline_rows,
 )
 from skyquill.operators.ordering import arrival_rank, first_rows
-from skyquill.runtime import BROADCAST_ROWS, at_most, checkpointed, estimated_bytes, is_plain_scan, spread
+from skyquill.runtime import (
+    BROADCAST_ROWS,
+    at_most,
+    checkpointed,
+    checkpointed_with_count,
+    estimated_bytes,
+    is_plain_scan,
+    spread,
+)
 
 #: Survivors of one group that one task may finish alone.
 BLOCK_ROWS = 16_384
@@ -317,11 +325,7 @@ def evaluate_bounded(
     if compact_rows is None:
         if is_plain_scan(df):
             rows = _prefiltered(rows, keys, names)
-        seen = Observation()
-        placed = spread(rows)
-        pruned = placed.mapInArrow(_pruner(keys, names, aggregate), rows.schema)
-        rows = checkpointed(pruned.observe(seen, F.count(F.lit(1)).alias("n")))
-        bound = seen.get["n"]
+        rows, bound = checkpointed_with_count(spread(rows).mapInArrow(_pruner(keys, names, aggregate), rows.schema))
 
     if bound <= block_rows or oversized(rows).isEmpty():
         return _finish_small(rows, keys, names, aggregate).select(*output), bound

@@ -19,7 +19,7 @@ from skyquill.operators.preference import (
     evaluate_bounded,
     top_delta,
 )
-from skyquill.runtime import checkpointed
+from skyquill.runtime import checkpointed_with_count
 
 
 @dataclass(frozen=True)
@@ -131,9 +131,10 @@ def _window_rows(df, dims, ts, windows, keys, progress, block_rows) -> tuple[Dat
     complete = complete_windows(df, ts, windows, progress)
     panes, bound = evaluate_bounded(
         with_pane(df, ts, windows), dims, [*keys, "pane_id"], Skyline(), block_rows)
-    bound *= -(-windows.per_window // windows.per_slide)
-    if bound > block_rows:  # read twice below
-        panes = checkpointed(panes)
+    copies = -(-windows.per_window // windows.per_slide)
+    if bound * copies > block_rows:  # read twice below unless the pane results prove few
+        panes, bound = checkpointed_with_count(panes)
+    bound *= copies
     rows = to_windows(panes, windows).drop("pane_id")
     return rows.join(complete, "window_id", "left_semi"), bound
 

@@ -264,7 +264,8 @@ SELECT vec_id, round({_area_sql('h')}, 8) AS volume, round({_area_sql('3', 'w0',
 
 
 def center_distances(spark, sf_dir):
-    return _joined(spark, sf_dir).select("vec_id", F.round(mv.center_distance(OBJECT(), QUERY()), 7).alias("distance"))
+    rows = mv.with_center_distance(_joined(spark, sf_dir), OBJECT(), QUERY(), "distance")
+    return rows.select("vec_id", F.round("distance", 7).alias("distance"))
 
 
 # integral of sqrt(A t^2 + B t + C) over [0, H] in its logarithmic form

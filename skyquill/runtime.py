@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows one side of a join may have before it is no longer broadcast.
 BROADCAST_ROWS = 20_000
@@ -46,6 +47,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checkpointed_with_count(df: DataFrame) -> tuple[DataFrame, int]:
+    """As ``checkpointed``, with the number of rows, counted on the way."""
+    seen = Observation()
+    stored = checkpointed(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return stored, seen.get["n"]
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """True when ``df`` has no more than ``rows`` rows; reads no further than needed."""
     return df.limit(rows + 1).count() <= rows
