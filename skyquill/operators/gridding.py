@@ -1,6 +1,6 @@
 """Hierarchical grid that turns "boxes that meet" into an equality join.
 
-A box lives at the level whose cell is at least as large as its longest side,
+A box lives at the level whose cell is at least as large as the box on every axis,
 so it covers at most two cells per axis however large it is. At every coarser
 level that the other side uses it is looked up by the cells it covers there.
 Each pair is thus matched at the coarser of its two levels, and kept only in
@@ -28,48 +28,67 @@ HOT_CELL_ROWS = 200_000
 HOT_SAMPLE_ROWS = 5_000_000
 
 
-def _level(lows: Sequence[Column], highs: Sequence[Column], floor: int) -> Column:
-    side = F.greatest(*[h - l for l, h in zip(lows, highs)]) if len(lows) > 1 else highs[0] - lows[0]
-    exact = F.ceil(F.log(_BASE, F.when(side > 0, side)))
-    return F.greatest(F.coalesce(exact, F.lit(_BOTTOM)), F.lit(floor)).cast("int")
-
-
-def _cell(coord: Column, level: Column) -> Column:
-    return F.floor(coord / F.pow(F.lit(_BASE), level.cast("double"))).cast("long")
+def _axis_level(low: Column, high: Column) -> Column:
+    """Smallest power of the base that is at least the side; null for a side of 0."""
+    side = high - low
+    return F.ceil(F.log(_BASE, F.when(side > 0, side)))
 
 
 class Grid:
-    """Levels in use on both sides, from one narrow aggregate over both."""
+    """Levels in use on both sides, from one narrow aggregate over both.
+
+    Axes are scaled by their typical side (``units``, exponents of the base), so
+    a price axis and a day axis are both cut finely.
+    """
 
     def __init__(self, left: DataFrame, right: DataFrame, axes: int):
         self.axes = axes
+        span = range(axes)
         sides = []
         for side, name in ((left, "l"), (right, "r")):
-            lows = [F.col(f"__{name}lo{i}") for i in range(axes)]
-            highs = [F.col(f"__{name}hi{i}") for i in range(axes)]
-            largest = F.greatest(F.lit(0.0), *[F.greatest(F.abs(lo), F.abs(hi)) for lo, hi in zip(lows, highs)])
+            corners = [(F.col(f"__{name}lo{i}"), F.col(f"__{name}hi{i}")) for i in span]
             sides.append(side.select(
-                F.lit(name).alias("side"), _level(lows, highs, _BOTTOM).alias("level"), largest.alias("reach")))
-        # a few dozen levels at most
-        found = sides[0].unionByName(sides[1]).groupBy("side", "level").agg(
-            F.max("reach").alias("reach"), F.count("*").alias("n")).collect()
-        top = max([r["level"] for r in found if r["level"] > _BOTTOM], default=0)
-        reach = max([r["reach"] for r in found], default=0.0)
+                F.lit(name).alias("side"), *[_axis_level(lo, hi).alias(f"level{i}") for i, (lo, hi) in enumerate(corners)],
+                *[F.greatest(F.abs(lo), F.abs(hi)).alias(f"reach{i}") for i, (lo, hi) in enumerate(corners)]))
+        # one row per combination of levels in use, a few dozen
+        found = sides[0].unionByName(sides[1]).groupBy("side", *[f"level{i}" for i in span]).agg(
+            *[F.max(f"reach{i}").alias(f"reach{i}") for i in span], F.count("*").alias("n")).collect()
+        reach = [max([r[f"reach{i}"] for r in found], default=0.0) for i in span]
+        reach_level = [ceil(log(v, _BASE)) if v > 0 else 0 for v in reach]
+        self.units = []
+        for i in span:
+            means = []
+            for name in ("l", "r"):
+                sized = [(r[f"level{i}"], r["n"]) for r in found if r["side"] == name and r[f"level{i}"] is not None]
+                if sized:
+                    means.append(sum(v * n for v, n in sized) / sum(n for _, n in sized))
+            self.units.append(round(max(means)) if means else reach_level[i] - 8)
+
+        def level_of(r) -> int:
+            return max([r[f"level{i}"] - self.units[i] for i in span if r[f"level{i}"] is not None], default=_BOTTOM)
+
+        top = max([level_of(r) for r in found if level_of(r) > _BOTTOM], default=0)
         # cell numbers must stay exact integers in a double
-        exact = ceil(log(reach, _BASE)) - 24 if reach > 0 else top - _DEPTH
+        exact = max(v - 24 - u for v, u in zip(reach_level, self.units))
         self.floor = max(top - _DEPTH, exact)
         self.left_levels, self.right_levels = (
-            {max(r["level"], self.floor) for r in found if r["side"] == name} for name in ("l", "r"))
+            {max(level_of(r), self.floor) for r in found if r["side"] == name} for name in ("l", "r"))
+        #: a left row has a key at most once, so no key has more left rows than this
         self.left_rows = sum(r["n"] for r in found if r["side"] == "l")
-        #: no key can have more left rows than this
-        self.left_keys = self.left_rows * (1 + len(self.right_levels)) * 2 ** axes
+
+    def _level(self, lows: Sequence[Column], highs: Sequence[Column]) -> Column:
+        scaled = [_axis_level(lo, hi) - u for lo, hi, u in zip(lows, highs, self.units)]
+        return F.greatest(F.lit(self.floor), *scaled).cast("int")  # nulls, sides of 0, are ignored
+
+    def _cell(self, coord: Column, level: Column, axis: int) -> Column:
+        return F.floor(coord / F.pow(F.lit(_BASE), (level + self.units[axis]).cast("double"))).cast("long")
 
     def keys(self, df: DataFrame, name: str) -> DataFrame:
         """One row per (role, level, cell). Role 0 pairs a left row with right rows of
         its own or a coarser level, role 1 with right rows of a finer level."""
         lows = [F.col(f"__{name}lo{i}") for i in range(self.axes)]
         highs = [F.col(f"__{name}hi{i}") for i in range(self.axes)]
-        own = _level(lows, highs, self.floor)
+        own = self._level(lows, highs)
         others = self.right_levels if name == "l" else self.left_levels
         ladder = F.array(*[F.lit(v) for v in sorted(others)]) if others else F.array().cast("array<int>")
         if name == "l":
@@ -84,14 +103,14 @@ class Grid:
         level = F.col("__at.level")
         out = out.withColumns({"__role": F.col("__at.role"), "__level": level}).drop("__at")
         for i in range(self.axes):
-            span = F.sequence(_cell(lows[i], F.col("__level")), _cell(highs[i], F.col("__level")))
+            span = F.sequence(self._cell(lows[i], F.col("__level"), i), self._cell(highs[i], F.col("__level"), i))
             out = out.withColumn(f"__c{i}", F.explode(span))
         return out
 
     def in_reference_cell(self) -> Column:
         corner = [F.greatest(F.col(f"__llo{i}"), F.col(f"__rlo{i}")) for i in range(self.axes)]
         return reduce(lambda a, b: a & b, (
-            F.col(f"__c{i}") == _cell(corner[i], F.col("__level")) for i in range(self.axes)))
+            F.col(f"__c{i}") == self._cell(corner[i], F.col("__level"), i) for i in range(self.axes)))
 
 
 def hot_keys(left: DataFrame, keys: list[str], limit: int) -> DataFrame:
@@ -140,7 +159,7 @@ def meeting_pairs(
     grid = Grid(left, right, axes)
     keys = [*extra, "__role", "__level", *[f"__c{i}" for i in range(axes)]]
     l, r = grid.keys(spread(left), "l"), grid.keys(right, "r")
-    if grid.left_keys > hot_rows:
+    if grid.left_rows > hot_rows:
         # which cells are hot only shapes the plan, so a sample of the rows may tell
         fraction = min(1.0, HOT_SAMPLE_ROWS / grid.left_rows)
         seen = left if fraction == 1.0 else left.sample(fraction, seed=17)

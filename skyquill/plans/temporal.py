@@ -59,11 +59,11 @@ def _versioned(spark, sf_dir, query=None, **options):
 
 
 def versioned_range(spark, sf_dir):
-    return _versioned(spark, sf_dir).select("c_custkey", "id")
+    return _versioned(spark, sf_dir, time_bucket=24.0 * HOUR).select("c_custkey", "id")
 
 
 def versioned_range_all(spark, sf_dir):
-    return _versioned(spark, sf_dir, all_versions=True, time_bucket=24.0 * HOUR).select("c_custkey", "id", "seq")
+    return _versioned(spark, sf_dir, all_versions=True).select("c_custkey", "id", "seq")
 
 
 def versioned_contained(spark, sf_dir):
