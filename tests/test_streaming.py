@@ -1,6 +1,5 @@
 """Streams give the results of the batch operators on the same rows."""
 
-import numpy as np
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
