@@ -140,6 +140,56 @@ def test_per_source_emission(spark):
     assert sorted(r["id"] for r in adaptive) == list(range(len(ts)))
 
 
+def emit_with_control(ts, gen, target, period, gains=disorder.GAINS):
+    """Reorder buffer with adaptive slack, one row at a time: (row, late) in emission order."""
+    kp, ki, kd = gains
+    top = slack = emitted = received = dropped = 0
+    alpha = integral = 0.0
+    last = sampled = None
+    open_, held, out = [], [], []
+
+    def leave(bound):
+        nonlocal emitted, dropped
+        for row in sorted(h for h in held if h[0] <= bound):
+            held.remove(row)
+            late = row[0] < emitted
+            dropped += late
+            emitted = max(emitted, row[0])
+            out.append((row[1], late))
+
+    for i, (t, g) in enumerate(zip(ts, gen)):
+        held.append((t, i))
+        received += 1
+        sampled = g if sampled is None else sampled
+        if g - sampled >= period:
+            sampled = g
+            coverage = 1 - dropped / received
+            last = coverage if last is None else last
+            error = coverage - (1 - target)
+            integral = min(1, max(-1, integral + ki * error))
+            step = min(1, max(-1, kp * error + integral + kd * (coverage - last)))
+            last = coverage
+            alpha = min(1, max(0, alpha + step))
+            received = dropped = 0
+        open_.append(t)
+        if t > top:
+            top = t
+            slack = max(slack, top - min(open_))
+            open_ = []
+            leave(top - (1 - alpha) * slack)
+    leave(float("inf"))
+    return out
+
+
+@pytest.mark.parametrize("period", [3000, 20_000])
+def test_adaptive_reorder(spark, period):
+    ts = list(sequences())[5]
+    df = frame(spark, ts).withColumn("source", F.lit("only"))
+    rows = disorder.adaptive_reorder(df, "app", "gen", "source", ["gen", "id"], 0.1, period=period).orderBy("emit_seq").collect()
+    want = emit_with_control(ts, [i * 1000 for i in range(len(ts))], 0.1, period)
+    assert [(r["id"], r["is_late"]) for r in rows] == want and any(late for _, late in want)
+
+
 def test_first_at_least():
     rng = np.random.default_rng(8)
     for n in (0, 1, 2, 7, 64, 100):
