@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skyquill.llm.mixing import mix
 from skyquill.llm.near_text import near_duplicates
+from skyquill.llm.packing import pack_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -22,3 +24,19 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_minhash_near_dedup"] = op3_minhash_near_dedup
+
+
+def op6_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much the mix takes of each document."""
+    return mix(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op6_budget_mix"] = op6_budget_mix
+
+
+def op1_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 4096 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op1_vector_packing"] = op1_vector_packing
