@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from skyquill.llm.mixing import mix
 from skyquill.llm.near_text import near_duplicates
 from skyquill.llm.packing import pack_documents
+from skyquill.llm.suffixes import repeated_passages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,3 +41,11 @@ def op1_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_vector_packing"] = op1_vector_packing
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of 50 words or more in all documents."""
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op7_suffix_dedup"] = op7_suffix_dedup
