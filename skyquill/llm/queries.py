@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skyquill.llm.divergence import judged
+from skyquill.llm.language import documents_language, pages_language
 from skyquill.llm.mixing import mix
 from skyquill.llm.near_text import near_duplicates
 from skyquill.llm.packing import pack_documents
@@ -49,3 +51,27 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_suffix_dedup"] = op7_suffix_dedup
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, and whether it is certain enough to keep them."""
+    return documents_language(table(spark, sf_dir, "documents")).select("doc_id", "lang", "language", "posterior", "kept")
+
+
+QUERIES["op4_language_id"] = op4_language_id
+
+
+def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all pages, by text, markup, address and host."""
+    return pages_language(table(spark, sf_dir, "pages")).select("page_id", "language", "posterior", "kept")
+
+
+QUERIES["page_language"] = page_language
+
+
+def op9_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of all documents."""
+    return judged(table(spark, sf_dir, "documents")).drop("lang")
+
+
+QUERIES["op9_divergence_rules"] = op9_divergence_rules
