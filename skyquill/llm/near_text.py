@@ -2,8 +2,10 @@
 
 Two documents are linked when the Jaccard similarity of their sets of distinct shingles reaches a threshold.
 Documents of one set are collapsed first, so copies cost a group-by. Links are only needed between sets that
-are not connected yet, which keeps large groups linear: every set is first tried with the smallest set of each of
-its buckets; only buckets that still hold several components afterwards are compared inside, block against block.
+are not connected yet: every set is first tried with the likeliest of the smallest sets of its buckets, and only
+buckets that still hold several components afterwards are compared inside, in blocks. A block only looks for
+partners of sets outside its largest component, first by registers; where some are plausible, the full sets of those
+concerned are brought together once, and what leaves the block is links that connect components, not pairs.
 
 Null or empty texts (or texts of separators alone) have no shingle and are linked with nothing. A null ``doc_id``
 never becomes a component's id unless all of the component are null. Repeated rows are copies of each other.
@@ -15,9 +17,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyquill.llm import setsketch
@@ -30,9 +31,14 @@ WIDTH, PERCENT, BANDS, ROWS = 5, 75, 32, 4
 #: Pairs are dropped unseen when their estimate is this many standard deviations below the threshold.
 DEVIATIONS = 5.0
 #: Members of a bucket that are compared in one task at once.
-BLOCK = 2048
+BLOCK = 1024
 
 _NODE = "named_struct('p', p, 'q', q)"
+_LAST = (1 << 63) - 1
+
+
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,15 +60,17 @@ def _sketch(width: int):
                 p, q = fingerprints(sets)
                 values = setsketch.sketches(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(p), pa.array(q), pa.array([len(s) for s in sets], pa.int64()),
-                     _binary([row.tobytes() for row in values])], ["doc_id", "p", "q", "n", "sketch"])
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(p), pa.array(q),
+                     pa.array([len(s) for s in sets], pa.int64()), _binary([row.tobytes() for row in values])],
+                    ["doc_id", "h", "p", "q", "n", "sketch"])
     return run
 
 
 def sketched(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, p, q, n, sketch) per document: fingerprint, size and registers of its set."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _sketch(width), "doc_id long, p long, q long, n long, sketch binary")
+    """(doc_id, h, p, q, n, sketch) per document: hash of its text, fingerprint, size and registers of its set."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                       _text_hash(F.col("text")).alias("h")).mapInArrow(
+        _sketch(width), "doc_id long, h long, p long, q long, n long, sketch binary")
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,68 +137,120 @@ class _Links:
         roots = self.roots.select(F.col("node").alias(node), F.col("root").alias("_root"))
         return df.join(roots, node, "left").withColumn(root, F.coalesce("_root", node)).drop("_root")
 
-    def across(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose ends are in different components."""
-        return self.rooted(self.rooted(pairs, "a", "ra"), "b", "rb").where("ra <> rb").drop("ra", "rb")
+    def take(self, new: DataFrame) -> None:
+        self.links = stored(new if self.links is None else self.links.unionAll(new), "near-links")
+        self.roots = stored(components(self.links), "near-roots")
 
-    def confirm(self, pairs: DataFrame) -> None:
-        """Compare full sets of ``pairs`` (a, b) and take those that reach the threshold as links."""
-        pairs = stored(pairs.select("a", "b").distinct(), "near-pairs")
-        if pairs.isEmpty():
-            return
-        ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-        ends = stored(ends.join(self.nodes.select("node", "n", "one"), "node"), "near-ends")
-        ids = small_first(ends.select("one").distinct())
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(node, n, members): the full sets of ``wanted`` (node), from their texts."""
+        wanted = stored(wanted.distinct().join(self.nodes.select("node", "n", "one"), "node"), "near-ends")
+        ids = small_first(wanted.select("one").distinct())
         texts = (self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
                  .join(ids, same(F.col("doc_id"), F.col("one")), "left_semi").select("text"))
         sets = texts.mapInArrow(_sets(self.width), "p long, q long, members binary").selectExpr(f"{_NODE} AS node", "members")
-        sets = stored(sets.join(ends.select("node", "n"), "node").groupBy("node").agg(
+        return stored(sets.join(wanted.select("node", "n"), "node").groupBy("node").agg(
             F.first("n").alias("n"), F.first("members").alias("members")), "near-sets")
+
+    def confirm(self, pairs: DataFrame) -> None:
+        """Compare full sets of ``pairs`` (a, b) and take those that reach the threshold as links."""
+        pairs = stored(pairs.select("a", "b"), "near-pairs")
+        sets = self.sets(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))))
         left = sets.selectExpr("node AS a", "n AS na", "members AS x")
         right = sets.selectExpr("node AS b", "n AS nb", "members AS y")
         seen = (pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "x", "y")
                 .mapInArrow(_overlaps, "a struct<p:long,q:long>, b struct<p:long,q:long>, na long, nb long, shared long"))
-        new = seen.where(f"100 * shared >= {self.percent} * (na + nb - shared)").select("a", "b")
-        self.links = stored(new if self.links is None else self.links.unionAll(new), "near-links")
-        self.roots = stored(components(self.links), "near-roots")
+        self.take(seen.where(f"100 * shared >= {self.percent} * (na + nb - shared)").select("a", "b"))
 
 
-def _block_pairs(share: float):
-    """Plausible pairs of different components in one cell of a bucket: a block against itself or another block."""
-    def run(table: pa.Table) -> pa.Table:
+class _Cell:
+    """Two blocks of a bucket (or one with itself): the plausible pairs of sets in different components."""
+
+    def __init__(self, table: pa.Table, share: float) -> None:
         table = table.combine_chunks()
-        first, p, q, rp, rq, n = (table[c].to_numpy() for c in ("first", "p", "q", "rp", "rq", "n"))
-        values = _registers(table["sketch"].combine_chunks())
-        band, diagonal = table["band"][0].as_py(), table["diagonal"][0].as_py()
-        left = np.flatnonzero(first)
-        right = left if diagonal else np.flatnonzero(~first)
-        out_a, out_b, out_e = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
-        for i in left:
-            other = right[(rp[right] != rp[i]) | (rq[right] != rq[i])]
-            if diagonal:
-                other = other[(p[other] > p[i]) | ((p[other] == p[i]) & (q[other] > q[i]))]
-            equal = values[other] == values[i]
+        self.share, self.table = share, table
+        self.first, self.p, self.q, self.n = (table[c].to_numpy() for c in ("first", "p", "q", "n"))
+        self.values = _registers(table["sketch"].combine_chunks())
+        self.band, self.diagonal = table["band"][0].as_py(), table["diagonal"][0].as_py()
+        roots = np.stack([table["rp"].to_numpy(), table["rq"].to_numpy()], axis=1)
+        _, self.root, sizes = np.unique(roots, axis=0, return_inverse=True, return_counts=True)
+        self.root = self.root.reshape(-1)
+        #: every pair of different components has an end outside the largest
+        self.outside = self.root != sizes.argmax()
+
+    def pairs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(row, others, estimates): each plausible pair once in all buckets that hold both."""
+        for i in np.flatnonzero(self.outside):
+            other = self.root != self.root[i]
+            if not self.diagonal:
+                other &= self.first != self.first[i]
+            other[:i] &= ~self.outside[:i]
+            other = np.flatnonzero(other)
+            equal = self.values[other] == self.values[i]
             # far below the threshold whatever the sizes; and a pair that shares several bands belongs to the first
-            near = equal.mean(axis=1) >= share - 0.2
+            near = np.count_nonzero(equal, axis=1) >= (self.share - 0.2) * self.values.shape[1]
             other, equal = other[near], equal[near]
-            own = equal[:, :BANDS * ROWS].reshape(len(other), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+            own = equal[:, :BANDS * ROWS].reshape(len(other), BANDS, ROWS).all(axis=2).argmax(axis=1) == self.band
             other = other[own]
-            estimate, ratio = setsketch.estimates(np.broadcast_to(values[i], (len(other), values.shape[1])), values[other],
-                                                  np.full(len(other), n[i]), n[other], share)
+            if not len(other):
+                continue
+            estimate, ratio = setsketch.estimates(
+                np.broadcast_to(self.values[i], (len(other), self.values.shape[1])), self.values[other],
+                np.full(len(other), self.n[i]), self.n[other], self.share)
             keep = ratio <= DEVIATIONS ** 2
-            out_a.append(np.full(int(keep.sum()), i))
-            out_b.append(other[keep])
-            out_e.append(estimate[keep])
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
+            if keep.any():
+                yield i, other[keep], estimate[keep]
+
+
+def _concerned(share: float):
+    """The rows of a cell that have a plausible partner."""
+    def run(table: pa.Table) -> pa.Table:
+        cell = _Cell(table, share)
+        found = np.zeros(len(cell.p), bool)
+        for i, other, _ in cell.pairs():
+            found[i] = True
+            found[other] = True
+        return cell.table.filter(pa.array(found))
+    return run
+
+
+def _connecting(share: float, percent: int):
+    """Links of a cell, on full sets: enough of them to connect what they connect."""
+    def run(table: pa.Table) -> pa.Table:
+        cell = _Cell(table, share)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in cell.table["members"].combine_chunks()]
+        above = np.arange(cell.root.max() + 1)
+
+        def top(x: int) -> int:
+            while above[x] != x:
+                above[x] = above[above[x]]
+                x = above[x]
+            return x
+
+        links = []
+        for i, other, estimate in cell.pairs():
+            for j in other[np.argsort(-estimate, kind="stable")]:
+                x, y = top(cell.root[i]), top(cell.root[j])
+                if x == y:
+                    continue
+                small, large = sorted((sets[i], sets[j]), key=len)
+                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                shared = int(np.count_nonzero(large[at] == small))
+                if 100 * shared >= percent * (len(small) + len(large) - shared):
+                    above[max(x, y)] = min(x, y)
+                    links.append((i, j))
+        a, b = np.array(links, int).reshape(-1, 2).T
 
         def node(i: np.ndarray) -> pa.Array:
-            return pa.StructArray.from_arrays([pa.array(p[i]), pa.array(q[i])], ["p", "q"])
-        return pa.table({"a": node(a), "b": node(b), "estimate": pa.array(np.concatenate(out_e), pa.float64())})
+            return pa.StructArray.from_arrays([pa.array(cell.p[i]), pa.array(cell.q[i])], ["p", "q"])
+        return pa.table({"a": node(a), "b": node(b)})
     return run
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """(doc_id, p, q, n_shingles, component_id, kept) per document; see the module for what counts as a link."""
+    """(doc_id, h, root, n_shingles, component_id, kept) per document; see the module for what counts as a link.
+
+    ``h`` is a hash of the text, ``root`` names the component, also where ids are null or repeated.
+    """
     share = percent / 100
     rows = stored(sketched(docs, width), "near-sketches")
     nodes = stored(rows.where("n > 0").groupBy("p", "q").agg(F.min("doc_id").alias("one"), F.first("n").alias("n"),
@@ -203,17 +263,16 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     buckets = stored(members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("low"))
                      .where("size > 1"), "near-buckets")
     members = stored(members.join(buckets, "bucket"), "near-members")
-    # each set is tried with the smallest set of each of its buckets, the most similar one first
+    # each set is tried with the likeliest of the smallest sets of its buckets
     side = nodes.select("node", "n", "sketch")
     stars = members.where("node <> low").selectExpr("node AS a", "low AS b").distinct()
     stars = (stars.join(side.selectExpr("node AS a", "n AS na", "sketch AS sa"), "a")
              .join(side.selectExpr("node AS b", "n AS nb", "sketch AS sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
              .mapInArrow(_plausible(share), "a struct<p:long,q:long>, b struct<p:long,q:long>, estimate double"))
-    stars = stored(stars, "near-stars")
-    found.confirm(stars.groupBy("a").agg(F.max_by("b", "estimate").alias("b")))
-    found.confirm(found.across(stars))
+    stars = stars.groupBy("a").agg(F.max_by("b", "estimate").alias("b"))
+    found.confirm(stars)
 
-    # what is left: buckets that hold several components, compared block against block
+    # what is left: buckets that hold several components
     rooted = found.rooted(members, "node", "root")
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
     cells = (rooted.join(mixed, "bucket").join(side, "node")
@@ -222,17 +281,36 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
              .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
              .selectExpr("bucket", "least(block, other) AS i", "greatest(block, other) AS j", "band", "block = other AS diagonal",
                          "block <= other AS first", "node.p AS p", "node.q AS q", "root.p AS rp", "root.q AS rq", "n", "sketch"))
-    left = cells.groupBy("bucket", "i", "j").applyInArrow(
-        _block_pairs(share), "a struct<p:long,q:long>, b struct<p:long,q:long>, estimate double")
-    left = stored(left, "near-left")
-    found.confirm(left.groupBy("a").agg(F.max_by("b", "estimate").alias("b")).unionByName(
-        left.groupBy("b").agg(F.max_by("a", "estimate").alias("a"))))
-    found.confirm(found.across(left))
+    concerned = stored(cells.groupBy("bucket", "i", "j").applyInArrow(_concerned(share), cells.schema), "near-cells")
+    sets = found.sets(concerned.selectExpr(f"{_NODE} AS node")).selectExpr("node.p AS p", "node.q AS q", "members")
+    found.take(concerned.join(sets, ["p", "q"]).groupBy("bucket", "i", "j").applyInArrow(
+        _connecting(share, percent), "a struct<p:long,q:long>, b struct<p:long,q:long>"))
 
     rooted = found.rooted(nodes.select("node", "one"), "node", "root")
     smallest = rooted.groupBy("root").agg(F.min("one").alias("component_id"))
-    rooted = stored(rooted.join(smallest, "root").selectExpr("node.p AS p", "node.q AS q", "component_id"), "near-classes")
+    rooted = stored(rooted.join(smallest, "root").selectExpr("node.p AS p", "node.q AS q", "root", "component_id"), "near-classes")
     return (rows.drop("sketch").join(rooted, ["p", "q"], "left")
             .withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-            .select("doc_id", "p", "q", F.col("n").alias("n_shingles"), "component_id",
+            .select("doc_id", "h", "root", F.col("n").alias("n_shingles"), "component_id",
                     F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each component: that of the smallest doc_id (of several rows, one of the least text hash).
+
+    Documents without words are in no component and stay.
+    """
+    own = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "h")
+    found = near_duplicates(docs, width, percent).where("n_shingles > 0").select("root", own.alias("own"))
+    found = stored(found, "near-found")
+    best = found.groupBy("root").agg(F.min("own").alias("best"), F.count("*").alias("n")).where("n > 1")
+    found = stored(found.join(best, "root").groupBy("own", "best").agg(F.count("*").alias("n")), "near-judged")
+    gone = found.where("own <> best").select(F.col("own").alias("_gone")).distinct()
+    twice = found.where("own = best AND n > 1").select(F.col("own").alias("_twice")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), _text_hash(F.col("text")).alias("h")).alias("_own"))
+    rows = rows.join(small_first(gone), F.col("_own") == F.col("_gone"), "left_anti")
+    if not twice.isEmpty():  # rows of one doc_id and text
+        once = rows.join(small_first(twice), F.col("_own") == F.col("_twice"), "left_semi").dropDuplicates(["_own"])
+        rows = rows.join(small_first(twice), F.col("_own") == F.col("_twice"), "left_anti").unionAll(once)
+    return rows.select("row.*")
