@@ -196,14 +196,18 @@ def identified(docs: DataFrame, text: Column, declared: Column, suffix: Column,
 
 
 def documents_language(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
-    """Documents: ``lang`` is the declaration and ``source`` stands for the host; they have no address."""
-    return identified(docs, F.col("text"), F.col("lang"), F.lit(None).cast("string"), F.col("source"), languages)
+    """(row, language, posterior, kept): ``row`` holds the columns of a document.
+
+    ``lang`` is the declaration and ``source`` stands for the host; documents have no address.
+    """
+    hidden = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", "lang", "source")
+    found = identified(hidden, F.col("text"), F.col("lang"), F.lit(None).cast("string"), F.col("source"), languages)
+    return found.select("row", "language", "posterior", "kept")
 
 
 def spoken(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
     """The documents that are not rejected, unchanged."""
-    hidden = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", "lang", "source")
-    return documents_language(hidden, languages).where("kept").select("row.*")
+    return documents_language(docs, languages).where("kept").select("row.*")
 
 
 #: Language of the markup, and the path segment that names one.

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from skyquill.llm import chat, oracle, toxicity, urls
+from skyquill.llm.covertree import near_vectors
 from skyquill.llm.divergence import judged
 from skyquill.llm.language import documents_language, pages_language
 from skyquill.llm.mixing import mix
@@ -27,6 +30,7 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_minhash_near_dedup"] = op3_minhash_near_dedup
+SQL["op3_minhash_near_dedup"] = oracle.NEAR_TEXT
 
 
 def op6_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +59,7 @@ QUERIES["op7_suffix_dedup"] = op7_suffix_dedup
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents, and whether it is certain enough to keep them."""
-    return documents_language(table(spark, sf_dir, "documents")).select("doc_id", "lang", "language", "posterior", "kept")
+    return documents_language(table(spark, sf_dir, "documents")).select("row.doc_id", "row.lang", "language", "posterior", "kept")
 
 
 QUERIES["op4_language_id"] = op4_language_id
@@ -63,7 +67,7 @@ QUERIES["op4_language_id"] = op4_language_id
 
 def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all pages, by text, markup, address and host."""
-    return pages_language(table(spark, sf_dir, "pages")).select("page_id", "language", "posterior", "kept")
+    return pages_language(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "language", "posterior", "kept")
 
 
 QUERIES["page_language"] = page_language
@@ -75,3 +79,63 @@ def op9_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_divergence_rules"] = op9_divergence_rules
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back from all conversations formatted, and from one whose texts are control strings."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.formatted(rows.unionByName(extra)))
+
+
+QUERIES["op2_chat_format"] = op2_chat_format
+SQL["op2_chat_format"] = oracle.CHAT
+
+RULES: list[urls.Rule] = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"),
+                          ("allow", "org", "/fr/")]
+
+
+def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and host reputation of all pages; a page's labelled outcome is the quality label of its number."""
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
+    return urls.judged(table(spark, sf_dir, "pages"), outcomes, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES["op5_url_reputation"] = op5_url_reputation
+SQL["op5_url_reputation"] = oracle.URLS
+
+
+def held_out(doc_id: Column) -> Column:
+    """Rows whose labels are never learned from."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labels of two thirds."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scorer = toxicity.fit(docs, labels.where(~held_out(F.col("doc_id"))))
+    return toxicity.scored(docs, scorer).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES["op8_toxicity"] = op8_toxicity
+
+
+def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all embeddings."""
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op10_cover_tree"] = op10_cover_tree
+SQL["op10_cover_tree"] = oracle.VECTORS
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
