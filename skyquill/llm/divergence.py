@@ -1,7 +1,7 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
 A document's histograms of character classes and of its language's common words are compared with those of all
-documents of its language by the Jensen-Shannon distance (square root of the divergence to base 2, so 0 to 1).
+documents of its language (the mean of their shares) by the Jensen-Shannon distance (square root of the divergence to base 2, so 0 to 1).
 A rule only judges documents long enough for its histogram; base rules on length and repetition come first.
 
 Null texts are empty texts. A null or unknown language is a language of its own, whose common words are those of all
@@ -118,8 +118,11 @@ def judged(docs: DataFrame, character_distance: float = CHARACTER_DISTANCE, word
     rows = histograms(base_counts(rows)).select("doc_id", "lang", *_BASE, "_length", "_characters", "_common")
     rows = stored(rows, "divergence-rows")
     sizes = {"_characters": len(CLASSES) + 1, "_common": len({w for words in COMMON.values() for w in words}) + 1}
+    totals = {"_characters": F.col("_length"), "_common": F.col("n_words")}
+    # documents count alike whatever their length, so one long one does not make the reference
     references = rows.groupBy(F.col("lang").alias("_lang")).agg(
-        *[F.array(*[F.sum(F.col(name)[i]) for i in range(n)]).alias(f"{name}_all") for name, n in sizes.items()])
+        *[F.array(*[F.coalesce(F.avg(F.when(totals[name] > 0, F.col(name)[i] / totals[name])), F.lit(0.0)) for i in range(n)])
+          .alias(f"{name}_all") for name, n in sizes.items()])
     rows = rows.join(small_first(references), same(F.col("lang"), F.col("_lang")))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
     rows = rows.select("doc_id", "lang", *_BASE, "_length", failed.alias("base_failed"),
