@@ -7,10 +7,10 @@ generated code and let Parquet prune on them.
 
 from __future__ import annotations
 
-import math
 import sys
 from collections.abc import Sequence
 from functools import reduce
+from itertools import product
 from operator import add, and_, mul, or_
 from typing import NamedTuple
 
@@ -189,14 +189,12 @@ def segment_intersects_box(s: Segment, b: Box) -> Column:
 
 
 def signed_line_distance(s: Segment, p: Sequence[Column]) -> Column:
-    """Distance of a point to the infinite line through the segment, positive on the
-    right hand side when going from start to end."""
-    (x1, y1), (x2, y2), (x0, y0) = s.start, s.end, p
-    across = (x1 - x0) * (y2 - y1) - (x2 - x1) * (y1 - y0)
-    general = across / F.sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))
-    vertical = F.when(y1 < y2, x0 - x1).otherwise(x1 - x0)
-    horizontal = F.when(x1 < x2, y1 - y0).otherwise(y0 - y1)
-    return F.when(_near(x1, x2), vertical).when(_near(y1, y2), horizontal).otherwise(general)
+    """Distance of a point to the infinite line through the segment, positive on the left
+    hand side when going from start to end. A segment of no length has no sides: the
+    distance is that to its start."""
+    length = F.hypot(s.end[0] - s.start[0], s.end[1] - s.start[1])
+    to_start = F.hypot(p[0] - s.start[0], p[1] - s.start[1])
+    return F.when(length > 0, double_area(s.start, s.end, p) / length).otherwise(to_start)
 
 
 def line_distance(s: Segment, p: Sequence[Column]) -> Column:
@@ -205,12 +203,12 @@ def line_distance(s: Segment, p: Sequence[Column]) -> Column:
 
 def max_line_distance(s: Segment, b: Box) -> Column:
     """Largest signed distance over the corners of a box."""
-    corners = [(b.low[0], b.low[1]), (b.low[0], b.high[1]), (b.high[0], b.high[1]), (b.high[0], b.low[1])]
-    return F.greatest(*[signed_line_distance(s, c) for c in corners])
+    return F.greatest(*[signed_line_distance(s, c) for c in product(*zip(b.low, b.high, strict=True))])
 
 
 def perpendicular_angle(s: Segment) -> Column:
-    """Angle of the ray perpendicular to the segment; 0 for vertical, pi/2 for horizontal ones."""
-    (x1, y1), (x2, y2) = s.start, s.end
-    return (F.when(_near(x1, x2), F.lit(0.0)).when(_near(y1, y2), F.lit(math.pi / 2))
-            .otherwise(F.atan(-(x1 - x2) / (y1 - y2))))
+    """Angle of the line perpendicular to the segment, above -pi/2 and up to pi/2: the normal of
+    the direction, turned to the right half plane."""
+    dx, dy = s.end[0] - s.start[0], s.end[1] - s.start[1]
+    turned = F.when(dy != 0, F.signum(dy)).otherwise(-F.signum(dx))
+    return F.atan2(-dx * turned, F.abs(dy)) + F.lit(0.0)

@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyquill.functions.geometry import EPS, Box, _col, contains, intersects, same_shape, touches
+from skyquill.functions.geometry import EPS, Box, _col, contains, intersects, same_shape, touches, touches_point
 
 FOREVER = float("inf")
 
@@ -56,6 +56,11 @@ def touches_in_time(a: Box, when_a: Interval, b: Box, when_b: Interval) -> Colum
     return overlaps(when_a, when_b) & touches(a, b)
 
 
+def touches_point_in_time(a: Box, when_a: Interval, p: Box, when_p: Interval) -> Column:
+    """The point lies on a side's coordinate of the box, and both are valid at some time."""
+    return overlaps(when_a, when_p) & touches_point(a, p)
+
+
 def combine_in_time(a: Interval, b: Interval) -> Interval:
     return Interval(F.least(a.start, b.start), F.greatest(a.end, b.end))
 

@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 from heapq import heappop, heappush
+from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +75,16 @@ class SlackFold:
         return out
 
 
+def with_times(df: DataFrame, *times: str) -> DataFrame:
+    """The rows that have every one of the times; without them a row has no place in event time or arrival."""
+    return df.where(reduce(and_, [F.col(t).isNotNull() for t in times]))
+
+
+def without_times(df: DataFrame, *times: str) -> DataFrame:
+    """The rows that the operators set aside."""
+    return df.where(reduce(or_, [F.col(t).isNull() for t in times]))
+
+
 def _one(batch: pa.RecordBatch, name: str):
     return batch.column(name)[0].as_py()
 
@@ -172,6 +184,7 @@ class _Passes:
     def __init__(self, df: DataFrame, ts: str, order: Sequence[str], initial: SlackFold | None = None):
         initial = initial or SlackFold()
         self.columns = df.columns
+        df = with_times(df, ts)
         self.rows = range_ordered(df.withColumn("__ts", micros(df, ts)), order)
         highest = _carried_highest(self.rows, int(initial.highest))
         slack, last = _carried_slack(self.rows, highest, int(initial.segment_min), int(initial.slack))
@@ -196,7 +209,8 @@ def kslack(df: DataFrame, ts: str, order: Sequence[str]) -> DataFrame:
     """Add ``slack``, the ``prior_progress`` before and the ``progress`` after each row, and ``is_late``.
 
     A row is late when its event time is below the highest punctuation, the
-    largest of (highest event time - slack) seen at any advance so far.
+    largest of (highest event time - slack) seen at any advance so far. Rows without
+    an event time are set aside (``without_times``), here and in all operators below.
     """
     return kslack_with_state(df, ts, order)[0]
 
@@ -229,7 +243,7 @@ def kslack_with_state(
 
 def arrival_delay(df: DataFrame, ts: str, order: Sequence[str], name: str = "delay") -> DataFrame:
     """How far each row lies behind the largest event time that arrived before or with it."""
-    rows = range_ordered(df.withColumn("__ts", micros(df, ts)), order)
+    rows = range_ordered(with_times(df, ts).withColumn("__ts", micros(df, ts)), order)
     highest = _carried_highest(rows)
 
     def behind(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,6 +312,7 @@ def reorder(df: DataFrame, ts: str, gen: str, order: Sequence[str], pending_rows
     time. Rows still buffered at the end leave then. The rows that are not late
     leave in the order of (event time, arrival).
     """
+    df = with_times(df, ts, gen)
     passes = _Passes(df.withColumn("__gen", micros(df, gen)), ts, order)
     resume, inside = passes.resume, passes.inside
     parts = np.array(sorted(inside), dtype=np.int64)
@@ -604,7 +619,7 @@ class _BufferOfSource:
 
 
 def _timed(df: DataFrame, ts: str, gen: str) -> DataFrame:
-    return df.withColumns({"__ts": micros(df, ts), "__gen": micros(df, gen)})
+    return with_times(df, ts, gen).withColumns({"__ts": micros(df, ts), "__gen": micros(df, gen)})
 
 
 def adaptive_kslack(

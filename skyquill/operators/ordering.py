@@ -40,16 +40,16 @@ def arrival_rank(df: DataFrame, order: Sequence[str], name: str = "rank") -> Dat
     )
 
 
-def first_rows(df: DataFrame, n: int, order: Sequence[Column | str]) -> DataFrame:
-    """The first ``n`` rows in an order. A short list is taken from the top of every
-    partition; a long one is cut by rank, so it never gathers in one place."""
-    if n <= BROADCAST_ROWS:
+def first_rows(df: DataFrame, n: int, order: Sequence[Column | str], gathered_rows: int | None = None) -> DataFrame:
+    """The first ``n`` rows in an order. A list of up to ``gathered_rows`` (``BROADCAST_ROWS``) is taken from the
+    top of every partition; a longer one is cut by rank, so it never gathers in one place."""
+    if n <= (BROADCAST_ROWS if gathered_rows is None else gathered_rows):
         return df.orderBy(*order).limit(n)
     names = [f"__o{i}" for i in range(len(order))]
     keyed = df.withColumns({a: F.col(o) if isinstance(o, str) else o for a, o in zip(names, order)})
     return arrival_rank(keyed, names, "__rank").filter(F.col("__rank") < n).drop("__rank", *names)
 
 
-def arrival_prefix(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
+def arrival_prefix(df: DataFrame, n: int, order: Sequence[str], gathered_rows: int | None = None) -> DataFrame:
     """The first ``n`` rows in arrival order."""
-    return first_rows(df, n, order)
+    return first_rows(df, n, order, gathered_rows)

@@ -433,18 +433,19 @@ def dominated_by_point(df: DataFrame, dims: Sequence[Dim | str], point: Sequence
     return df.filter(no_worse & reduce(or_, (p < q for p, q in pairs)))
 
 
-def dominated_by(df: DataFrame, points: DataFrame, dims: Sequence[Dim | str]) -> DataFrame:
+def dominated_by(df: DataFrame, points: DataFrame, dims: Sequence[Dim | str], broadcast_rows: int | None = None) -> DataFrame:
     """Rows of ``df`` that some row of ``points`` dominates.
 
-    Only the skyline of ``points`` matters. While it is small it travels to the
+    Only the skyline of ``points`` matters. Up to ``broadcast_rows`` (``BROADCAST_ROWS``) it travels to the
     data; beyond that both sides meet in blocks.
     """
+    broadcast_rows = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     dims = as_dims(dims)
     names = _dim_names(dims)
     rows = df.filter(usable(dims)).withColumns({n: d.value() for n, d in zip(names, dims)})
     best = skyline(points, dims).select(*[d.value().alias(n) for n, d in zip(names, dims)])
     best = checkpointed(best.distinct())
-    if at_most(best, BROADCAST_ROWS):
+    if at_most(best, broadcast_rows):
         shared = np.array([tuple(r) for r in best.collect()], dtype=np.float64).reshape(-1, len(names))
 
         def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -456,7 +457,7 @@ def dominated_by(df: DataFrame, points: DataFrame, dims: Sequence[Dim | str]) ->
         return rows.mapInArrow(keep, rows.schema).drop(*names)
     worse = df.filter(usable(dims)).withColumn("__rid", F.monotonically_increasing_id())
     asked = best.select(*[(F.col(n) * d.sign).alias(f"point_{d.column}") for n, d in zip(names, dims)])
-    left, right = _theta_blocks(worse, asked)
+    left, right = _theta_blocks(worse, asked, broadcast_rows)
     met = left.join(right, [left["__share"] == right["__s"], left["__block"] == right["__b"], _beaten(dims)], "left_semi")
     return met.dropDuplicates(["__rid"]).select(*df.columns)
 
@@ -467,9 +468,9 @@ def _beaten(dims: Sequence[Dim]) -> Column:
     return reduce(and_, (p <= q for p, q in pairs)) & reduce(or_, (p < q for p, q in pairs))
 
 
-def _theta_blocks(rows: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _theta_blocks(rows: DataFrame, points: DataFrame, block_points: int) -> tuple[DataFrame, DataFrame]:
     """Every row meets every point in exactly one (share, block) cell of bounded size."""
-    blocks = -(-max(1, points.count()) // BROADCAST_ROWS)
+    blocks = -(-max(1, points.count()) // block_points)
     shares = -(-max(1, rows.count()) // _SHARE_ROWS)
     left = rows.withColumn("__share", F.pmod(F.xxhash64(*rows.columns), F.lit(shares)).cast("int")).withColumn(
         "__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -478,17 +479,19 @@ def _theta_blocks(rows: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFr
     return left, right
 
 
-def dominance_pairs(df: DataFrame, points: DataFrame, dims: Sequence[Dim | str]) -> DataFrame:
+def dominance_pairs(df: DataFrame, points: DataFrame, dims: Sequence[Dim | str], broadcast_rows: int | None = None) -> DataFrame:
     """Every (row, point) pair in which the point dominates the row; point columns get the prefix ``point_``.
 
-    Few points are broadcast. More of them meet the rows in cells that hold a
-    bounded share of both sides.
+    Up to ``broadcast_rows`` (``BROADCAST_ROWS``) points are broadcast. More of them meet the rows in cells that
+    hold a bounded share of both sides.
     """
+    broadcast_rows = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     dims = as_dims(dims)
+    points = checkpointed(points)  # counted, then joined
     renamed = points.select(*[F.col(c).alias(f"point_{c}") for c in points.columns])
-    if at_most(points, BROADCAST_ROWS):
+    if at_most(points, broadcast_rows):
         return df.join(F.broadcast(renamed), _beaten(dims))
-    left, right = _theta_blocks(df, renamed)
+    left, right = _theta_blocks(df, renamed, broadcast_rows)
     met = left.join(right, [left["__share"] == right["__s"], left["__block"] == right["__b"], _beaten(dims)])
     return met.drop("__share", "__block", "__s", "__b")
 

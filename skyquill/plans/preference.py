@@ -51,7 +51,8 @@ SELECT * FROM o l WHERE NOT EXISTS (SELECT 1 FROM cheapest c WHERE c.b = l.p_bra
 
 def skyline_merge(spark, sf_dir):
     rows = offers(spark, sf_dir, "l_linestatus")
-    halves = [pref.skyline(rows.filter(F.col("l_linestatus") == s).drop("l_linestatus"), OFFER) for s in ("O", "F")]
+    parts = F.pmod(F.xxhash64("l_linestatus"), F.lit(2))  # whatever the values are, every row is in one part
+    halves = [pref.skyline(rows.filter(parts == i).drop("l_linestatus"), OFFER) for i in range(2)]
     return pref.merge_skylines(*halves, OFFER)
 
 
@@ -162,6 +163,16 @@ def dominance_pair_counts(spark, sf_dir):
     return pairs.groupBy("point_l_suppkey").agg(F.count("*").alias("n_beaten"))
 
 
+def dominated_by_benchmark_blocks(spark, sf_dir):
+    """The way of more points than are broadcast, by a small bound."""
+    return pref.dominated_by(offers(spark, sf_dir), _benchmarks(spark, sf_dir), OFFER, broadcast_rows=2)
+
+
+def dominance_pair_count_blocks(spark, sf_dir):
+    pairs = pref.dominance_pairs(offers(spark, sf_dir), _benchmarks(spark, sf_dir), OFFER, broadcast_rows=10)
+    return pairs.groupBy("point_l_suppkey").agg(F.count("*").alias("n_beaten"))
+
+
 _PAIR_COUNTS = f"""WITH {_BENCHMARKS} SELECT pt.l_suppkey AS point_l_suppkey, count(*) AS n_beaten
 FROM lineitem l JOIN pt ON {_BEATEN} GROUP BY ALL"""
 
@@ -221,6 +232,8 @@ QUERIES = {
     "dominated_by_point": (dominated_by_point, _BY_POINT),
     "dominated_by_benchmarks": (dominated_by_benchmarks, _BY_BENCHMARKS),
     "dominance_pair_counts": (dominance_pair_counts, _PAIR_COUNTS),
+    "dominated_by_benchmark_blocks": (dominated_by_benchmark_blocks, _BY_BENCHMARKS),
+    "dominance_pair_count_blocks": (dominance_pair_count_blocks, _PAIR_COUNTS),
     "dominance_factor": (dominance_factor, _FACTOR),
     "dominance_factor_in_blocks": (dominance_factor_in_blocks, _FACTOR),
     "k_dominant": (k_dominant, _K_DOMINANT),

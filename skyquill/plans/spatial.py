@@ -164,6 +164,13 @@ def knn_ties(spark, sf_dir):
     return found.select("s_suppkey", "p_partkey", F.round("distance", 6).alias("distance"))
 
 
+def knn_ties_in_groups(spark, sf_dir):
+    """The way of more queries than are broadcast, by small bounds."""
+    found = knn(_part_grid(spark, sf_dir), _asked_grid(spark, sf_dir), 4, "s_suppkey", array_of("x", "y"), array_of("qx", "qy"),
+                broadcast_rows=10, share_rows=700)
+    return found.select("s_suppkey", "p_partkey", F.round("distance", 6).alias("distance"))
+
+
 _GRID = """p AS (SELECT p_partkey, p_size::DOUBLE AS x, floor(p_retailprice / 10) AS y FROM part),
 q AS (SELECT s_suppkey, (s_suppkey % 50)::DOUBLE AS qx, floor(abs(s_acctbal) / 100) AS qy FROM supplier)"""
 _KNN = """, d AS (SELECT {qid}, {oid}, {dist} AS distance FROM {src}),
@@ -200,13 +207,15 @@ def _paired(spark, sf_dir):
 def box_measures(spark, sf_dir):
     a, b = OBJECT(), QUERY()
     cx, cy = g.center(a)
+    widened = g.box(["x_lo", "y_lo"], [F.col("x_hi") + F.col("vec_id") % 2, F.col("y_hi")])
     r = lambda c: F.round(c, 9)
     return _paired(spark, sf_dir).select(
         "vec_id", r(g.area(a)).alias("area"), r(g.margin(a)).alias("margin"), r(cx).alias("cx"), r(cy).alias("cy"),
         r(g.min_distance(a, b)).alias("distance"), r(g.min_distance(a, g.point("qx_lo", "qy_lo"))).alias("point_distance"),
         r(g.min_distance(g.point("x_lo", "y_lo"), g.point("qx_lo", "qy_lo"))).alias("points_distance"),
         r(g.intersection_area(a, b)).alias("common_area"),
-        g.intersects(a, b).alias("meets"), g.contains(b, a).alias("inside"), g.same_shape(a, a).alias("same"),
+        g.intersects(a, b).alias("meets"), g.same_segment(
+            g.segment(LOW, HIGH), g.segment(LOW, [F.col("x_hi"), F.col("y_hi") + F.col("vec_id") % 3])).alias("same_ends"), g.contains(b, a).alias("inside"), g.same_shape(a, widened).alias("same"),
         r(g.area(g.union_box(a, b))).alias("union_area"), g.flat_area().alias("point_area"))
 
 
@@ -216,9 +225,9 @@ SELECT vec_id, round((x_hi - x_lo) * (y_hi - y_lo), 9) AS area, round(2.0::DOUBL
   round(sqrt(pow(greatest(x_lo - qx_lo, qx_lo - x_hi, 0), 2) + pow(greatest(y_lo - qy_lo, qy_lo - y_hi, 0), 2)), 9) AS point_distance,
   round(sqrt(pow(x_lo - qx_lo, 2) + pow(y_lo - qy_lo, 2)), 9) AS points_distance,
   round(CASE WHEN {_MEET} THEN (least(x_hi, qx_hi) - greatest(x_lo, qx_lo)) * (least(y_hi, qy_hi) - greatest(y_lo, qy_lo)) ELSE 0 END, 9) AS common_area,
-  ({_MEET}) AS meets, ({_INSIDE}) AS inside, TRUE AS same,
+  ({_MEET}) AS meets, ({_INSIDE}) AS inside, vec_id % 2 = 0 AS same,
   round((greatest(x_hi, qx_hi) - least(x_lo, qx_lo)) * (greatest(y_hi, qy_hi) - least(y_lo, qy_lo)), 9) AS union_area,
-  0.0::DOUBLE AS point_area
+  0.0::DOUBLE AS point_area, vec_id % 3 = 0 AS same_ends
 FROM bx JOIN qb ON vec_id = query_id"""
 
 
@@ -249,13 +258,17 @@ def line_measures(spark, sf_dir):
     mid = g.segment_center(s)
     b = g.segment_box(s)
     r = lambda c: F.round(c, 9)
-    rows = segments(spark, sf_dir)
+    sg = segments(spark, sf_dir)
+    rows = sg.withColumn("kind", F.lit("slanted")).unionAll(
+        sg.withColumns({"ex": F.col("sx"), "kind": F.lit("vertical")})).unionAll(
+        sg.withColumns({"ey": F.col("sy"), "kind": F.lit("horizontal")}))
     asked = query_boxes(spark, sf_dir)
+    beyond = g.point(F.col("sx") - (F.col("ex") - F.col("sx")), F.col("sy") - (F.col("ey") - F.col("sy"))).low
     return rows.join(asked, rows.segment_id == asked.query_id).select(
-        "segment_id", r(g.line_distance(s, at)).alias("distance"), r(g.signed_line_distance(s, at)).alias("signed"),
+        "segment_id", "kind", r(g.line_distance(s, at)).alias("distance"), r(g.signed_line_distance(s, at)).alias("signed"),
         r(g.max_line_distance(s, q)).alias("corner_max"), r(g.perpendicular_angle(s)).alias("angle"),
         r(g.double_area(s.start, s.end, at)).alias("double_area"), g.left_of(s.start, s.end, at).alias("is_left"),
-        g.collinear(s.start, s.end, at).alias("on_line"), g.between(s.start, s.end, s.start).alias("end_between"),
+        g.collinear(s.start, s.end, at).alias("on_line"), g.between(s.start, s.end, mid).alias("mid_between"), g.between(s.start, s.end, beyond).alias("beyond_between"),
         r(mid[0]).alias("mx"), r(mid[1]).alias("my"), b.low[0].alias("bx_lo"), b.high[1].alias("by_hi"),
         g.segments_intersect(s, g.segment(["qx_lo", "qy_hi"], ["qx_hi", "qy_lo"])).alias("crosses"))
 
@@ -267,14 +280,17 @@ def _signed(px, py):
 _AT = "((ex - sx) * (qy_lo - sy) - (qx_hi - sx) * (ey - sy))"
 _OTHER = "((ex - sx) * (qy_hi - sy) - (qx_lo - sx) * (ey - sy))"
 _FALLING = [f"((qx_hi - qx_lo) * ({p}y - qy_hi) - ({p}x - qx_lo) * (qy_lo - qy_hi))" for p in "se"]
-_LINES = f"""WITH {SEGMENTS}, {QUERY_BOXES}
-SELECT segment_id, round(abs({_signed('qx_hi', 'qy_lo')}), 9) AS distance, round({_signed('qx_hi', 'qy_lo')}, 9) AS signed,
+_LINES = f"""WITH {SEGMENTS}, {QUERY_BOXES}, ln AS (
+  SELECT segment_id, 'slanted' AS kind, sx, sy, ex, ey FROM sg
+  UNION ALL SELECT segment_id, 'vertical', sx, sy, sx, ey FROM sg
+  UNION ALL SELECT segment_id, 'horizontal', sx, sy, ex, sy FROM sg)
+SELECT segment_id, kind, round(abs({_signed('qx_hi', 'qy_lo')}), 9) AS distance, round({_signed('qx_hi', 'qy_lo')}, 9) AS signed,
   round(greatest({_signed('qx_lo', 'qy_lo')}, {_signed('qx_lo', 'qy_hi')}, {_signed('qx_hi', 'qy_hi')}, {_signed('qx_hi', 'qy_lo')}), 9) AS corner_max,
-  round(atan(-(sx - ex) / (sy - ey)), 9) AS angle, round({_AT}, 9) AS double_area,
-  {_AT} > 0 AS is_left, {_AT} = 0 AS on_line, TRUE AS end_between,
+  round(CASE WHEN ex = sx THEN 0.0 WHEN ey = sy THEN pi() / 2 ELSE atan(-(sx - ex) / (sy - ey)) END, 9) AS angle, round({_AT}, 9) AS double_area,
+  {_AT} > 0 AS is_left, {_AT} = 0 AS on_line, (ex - sx) * ((sy + ey) / 2 - sy) - ((sx + ex) / 2 - sx) * (ey - sy) = 0 AS mid_between, FALSE AS beyond_between,
   round((sx + ex) / 2, 9) AS mx, round((sy + ey) / 2, 9) AS my, least(sx, ex) AS bx_lo, greatest(sy, ey) AS by_hi,
   ({_AT} > 0) <> ({_OTHER} > 0) AND ({_FALLING[0]} > 0) <> ({_FALLING[1]} > 0) AS crosses
-FROM sg JOIN qb ON segment_id = query_id"""
+FROM ln JOIN qb ON segment_id = query_id"""
 
 
 def bulk_feed(spark, sf_dir):
@@ -301,6 +317,8 @@ QUERIES = {
     "knn_vectors": (knn_vectors, _KNN_VECTORS),
     "knn_ties": (knn_ties, f"WITH {_GRID}" + _KNN.format(
         qid="s_suppkey", oid="p_partkey", dist="sqrt((x - qx) * (x - qx) + (y - qy) * (y - qy))", src="p, q", k=4)),
+    "knn_ties_in_groups": (knn_ties_in_groups, f"WITH {_GRID}" + _KNN.format(
+        qid="s_suppkey", oid="p_partkey", dist="sqrt((x - qx) * (x - qx) + (y - qy) * (y - qy))", src="p, q", k=4)),
     "knn_custom_distance": (knn_custom_distance, f"WITH {_GRID}" + _KNN.format(
         qid="s_suppkey", oid="p_partkey", dist="abs(x - qx) + abs(y - qy)", src="p, q", k=3)),
     "knn_boxes": (knn_boxes, f"WITH {BOXES}, {QUERY_BOXES}" + _KNN.format(

@@ -119,6 +119,27 @@ r AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY factor, d1, d
 SELECT event_id, gen_us, d1, d2, d3, window_id, factor FROM r WHERE place <= 10"""
 
 
+def _kept_rows(spark, sf_dir):
+    """Rows that are not late, and the progress after all rows, from one pass of the slack rule."""
+    flagged, fold = disorder.kslack_with_state(_disordered(spark, sf_dir), "app_us", ARRIVAL)
+    return disorder.kept_rows(flagged).select("event_id", "app_us", *DIMS), int(fold.progress)
+
+
+def window_top_delta_kept(spark, sf_dir):
+    rows, progress = _kept_rows(spark, sf_dir)
+    return win.window_top_delta(rows, DIMS, "app_us", UNEVEN, 10, ties=["app_us", "event_id"], progress=progress)
+
+
+def pane_skyline_kept(spark, sf_dir):
+    return win.pane_query(_kept_rows(spark, sf_dir)[0], DIMS, "app_us", UNEVEN)
+
+
+def window_sizes_kept(spark, sf_dir):
+    rows, progress = _kept_rows(spark, sf_dir)
+    return win.window_sizes(win.window_skyline(rows, DIMS, "app_us", UNEVEN, progress=progress),
+                            win.complete_windows(rows, "app_us", UNEVEN, progress))
+
+
 def windows_per_pane(spark, sf_dir):
     panes = win.with_pane(_rows(spark, sf_dir), "gen_us", UNEVEN).groupBy("pane_id").agg(F.count("*").alias("n_rows"))
     return win.windows_per_pane(panes, UNEVEN)
@@ -183,9 +204,7 @@ def kslack_drop_ratio(spark, sf_dir):
 
 def window_skyline_kept(spark, sf_dir):
     """The full query on disordered input: late rows dropped, windows closed by progress."""
-    flagged = _flagged(spark, sf_dir)
-    progress = flagged.agg(F.max("progress")).first()[0]
-    kept = disorder.kept_rows(flagged).select("event_id", "app_us", *DIMS)
+    kept, progress = _kept_rows(spark, sf_dir)
     return win.window_skyline(kept, DIMS, "app_us", UNEVEN, progress=progress)
 
 
@@ -195,6 +214,22 @@ SELECT event_id, app_us, d1, d2, d3, window_id FROM rw p WHERE NOT EXISTS (
   SELECT 1 FROM rw q WHERE {_beats('q', 'p', key='window_id')})"""
 
 
+_KEPT_RW = f"""WITH {STREAM}, {KSLACK}, kept AS (SELECT event_id, app_us, d1, d2, d3 FROM ks WHERE NOT is_late),
+{_windows_sql(UNEVEN, 'app_us', 'kept', '(SELECT max(progress) FROM ks)')}"""
+_TOP_KEPT = _KEPT_RW + f""", f AS (
+  SELECT p.event_id, p.app_us, p.d1, p.d2, p.d3, p.window_id,
+         coalesce((SELECT max({_COUNT3}) FROM rw q WHERE q.window_id = p.window_id AND ({_LT3})), 0) AS factor FROM rw p),
+r AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY factor, d1, d2, d3, app_us, event_id) AS place
+      FROM f WHERE factor < 3)
+SELECT event_id, app_us, d1, d2, d3, window_id, factor FROM r WHERE place <= 10"""
+_PANES_KEPT = f"""WITH {STREAM}, {KSLACK}, pn AS (
+  SELECT event_id, app_us, d1, d2, d3, (app_us - {ORIGIN}) // {UNEVEN.pane} AS pane_id FROM ks WHERE NOT is_late AND app_us >= {ORIGIN})
+SELECT * FROM pn p WHERE NOT EXISTS (SELECT 1 FROM pn q WHERE {_beats('q', 'p', key='pane_id')})"""
+_SIZES_KEPT = _KEPT_RW + f""", sky AS (
+  SELECT event_id, window_id FROM rw p WHERE NOT EXISTS (SELECT 1 FROM rw q WHERE {_beats('q', 'p', key='window_id')}))
+SELECT window_id, count(sky.event_id) AS n_points FROM cw LEFT JOIN sky USING (window_id) GROUP BY window_id"""
+
+
 def disorder_profile(spark, sf_dir):
     delayed = disorder.arrival_delay(_disordered(spark, sf_dir), "app_us", ARRIVAL)
     p = metrics.disorder_profile(delayed, "gen_us")
@@ -352,6 +387,13 @@ def arrival_prefix(spark, sf_dir):
     return prefix(_rows(spark, sf_dir), 100, ARRIVAL)
 
 
+def arrival_prefix_by_rank(spark, sf_dir):
+    """The way of a prefix too long to gather, by a small bound."""
+    from skyquill.operators.ordering import arrival_prefix as prefix
+
+    return prefix(_rows(spark, sf_dir), 100, ARRIVAL, gathered_rows=10)
+
+
 QUERIES = {
     "window_skyline_events": (window_skyline_events, _sky_sql(DAY) + " SELECT * FROM sky"),
     "window_skyline_uneven": (window_skyline_uneven, _sky_sql(UNEVEN) + " SELECT * FROM sky"),
@@ -376,6 +418,9 @@ SELECT count(*) AS n_results, round(avg(n_points), 6) AS avg_size, round(stddev_
     "kslack_drop_ratio": (kslack_drop_ratio, f"""WITH {STREAM}, {KSLACK} SELECT count(*) AS received,
   count(*) FILTER (WHERE is_late) AS dropped, round(count(*) FILTER (WHERE is_late) / count(*), 9) AS drop_ratio FROM ks"""),
     "window_skyline_kept": (window_skyline_kept, _KEPT_WINDOWS),
+    "window_top_delta_kept": (window_top_delta_kept, _TOP_KEPT),
+    "pane_skyline_kept": (pane_skyline_kept, _PANES_KEPT),
+    "window_sizes_kept": (window_sizes_kept, _SIZES_KEPT),
     "disorder_profile": (disorder_profile, _PROFILE),
     "inorder_emission": (inorder_emission, _RELEASE + " SELECT event_id, app_us, release_gen, is_late FROM em"),
     "inorder_emission_kept": (inorder_emission_kept, _RELEASE + " SELECT event_id, app_us FROM em WHERE NOT is_late"),
@@ -392,6 +437,8 @@ SELECT count(*) AS n_results, round(avg(n_points), 6) AS avg_size, round(stddev_
     "arrivals_per_second": (arrivals_per_second,
                             f"WITH {STREAM} SELECT gen_us // 1000000 AS second, count(*) AS n_rows FROM ev GROUP BY 1"),
     "throughput_variation": (throughput_variation, _VARIATION),
+    "arrival_prefix_by_rank": (arrival_prefix_by_rank,
+                               f"WITH {STREAM} SELECT event_id, gen_us, d1, d2, d3 FROM ev ORDER BY gen_us, event_id LIMIT 100"),
     "arrival_prefix": (arrival_prefix,
                        f"WITH {STREAM} SELECT event_id, gen_us, d1, d2, d3 FROM ev ORDER BY gen_us, event_id LIMIT 100"),
 }

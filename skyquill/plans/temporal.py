@@ -79,12 +79,11 @@ def _versioned_sql(condition, columns="DISTINCT c_custkey, id"):
 
 
 def versioned_bounds(spark, sf_dir):
-    rows = _history(spark, sf_dir).filter(F.col("valid_to") < float("inf"))
-    return packing.versioned_bounds(rows, LOW, HIGH, "valid_from", "valid_to", ["id"])
+    return packing.versioned_bounds(_history(spark, sf_dir), LOW, HIGH, "valid_from", "valid_to", ["id"])
 
 
 _VERSIONED_BOUNDS = f"""WITH {_HISTORY} SELECT id, min(x_lo) AS x_lo, min(y_lo) AS y_lo, min(valid_from) AS valid_from,
-  max(x_hi) AS x_hi, max(y_hi) AS y_hi, max(valid_to) AS valid_to FROM vh WHERE valid_to IS NOT NULL GROUP BY id"""
+  max(x_hi) AS x_hi, max(y_hi) AS y_hi, max(coalesce(valid_to, 'infinity'::DOUBLE)) AS valid_to FROM vh GROUP BY id"""
 
 
 def interval_predicates(spark, sf_dir):
@@ -94,7 +93,8 @@ def interval_predicates(spark, sf_dir):
     return _history(spark, sf_dir).select(
         "seq", mv.overlaps(valid, period).alias("overlaps"), mv.covers(period, valid).alias("covered"),
         mv.intersects_in_time(a, valid, b, period).alias("meets"), mv.contains_in_time(b, period, a, valid).alias("inside"),
-        mv.touches_in_time(a, valid, b, period).alias("touching"), mv.same_version(a, valid, a, valid).alias("same"))
+        mv.touches_in_time(a, valid, b, period).alias("touching"), mv.touches_point_in_time(a, valid, g.point(5.0, 7.0), period).alias("touching_point"),
+        mv.same_version(a, valid, a, mv.interval("valid_from", F.col("valid_to") + F.col("seq") % 2)).alias("same"))
 
 
 _T = 240 * HOUR
@@ -102,7 +102,7 @@ _PREDICATES = f"""WITH {_HISTORY}, o AS (SELECT *, valid_from < {_T} AND 0 < coa
 SELECT seq, ov AS overlaps, coalesce(valid_to, 'infinity'::DOUBLE) <= {_T} AS covered, ov AND x_lo <= 30 AND y_lo <= 30 AND x_hi >= 0 AND y_hi >= 0 AS meets,
   ov AND x_lo >= 0 AND y_lo >= 0 AND x_hi <= 30 AND y_hi <= 30 AS inside,
   ov AND x_lo <= 30 AND y_lo <= 30 AND x_hi >= 0 AND y_hi >= 0 AND (x_lo = 30 OR y_lo = 30 OR x_hi = 0 OR y_hi = 0) AS touching,
-  TRUE AS same FROM o"""
+  ov AND (x_lo = 5 OR x_hi = 5 OR y_lo = 7 OR y_hi = 7) AS touching_point, seq % 2 = 0 OR valid_to IS NULL AS same FROM o"""
 
 
 # moving boxes ---------------------------------------------------------------
@@ -176,12 +176,13 @@ def moving_predicates(spark, sf_dir):
     at = F.col("qt0") + 1.0
     during = mv.interval(F.col("qt0") + 0.5, F.col("qt0") + 1.5)
     p = mv.moving_point(["x", "y"], ["vx", "vy"], "t0", "t1")
+    other = mv.moving_point(["x", "y"], [F.col("vx") + F.col("vec_id") % 3, F.col("vy")], "t0", "t1")
     still = mv.still_box(g.box([-0.3, -0.3], [0.3, 0.3]), 0.0, 100.0)
     return _joined(spark, sf_dir).select(
         "vec_id", mv.meets_at(OBJECT(), QUERY(), at).alias("meets_at"), mv.holds_at(still, OBJECT(), at).alias("holds_at"),
         mv.meets_in_time(OBJECT(), still, during).alias("meets_during"), mv.holds_in_time(still, p).alias("holds_point"),
         mv.meets_in_time(p, still).alias("meets_point"), mv.holds_after(still, OBJECT(), at).alias("holds_after"),
-        mv.same_motion(p, p).alias("same"), mv.velocity_box(OBJECT()).high[0].alias("v_high"))
+        mv.same_motion(p, other).alias("same"), mv.velocity_box(OBJECT()).high[0].alias("v_high"))
 
 
 def _moving_predicates_sql():
@@ -214,7 +215,7 @@ def _moving_predicates_sql():
   ({alive} AND qt0 <= {at} AND {at} < qt1 AND {meets_query}) AS meets_at, ({alive} AND {inside(at)}) AS holds_at,
   {meets('greatest(t0, qt0 + 0.5)', 'least(t1, qt0 + 1.5)')} AS meets_during,
   (t0 < t1 AND {inside('t0', False)} AND {inside('t1', False)}) AS holds_point, {meets('t0', 't1', False)} AS meets_point,
-  ({after} < t1 AND {inside(after)} AND {inside('t1')}) AS holds_after, TRUE AS same, vxh AS v_high
+  ({after} < t1 AND {inside(after)} AND {inside('t1')}) AS holds_after, vec_id % 3 = 0 AS same, vxh AS v_high
 FROM mo JOIN mq ON vec_id = query_id"""
 
 

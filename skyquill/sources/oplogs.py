@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyquill.operators.ordering import arrival_rank
 from skyquill.sources.tuples import split_fields
 
 # Fixed values of the log format.
@@ -14,8 +15,14 @@ DELETE, INSERT, QUERY = 0, 1, 2
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with a sequence number that follows file order."""
-    return split_fields(spark.read.text(path)).withColumn("seq", F.monotonically_increasing_id())
+    """Lines numbered from 0 in the order of file names and of lines within a file.
+
+    A task may read several files, or blocks of files, in any order; lines of one block are read as they stand."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__line"))
+    ranked = arrival_rank(lines, ["__file", "__block", "__line"], "seq")
+    return split_fields(ranked.select("value", "seq"))
 
 
 def _f(i: int, kind: str = "double") -> Column:

@@ -124,7 +124,10 @@ class ReorderProcessor(StatefulProcessor):
         pass
 
 
-def _prepared(stream: DataFrame, ts: str, gen: str) -> DataFrame:
+def _prepared(stream: DataFrame, ts: str, gen: str, end: str | None = None) -> DataFrame:
+    """Rows without an event or an arrival time are set aside, as in the batch operators; those that end a source have none."""
+    timed = F.col(ts).isNotNull() & F.col(gen).isNotNull()
+    stream = stream.where(timed if end is None else timed | F.coalesce(F.col(end), F.lit(False)))
     return stream.withColumns({"__ts": micros(stream, ts), "__gen": micros(stream, gen)})
 
 
@@ -144,7 +147,7 @@ def reorder_stream(
     gains=GAINS, period: int = SAMPLE_MICROS, end: str | None = None,
 ) -> DataFrame:
     """Stream rows in order per source, with ``emit_seq`` and ``is_late``."""
-    rows = _prepared(stream, ts, gen)
+    rows = _prepared(stream, ts, gen, end)
     marker = end or "__end"
     if end is None:
         rows = rows.withColumn(marker, F.lit(False))

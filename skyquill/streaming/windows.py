@@ -21,9 +21,12 @@ from skyquill.runtime import checkpointed
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    """What an earlier batch stored, or None where there is nothing; any other error is the caller's."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 

@@ -209,3 +209,15 @@ def test_profile_and_ratio(spark):
     p = metrics.disorder_profile(disorder.arrival_delay(df, "app", ["gen", "id"]), "gen").first()
     top = np.maximum.accumulate(ts)
     assert p["n_late"] == int((np.array(ts) < top).sum()) and p["max_delay"] == int((top - ts).max())
+
+
+def test_rows_without_times_are_set_aside(spark):
+    rows = [(0, 10, 0), (1, None, 1), (2, 5, 2), (3, 20, 3), (4, 7, None)]
+    df = spark.createDataFrame(rows, "seq long, ts long, gen long")
+    flagged = disorder.kslack(df, "ts", ["seq"]).collect()
+    assert {r["seq"]: r["slack"] for r in flagged}[3] == 15 and {r["seq"] for r in flagged} == {0, 2, 3, 4}
+    assert disorder.without_times(df, "ts", "gen").count() == 2
+    assert {r["seq"] for r in disorder.reorder(df, "ts", "gen", ["seq"]).collect()} == {0, 2, 3}
+    keyed = df.withColumn("k", F.lit(1))
+    assert {r["seq"] for r in disorder.adaptive_kslack(keyed, "ts", "gen", "k", ["seq"], 0.1).collect()} == {0, 2, 3}
+    assert disorder.arrival_delay(df, "ts", ["seq"]).agg(F.max("delay")).first()[0] <= 13

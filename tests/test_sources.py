@@ -79,3 +79,18 @@ def test_long_prefixes_are_cut_by_rank(spark, monkeypatch):
     short = [r["t"] for r in ordering.arrival_prefix(df, 40, ["t"]).collect()]
     monkeypatch.setattr(ordering, "BROADCAST_ROWS", 10)
     assert sorted(r["t"] for r in ordering.arrival_prefix(df, 40, ["t"]).collect()) == short == list(range(40))
+
+
+def test_logs_of_several_files_follow_their_names(spark, tmp_path):
+    """The later, longer file is read first by a task that packs files by size."""
+    (tmp_path / "part-0.txt").write_text("1 7 0 0 1 1\n")
+    (tmp_path / "part-1.txt").write_text("0 7 0 0 1 1\n" + "".join(f"1 {100 + i} 0 0 1 1\n" for i in range(2000)))
+    log = oplogs.read_box_log(spark, str(tmp_path))
+    assert [tuple(r) for r in log.orderBy("seq").select("seq", "op", "id").limit(3).collect()] == [(0, 1, 7), (1, 0, 7), (2, 1, 100)]
+    state = versions.current_state(oplogs.updates(log), "id", ["seq"], F.col("op") == oplogs.INSERT)
+    assert state.filter("id = 7").count() == 0 and state.count() == 2000
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:  # blocks of one file
+        assert [r["id"] for r in oplogs.read_box_log(spark, str(tmp_path)).orderBy("seq").collect()] == [7, 7, *range(100, 2100)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
