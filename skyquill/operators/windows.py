@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyquill.functions.dominance import Dim
+from skyquill.operators.ordering import arrival_rank
 from skyquill.operators.preference import (
     BLOCK_ROWS,
     DominanceFactor,
@@ -77,10 +78,15 @@ def micros(df: DataFrame, column: str) -> Column:
 
 
 def with_pane(df: DataFrame, ts: str, windows: Windows, name: str = "pane_id") -> DataFrame:
-    """Add the pane number; rows before the origin belong to no window and go."""
+    """Add the pane number; rows before the origin belong to no window and go (``before_origin`` has them)."""
     return df.withColumn(name, windows.pane_of(micros(df, ts))).filter(F.col(name) >= 0)
 
 
+def before_origin(df: DataFrame, ts: str, windows: Windows) -> DataFrame:
+    """The rows that ``with_pane`` leaves out: before the origin or without a time."""
+    return df.filter(~F.coalesce(windows.pane_of(micros(df, ts)) >= 0, F.lit(False)))
+
+
 def to_windows(panes: DataFrame, windows: Windows, pane: str = "pane_id", name: str = "window_id") -> DataFrame:
     """One copy of each pane row per window that contains the pane."""
     p = F.col(pane)
@@ -174,6 +180,11 @@ def window_sizes(
     return complete.join(sizes, key, "left").select(key, F.coalesce(name, F.lit(0)).cast("long").alias(name))
 
 
+def window_positions(result: DataFrame, ties: Sequence[str], name: str = "position") -> DataFrame:
+    """0-based place of every row in the order of windows and ``ties``, without a one-task sort."""
+    return arrival_rank(result, ["window_id", *ties], name)
+
+
 def in_window_order(result: DataFrame, *ties: str) -> DataFrame:
     return result.orderBy("window_id", *ties)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skyquill.functions.dominance import canonical_order, high, low
+from skyquill.functions.dominance import canonical_order, high, low, no_worse_count, same_point
 from skyquill.operators import preference as pref
 from skyquill.plans.tables import STREAM, stream_rows, table
 
@@ -91,6 +91,42 @@ _BY_USER = f"""WITH {STREAM} SELECT event_id, user_id, d1, d2, d3 FROM ev p
 WHERE NOT EXISTS (SELECT 1 FROM ev q WHERE {_beats('q', 'p', key='user_id')})"""
 
 
+EIGHT = [f"v{i + 1}" for i in range(8)]
+
+
+def _eight(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id", "label", *[F.col("embedding")[i].cast("double").alias(v) for i, v in enumerate(EIGHT)])
+
+
+def skyline_eight_dims(spark, sf_dir):
+    """The number of dimensions of the published experiments."""
+    return pref.skyline(_eight(spark, sf_dir), EIGHT)
+
+
+def skyline_eight_dims_by_label(spark, sf_dir):
+    return pref.skyline(_eight(spark, sf_dir), EIGHT, ["label"])
+
+
+_EIGHT = ("WITH v AS (SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS {v}" for i, v in enumerate(EIGHT))
+          + " FROM embeddings) SELECT * FROM v p WHERE NOT EXISTS (SELECT 1 FROM v q WHERE {})")
+
+
+def dimension_equality(spark, sf_dir):
+    """Each event beside the next one of its user's number: equal on chosen dimensions, and where it is no worse."""
+    rows = stream_rows(spark, sf_dir).select("event_id", "d1", "d2", (F.col("d3") % 3).alias("d3"))
+    p, q = rows.alias("p"), rows.withColumn("event_id", F.col("event_id") - 1).alias("q")
+    return p.join(q, F.col("p.event_id") == F.col("q.event_id")).select(
+        F.col("p.event_id").alias("event_id"), same_point("p", "q", ["d2", high("d3")]).alias("same"),
+        no_worse_count("p", "q", DIMS).alias("no_worse"))
+
+
+_EQUALITY = f"""WITH {STREAM}, r AS (SELECT event_id, d1, d2, d3 % 3 AS d3 FROM ev)
+SELECT p.event_id, p.d2 = q.d2 AND p.d3 = q.d3 AS same,
+  (p.d1 <= q.d1)::INTEGER + (p.d2 <= q.d2)::INTEGER + (p.d3 <= q.d3)::INTEGER AS no_worse
+FROM r p JOIN r q ON q.event_id = p.event_id + 1"""
+
+
 def skyline_ordered(spark, sf_dir):
     rows = stream_rows(spark, sf_dir).select("event_id", *DIMS, "app_us", "gen_us")
     return canonical_order(pref.skyline(rows, DIMS), DIMS, "app_us", "gen_us")
@@ -231,6 +267,9 @@ QUERIES = {
     "skyline_blocks_merged": (skyline_blocks_merged, _MERGED),
     "dominated_by_point": (dominated_by_point, _BY_POINT),
     "dominated_by_benchmarks": (dominated_by_benchmarks, _BY_BENCHMARKS),
+    "skyline_eight_dims": (skyline_eight_dims, _EIGHT.format(_beats("q", "p", EIGHT))),
+    "skyline_eight_dims_by_label": (skyline_eight_dims_by_label, _EIGHT.format(_beats("q", "p", EIGHT, "label"))),
+    "dimension_equality": (dimension_equality, _EQUALITY),
     "dominance_pair_counts": (dominance_pair_counts, _PAIR_COUNTS),
     "dominated_by_benchmark_blocks": (dominated_by_benchmark_blocks, _BY_BENCHMARKS),
     "dominance_pair_count_blocks": (dominance_pair_count_blocks, _PAIR_COUNTS),

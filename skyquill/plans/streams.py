@@ -8,6 +8,7 @@ from skyquill.operators import disorder, metrics, windows as win
 from skyquill.operators.windows import Windows
 from skyquill.plans.preference import _COUNT3, _LT3, _beats, DIMS
 from skyquill.plans.tables import HOUR, MINUTE, ORIGIN, STREAM, stream_rows
+from skyquill.sources import tuples
 from skyquill.sources.sinks import second_series, window_lines
 
 DAY = Windows(24 * HOUR, 6 * HOUR, ORIGIN)
@@ -140,6 +141,30 @@ def window_sizes_kept(spark, sf_dir):
                             win.complete_windows(rows, "app_us", UNEVEN, progress))
 
 
+def window_order(spark, sf_dir):
+    """Results in the order windows are emitted, as (window, position)."""
+    result = win.window_skyline(_rows(spark, sf_dir), DIMS, "gen_us", UNEVEN)
+    return win.window_positions(result, ["gen_us", "event_id"]).select("window_id", "position", "event_id")
+
+
+def rows_before_origin(spark, sf_dir):
+    late_start = Windows(24 * HOUR, 6 * HOUR, ORIGIN + 48 * HOUR)
+    return win.before_origin(_rows(spark, sf_dir), "gen_us", late_start)
+
+
+def tuples_from_lines(spark, sf_dir):
+    lines = _disordered(spark, sf_dir).select(F.concat_ws("  ", *DIMS, "app_us", "gen_us").alias("value"))
+    return tuples.parse_tuples(lines, 3)
+
+
+def tuples_from_blocks(spark, sf_dir):
+    rows = _disordered(spark, sf_dir).select(*DIMS, F.col("app_us").alias("app_ts"), F.col("gen_us").alias("gen_ts"))
+    return tuples.unpack_tuples(tuples.pack_tuples(rows, 3), 3)
+
+
+_TUPLES = f"WITH {STREAM} SELECT d1, d2, d3, app_us AS app_ts, gen_us AS gen_ts FROM ev"
+
+
 def windows_per_pane(spark, sf_dir):
     panes = win.with_pane(_rows(spark, sf_dir), "gen_us", UNEVEN).groupBy("pane_id").agg(F.count("*").alias("n_rows"))
     return win.windows_per_pane(panes, UNEVEN)
@@ -216,11 +241,11 @@ SELECT event_id, app_us, d1, d2, d3, window_id FROM rw p WHERE NOT EXISTS (
 
 _KEPT_RW = f"""WITH {STREAM}, {KSLACK}, kept AS (SELECT event_id, app_us, d1, d2, d3 FROM ks WHERE NOT is_late),
 {_windows_sql(UNEVEN, 'app_us', 'kept', '(SELECT max(progress) FROM ks)')}"""
-_TOP_KEPT = _KEPT_RW + f""", f AS (
+_TOP_KEPT = _KEPT_RW + f""", fk AS (
   SELECT p.event_id, p.app_us, p.d1, p.d2, p.d3, p.window_id,
          coalesce((SELECT max({_COUNT3}) FROM rw q WHERE q.window_id = p.window_id AND ({_LT3})), 0) AS factor FROM rw p),
 r AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY factor, d1, d2, d3, app_us, event_id) AS place
-      FROM f WHERE factor < 3)
+      FROM fk WHERE factor < 3)
 SELECT event_id, app_us, d1, d2, d3, window_id, factor FROM r WHERE place <= 10"""
 _PANES_KEPT = f"""WITH {STREAM}, {KSLACK}, pn AS (
   SELECT event_id, app_us, d1, d2, d3, (app_us - {ORIGIN}) // {UNEVEN.pane} AS pane_id FROM ks WHERE NOT is_late AND app_us >= {ORIGIN})
@@ -275,7 +300,7 @@ def reorder_buffer_time(spark, sf_dir):
 
 
 def adaptive_kslack(spark, sf_dir):
-    """Sequential control loop per user; no SQL form."""
+    """Sequential control loop per user."""
     out = disorder.adaptive_kslack(_disordered(spark, sf_dir), "app_us", "gen_us", "user_id", ARRIVAL, 0.05,
                                    period=HOUR)
     return out.select("event_id", "user_id", F.round("alpha", 9).alias("alpha"), "is_late")
@@ -287,6 +312,49 @@ def adaptive_reorder(spark, sf_dir):
     return out.select("event_id", "user_id", "emit_seq", "is_late")
 
 
+# one arrival of every user a step: the clock, the controller at a sample, then the slack
+_ARRIVALS = "ar AS (SELECT event_id, user_id, app_us, gen_us, row_number() OVER (PARTITION BY user_id ORDER BY gen_us, event_id) AS n FROM ev)"
+_STATE = """0.0::DOUBLE AS high, NULL::DOUBLE AS low, 0.0::DOUBLE AS slack, 0.0::DOUBLE AS alpha, 0.0::DOUBLE AS integral, NULL::DOUBLE AS last,
+  0::BIGINT AS received, 0::BIGINT AS dropped, NULL::BIGINT AS sampled"""
+
+
+def _control(more: str = "") -> str:
+    clamp = "least(1.0::DOUBLE, greatest({}, {}))".format
+    kp, ki, kd = (f"{g}::DOUBLE" for g in disorder.GAINS)
+    return f"""t1 AS (SELECT st.*, ar.event_id AS e, ar.app_us AS ts, ar.gen_us AS gen, gen_us - coalesce(sampled, gen_us) >= {HOUR} AS due
+       FROM st JOIN ar ON ar.user_id = st.user_id AND ar.n = st.n + 1),
+t2 AS (SELECT *, 1 - dropped / (received + 1)::DOUBLE AS coverage FROM t1),
+t3 AS (SELECT *, coverage - 0.95::DOUBLE AS error, {clamp('-1.0::DOUBLE', f'integral + {ki} * (coverage - 0.95::DOUBLE)')} AS sum FROM t2),
+t4 AS (SELECT *, CASE WHEN due THEN {clamp('0.0::DOUBLE', 'alpha + ' + clamp('-1.0::DOUBLE', f'{kp} * error + sum + {kd} * (coverage - coalesce(last, coverage))'))}
+              ELSE alpha END AS alpha1, least(coalesce(low, ts), ts) AS low1 FROM t3),
+t5 AS (SELECT *, CASE WHEN ts > high THEN greatest(slack, ts - low1) ELSE slack END AS slack1 FROM t4){more}"""
+
+
+_NEXT = """greatest(high, ts), CASE WHEN ts > high THEN NULL ELSE low1 END, slack1, alpha1, CASE WHEN due THEN sum ELSE integral END,
+  CASE WHEN due THEN coverage ELSE last END, CASE WHEN due THEN 0 ELSE received + 1 END, CASE WHEN due THEN 0 ELSE dropped END"""
+_ADAPTIVE = f"""WITH RECURSIVE {STREAM}, {_ARRIVALS}, st AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, FALSE AS is_late, 0.0::DOUBLE AS progress, {_STATE} FROM ev
+  UNION ALL (WITH {_control(""",
+t6 AS (SELECT *, CASE WHEN ts > high THEN greatest(progress, ts - (1 - alpha1) * slack1) ELSE progress END AS progress1 FROM t5)""")}
+  SELECT user_id, n + 1, e, ts < progress1, progress1, {_NEXT} + (ts < progress1)::BIGINT,
+    CASE WHEN due THEN gen ELSE coalesce(sampled, gen) END FROM t6))
+SELECT event_id, user_id, round(alpha, 9) AS alpha, is_late FROM st WHERE n > 0"""
+# rows wait in a list; those up to the bound leave in order of event time and arrival, late if something later left before
+_ADAPTIVE_BUFFER = f"""WITH RECURSIVE {STREAM}, {_ARRIVALS}, st AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS n, 0.0::DOUBLE AS passed, 0.0::DOUBLE AS passed_before, 0::BIGINT AS seq,
+    []::STRUCT(ts BIGINT, n BIGINT, e BIGINT)[] AS waiting, []::STRUCT(ts BIGINT, n BIGINT, e BIGINT)[] AS leaving, {_STATE} FROM ev
+  UNION ALL (WITH {_control(""",
+t6 AS (SELECT *, list_append(waiting, {'ts': ts, 'n': n + 1, 'e': e}) AS held,
+         CASE WHEN ts > high THEN ts - (1 - alpha1) * slack1 ELSE -1.0::DOUBLE END AS bound FROM t5),
+t7 AS (SELECT *, list_sort([x FOR x IN held IF x.ts <= bound]) AS out, [x FOR x IN held IF x.ts > bound] AS rest FROM t6)""")}
+  SELECT user_id, n + 1, greatest(passed, coalesce(out[-1].ts, 0)), passed, seq + len(leaving), rest, out,
+    {_NEXT} + len([x FOR x IN out IF x.ts < passed]), CASE WHEN due THEN gen ELSE coalesce(sampled, gen) END FROM t7)),
+fin AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1),
+lv AS (SELECT user_id, seq, passed_before AS passed, leaving FROM st UNION ALL SELECT user_id, seq + len(leaving), passed, list_sort(waiting) FROM fin),
+ex AS (SELECT user_id, seq, passed, unnest(leaving) AS x, generate_subscripts(leaving, 1) - 1 AS place FROM lv)
+SELECT x.e AS event_id, user_id, seq + place AS emit_seq, x.ts < passed AS is_late FROM ex"""
+
+
 def reorder_by_user(spark, sf_dir):
     """In-order emission per source with the plain slack."""
     out = disorder.adaptive_reorder(_disordered(spark, sf_dir), "app_us", "gen_us", "user_id", ARRIVAL, None)
@@ -418,6 +486,11 @@ SELECT count(*) AS n_results, round(avg(n_points), 6) AS avg_size, round(stddev_
     "kslack_drop_ratio": (kslack_drop_ratio, f"""WITH {STREAM}, {KSLACK} SELECT count(*) AS received,
   count(*) FILTER (WHERE is_late) AS dropped, round(count(*) FILTER (WHERE is_late) / count(*), 9) AS drop_ratio FROM ks"""),
     "window_skyline_kept": (window_skyline_kept, _KEPT_WINDOWS),
+    "window_order": (window_order, _sky_sql(UNEVEN) + """ SELECT window_id, row_number() OVER (ORDER BY window_id, gen_us, event_id) - 1 AS position,
+  event_id FROM sky"""),
+    "rows_before_origin": (rows_before_origin, f"WITH {STREAM} SELECT event_id, gen_us, d1, d2, d3 FROM ev WHERE gen_us < {ORIGIN + 48 * HOUR}"),
+    "tuples_from_lines": (tuples_from_lines, _TUPLES),
+    "tuples_from_blocks": (tuples_from_blocks, _TUPLES),
     "window_top_delta_kept": (window_top_delta_kept, _TOP_KEPT),
     "pane_skyline_kept": (pane_skyline_kept, _PANES_KEPT),
     "window_sizes_kept": (window_sizes_kept, _SIZES_KEPT),
@@ -427,8 +500,8 @@ SELECT count(*) AS n_results, round(avg(n_points), 6) AS avg_size, round(stddev_
     "reorder_buffer_time": (reorder_buffer_time, _RELEASE +
                             " SELECT round(avg(release_gen - gen_us), 6) AS avg_buffer_time FROM em"),
     "reorder_by_user": (reorder_by_user, _BY_USER_EMISSION),
-    "adaptive_kslack": (adaptive_kslack, None),
-    "adaptive_reorder": (adaptive_reorder, None),
+    "adaptive_kslack": (adaptive_kslack, _ADAPTIVE),
+    "adaptive_reorder": (adaptive_reorder, _ADAPTIVE_BUFFER),
     "pane_latency": (pane_latency, _PANE_LATENCY),
     "window_latency": (window_latency, _WINDOW_LATENCY),
     "window_rate": (window_rate, _RATE),

@@ -9,6 +9,7 @@ from skyquill.functions import moving as mv
 from skyquill.operators import packing, versions
 from skyquill.plans.spatial import HIGH, LOW
 from skyquill.plans.tables import HOUR, MOVING, MOVING_QUERIES, OP_LOG, moving_objects, moving_queries, op_log, table
+from skyquill.sources import oplogs
 
 INSERT = lambda: F.col("op") == 1
 OBJECT = lambda: mv.moving_box(["x", "y"], ["xh", "yh"], ["vx", "vy"], ["vxh", "vyh"], "t0", "t1")
@@ -105,6 +106,31 @@ SELECT seq, ov AS overlaps, coalesce(valid_to, 'infinity'::DOUBLE) <= {_T} AS co
   ov AND (x_lo = 5 OR x_hi = 5 OR y_lo = 7 OR y_hi = 7) AS touching_point, seq % 2 = 0 OR valid_to IS NULL AS same FROM o"""
 
 
+# operation logs as lines -----------------------------------------------------
+
+def _log_lines(spark, sf_dir, *fields):
+    """Every tenth operation asks instead of changing."""
+    rows = op_log(spark, sf_dir).withColumn("op", F.when(F.col("seq") % 10 == 0, 2).otherwise(F.col("op")))
+    return rows.select("seq", F.concat_ws(" ", *[F.col(f) if isinstance(f, str) else f for f in fields]).alias("value"))
+
+
+def box_log(spark, sf_dir):
+    return oplogs.box_log(_log_lines(spark, sf_dir, "op", "id", "x_hi", "y_lo", "x_lo", "y_hi"))
+
+
+def versioned_log(spark, sf_dir):
+    asked = [F.when(F.col("op") == 2, F.col("t") + d) for d in (0, 5)]
+    return oplogs.versioned_log(_log_lines(spark, sf_dir, "t", "op", "id", "x_lo", "y_lo", "x_hi", "y_hi", *asked))
+
+
+def moving_log(spark, sf_dir):
+    zero = F.lit("0")
+    return oplogs.moving_log(_log_lines(spark, sf_dir, "id", "op", "t", F.col("t") + 7, zero, "x_lo", "x_hi", zero, "y_lo", "y_hi"))
+
+
+_LOGGED = f"WITH {OP_LOG}, lq AS (SELECT * REPLACE (CASE WHEN seq % 10 = 0 THEN 2 ELSE op END AS op) FROM lg)"
+
+
 # moving boxes ---------------------------------------------------------------
 
 def moving_state(spark, sf_dir):
@@ -308,6 +334,11 @@ FROM pc GROUP BY 1, 2"""
 
 
 QUERIES = {
+    "box_log": (box_log, _LOGGED + " SELECT seq, op, id, x_lo, y_lo, x_hi, y_hi FROM lq"),
+    "versioned_log": (versioned_log, _LOGGED + """ SELECT seq, t::DOUBLE AS t, op, id, x_lo, y_lo, x_hi, y_hi,
+  CASE WHEN op = 2 THEN t::DOUBLE END AS q_start, CASE WHEN op = 2 THEN (t + 5)::DOUBLE END AS q_end FROM lq"""),
+    "moving_log": (moving_log, _LOGGED + """ SELECT seq, id, op, t::DOUBLE AS ct, (t + 7)::DOUBLE AS rt,
+  x_lo AS ax, x_hi AS vx, y_lo AS ay, y_hi AS vy FROM lq"""),
     "current_state": (current_state, _STATE),
     "version_history": (version_history, f"WITH {_HISTORY} SELECT id, seq, valid_from, valid_to FROM vh"),
     "versioned_range": (versioned_range, _versioned_sql(_MEET)),

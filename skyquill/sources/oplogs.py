@@ -22,7 +22,7 @@ def _numbered(spark: SparkSession, path: str) -> DataFrame:
         "value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__line"))
     ranked = arrival_rank(lines, ["__file", "__block", "__line"], "seq")
-    return split_fields(ranked.select("value", "seq"))
+    return ranked.select("value", "seq")
 
 
 def _f(i: int, kind: str = "double") -> Column:
@@ -36,26 +36,38 @@ def _box_columns(at: int) -> list[Column]:
             F.greatest(x1, x2).alias("x_hi"), F.greatest(y1, y2).alias("y_hi")]
 
 
-def read_box_log(spark: SparkSession, path: str) -> DataFrame:
-    """``op id x1 y1 x2 y2`` per line."""
-    return _numbered(spark, path).select("seq", _f(0, "int").alias("op"), _f(1, "long").alias("id"), *_box_columns(2))
+def box_log(lines: DataFrame) -> DataFrame:
+    """Operations from lines (``seq``, ``value``) of ``op id x1 y1 x2 y2``."""
+    return split_fields(lines).select("seq", _f(0, "int").alias("op"), _f(1, "long").alias("id"), *_box_columns(2))
 
 
-def read_versioned_log(spark: SparkSession, path: str) -> DataFrame:
-    """``t op id x1 y1 x2 y2`` per line; query lines add their interval."""
-    return _numbered(spark, path).select(
+def versioned_log(lines: DataFrame) -> DataFrame:
+    """Operations from lines of ``t op id x1 y1 x2 y2``; query lines add their interval."""
+    return split_fields(lines).select(
         "seq", _f(0).alias("t"), _f(1, "int").alias("op"), _f(2, "long").alias("id"), *_box_columns(3),
         _f(7).alias("q_start"), _f(8).alias("q_end"))
 
 
-def read_moving_log(spark: SparkSession, path: str) -> DataFrame:
-    """``id op ct rt - ax vx - ay vy`` per line. Updates carry position and velocity at
+def moving_log(lines: DataFrame) -> DataFrame:
+    """Operations from lines of ``id op ct rt - ax vx - ay vy``. Updates carry position and velocity at
     ``ct``; query lines carry the x and y extents and the interval ``[ct, rt]``."""
-    return _numbered(spark, path).select(
+    return split_fields(lines).select(
         "seq", _f(0, "long").alias("id"), _f(1, "int").alias("op"), _f(2).alias("ct"), _f(3).alias("rt"),
         _f(5).alias("ax"), _f(6).alias("vx"), _f(8).alias("ay"), _f(9).alias("vy"))
 
 
+def read_box_log(spark: SparkSession, path: str) -> DataFrame:
+    return box_log(_numbered(spark, path))
+
+
+def read_versioned_log(spark: SparkSession, path: str) -> DataFrame:
+    return versioned_log(_numbered(spark, path))
+
+
+def read_moving_log(spark: SparkSession, path: str) -> DataFrame:
+    return moving_log(_numbered(spark, path))
+
+
 def moving_queries(log: DataFrame) -> DataFrame:
     return log.filter(F.col("op") == QUERY).select(
         F.col("seq").alias("query_id"), F.least("ax", "vx").alias("x_lo"), F.greatest("ax", "vx").alias("x_hi"),
