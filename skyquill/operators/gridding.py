@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from math import ceil, log
+from math import ceil, isfinite, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +54,9 @@ class Grid:
         found = sides[0].unionByName(sides[1]).groupBy("side", *[f"level{i}" for i in span]).agg(
             *[F.max(f"reach{i}").alias(f"reach{i}") for i in span], F.count("*").alias("n")).collect()
         reach = [max([r[f"reach{i}"] for r in found], default=0.0) for i in span]
+        for i, far in enumerate(reach):
+            if not isfinite(far):
+                raise ValueError(f"boxes must have finite coordinates; axis {i} holds {far}")
         reach_level = [ceil(log(v, _BASE)) if v > 0 else 0 for v in reach]
         self.units = []
         for i in span:
@@ -73,8 +76,8 @@ class Grid:
         self.floor = max(top - _DEPTH, exact)
         self.left_levels, self.right_levels = (
             {max(level_of(r), self.floor) for r in found if r["side"] == name} for name in ("l", "r"))
-        #: a left row has a key at most once, so no key has more left rows than this
-        self.left_rows = sum(r["n"] for r in found if r["side"] == "l")
+        #: a row has a key at most once, so no key has more rows of a side than this
+        self.left_rows, self.right_rows = (sum(r["n"] for r in found if r["side"] == name) for name in ("l", "r"))
 
     def _level(self, lows: Sequence[Column], highs: Sequence[Column]) -> Column:
         scaled = [_axis_level(lo, hi) - u for lo, hi, u in zip(lows, highs, self.units)]
@@ -121,8 +124,10 @@ def hot_keys(left: DataFrame, keys: list[str], limit: int) -> DataFrame:
     )
 
 
-def share_out(left: DataFrame, right: DataFrame, hot: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Split hot keys: their left rows are dealt over shares, right rows go to each share.
+def share_out(
+    left: DataFrame, right: DataFrame, hot: DataFrame, keys: list[str], share: str = "__share",
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Split hot keys: their left rows are dealt over shares, right rows go to each share. ``keys`` gains ``share``.
 
     There are fewer hot keys than (left rows / limit); they are broadcast only
     below the row bound and joined by shuffle above it.
@@ -133,10 +138,11 @@ def share_out(left: DataFrame, right: DataFrame, hot: DataFrame, keys: list[str]
     if len(found) <= BROADCAST_ROWS:
         hot = F.broadcast(left.sparkSession.createDataFrame(found, hot.schema))
     deal = F.pmod(F.monotonically_increasing_id(), F.coalesce("__shares", F.lit(1))).cast("int")
-    left = left.join(hot, keys, "left").withColumn("__share", deal).drop("__shares")
-    right = right.join(hot, keys, "left").withColumn(
-        "__share", F.explode(F.sequence(F.lit(0), F.coalesce("__shares", F.lit(1)) - 1))).drop("__shares")
-    return left, right, [*keys, "__share"]
+    on = [k for k in keys if k in hot.columns]
+    left = left.join(hot, on, "left").withColumn(share, deal).drop("__shares")
+    right = right.join(hot, on, "left").withColumn(
+        share, F.explode(F.sequence(F.lit(0), F.coalesce("__shares", F.lit(1)) - 1))).drop("__shares")
+    return left, right, [*keys, share]
 
 
 def meeting_pairs(
@@ -159,15 +165,21 @@ def meeting_pairs(
     grid = Grid(left, right, axes)
     keys = [*extra, "__role", "__level", *[f"__c{i}" for i in range(axes)]]
     l, r = grid.keys(spread(left), "l"), grid.keys(right, "r")
-    if grid.left_rows > hot_rows:
+    cell = list(keys)
+
+    def hot_cells(side: DataFrame, name: str, rows: int) -> DataFrame:
         # which cells are hot only shapes the plan, so a sample of the rows may tell
-        fraction = min(1.0, HOT_SAMPLE_ROWS / grid.left_rows)
-        seen = left if fraction == 1.0 else left.sample(fraction, seed=17)
-        hot = hot_keys(grid.keys(seen, "l"), keys, max(1, int(hot_rows * fraction)))
-        l, r, keys = share_out(l, r, hot, keys)
+        fraction = min(1.0, HOT_SAMPLE_ROWS / rows)
+        seen = side if fraction == 1.0 else side.sample(fraction, seed=17)
+        return hot_keys(grid.keys(seen, name), cell, max(1, int(hot_rows * fraction)))
+
+    if grid.left_rows > hot_rows:
+        l, r, keys = share_out(l, r, hot_cells(left, "l", grid.left_rows), keys)
+    if grid.right_rows > hot_rows:
+        r, l, keys = share_out(r, l, hot_cells(right, "r", grid.right_rows), keys, "__share_r")
     joined = l.join(r, keys)
     overlap = reduce(lambda a, b: a & b, (
         (F.col(f"__llo{i}") <= F.col(f"__rhi{i}")) & (F.col(f"__rlo{i}") <= F.col(f"__lhi{i}")) for i in range(axes)))
     kept = joined.filter(overlap & grid.in_reference_cell())
-    helpers = ["__role", "__level", "__share", *[f"__{s}{i}" for s in ("c", "llo", "lhi", "rlo", "rhi") for i in range(axes)]]
+    helpers = ["__role", "__level", "__share", "__share_r", *[f"__{s}{i}" for s in ("c", "llo", "lhi", "rlo", "rhi") for i in range(axes)]]
     return kept.drop(*helpers)
