@@ -177,7 +177,7 @@ def _finisher(keys: list[str], names: list[str], aggregate: PreferenceAggregate)
     return finish
 
 
-def _prefiltered(rows: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+def _prefiltered(rows: DataFrame, keys: list[str], names: list[str], least_rows: int) -> DataFrame:
     """Drop, inside the scan, rows that one of a few strong rows of their group dominates.
 
     Two narrow aggregates over the dimension columns find those rows, one per
@@ -190,7 +190,8 @@ def _prefiltered(rows: DataFrame, keys: list[str], names: list[str]) -> DataFram
         *[F.min(n).alias(f"min{n}") for n in names], *[F.avg(n).alias(f"avg{n}") for n in names],
     ).first()
     groups = seen["groups"] if keys else 1
-    if seen["n"] < PREFILTER_ROWS or seen["n"] < 200 * groups or groups > BROADCAST_ROWS:
+    pays = least_rows == 0 or seen["n"] >= 200 * groups
+    if not seen["n"] or seen["n"] < least_rows or not pays or groups > BROADCAST_ROWS:
         return rows
     scaled = []
     for n in names:
@@ -290,19 +291,26 @@ def evaluate(
     *,
     block_rows: int = BLOCK_ROWS,
     compact_rows: int | None = None,
+    small_bytes: int = SMALL_BYTES,
+    prefilter_rows: int = PREFILTER_ROWS,
 ) -> DataFrame:
     """Run a preference aggregate per group of ``keys``.
 
+    A plain scan of less than ``small_bytes`` whose groups fit a task is finished in one pass; in one of
+    ``prefilter_rows`` rows or more, what a few strong rows dominate is dropped inside the scan. Both choose between
+    ways to the same result; 0 turns the first off and the second on for every size.
+
     ``compact_rows`` says the input is already the small result of an earlier
     step, cheap to read twice and with at most that many rows, so the local
     prune and the checkpoint are skipped.
     """
-    return evaluate_bounded(df, dims, keys, aggregate, block_rows, compact_rows)[0]
+    return evaluate_bounded(df, dims, keys, aggregate, block_rows, compact_rows, small_bytes, prefilter_rows)[0]
 
 
 def evaluate_bounded(
     df: DataFrame, dims: Sequence[Dim | str], keys: Sequence[str] = (), aggregate: PreferenceAggregate | None = None,
-    block_rows: int = BLOCK_ROWS, compact_rows: int | None = None,
+    block_rows: int = BLOCK_ROWS, compact_rows: int | None = None, small_bytes: int = SMALL_BYTES,
+    prefilter_rows: int = PREFILTER_ROWS,
 ) -> tuple[DataFrame, int]:
     """As ``evaluate``, with an upper bound on the number of rows of the result."""
     dims, keys, aggregate = as_dims(dims), list(keys), aggregate or Skyline()
@@ -316,7 +324,7 @@ def evaluate_bounded(
         grouped = candidates.groupBy(*keys) if keys else candidates.groupBy()
         return grouped.agg(F.count("*").alias("__rows")).filter(F.col("__rows") > block_rows)
 
-    if compact_rows is None and is_plain_scan(df) and (estimated_bytes(df) or SMALL_BYTES) < SMALL_BYTES:
+    if compact_rows is None and is_plain_scan(df) and (estimated_bytes(df) or small_bytes) < small_bytes:
         # a small scan: when every raw group fits a task, one pass finishes it
         sizes = (rows.groupBy(*keys) if keys else rows.groupBy()).agg(F.count("*").alias("n"))
         seen = sizes.agg(F.max("n").alias("largest"), F.sum("n").alias("n")).first()
@@ -324,7 +332,7 @@ def evaluate_bounded(
             return _finish_small(rows, keys, names, aggregate).select(*output), seen["n"] or 0
     if compact_rows is None:
         if is_plain_scan(df):
-            rows = _prefiltered(rows, keys, names)
+            rows = _prefiltered(rows, keys, names, prefilter_rows)
         rows, bound = checkpointed_with_count(spread(rows).mapInArrow(_pruner(keys, names, aggregate), rows.schema))
 
     if bound <= block_rows or oversized(rows).isEmpty():

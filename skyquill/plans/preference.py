@@ -49,6 +49,21 @@ SELECT * FROM o l WHERE NOT EXISTS (SELECT 1 FROM cheapest c WHERE c.b = l.p_bra
   AND (c.p < l.l_extendedprice OR c.q > l.l_quantity OR c.d > l.l_discount))"""
 
 
+def skyline_prefiltered(spark, sf_dir):
+    """The way of large scans, whatever the size."""
+    return pref.skyline(offers(spark, sf_dir), OFFER, small_bytes=0, prefilter_rows=0)
+
+
+def skyline_by_flag_prefiltered(spark, sf_dir):
+    return pref.skyline(offers(spark, sf_dir, "l_returnflag"), OFFER, ["l_returnflag"], small_bytes=0, prefilter_rows=0)
+
+
+_BY_FLAG = f"""WITH cheapest AS (SELECT l_returnflag AS b, l_quantity AS q, l_discount AS d, min(l_extendedprice) AS p FROM lineitem GROUP BY ALL)
+SELECT {', '.join(OFFER_COLUMNS)}, l_returnflag FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM cheapest c WHERE c.b = l.l_returnflag
+  AND c.p <= l.l_extendedprice AND c.q >= l.l_quantity AND c.d >= l.l_discount
+  AND (c.p < l.l_extendedprice OR c.q > l.l_quantity OR c.d > l.l_discount))"""
+
+
 def skyline_merge(spark, sf_dir):
     rows = offers(spark, sf_dir, "l_linestatus")
     parts = F.pmod(F.xxhash64("l_linestatus"), F.lit(2))  # whatever the values are, every row is in one part
@@ -267,6 +282,8 @@ QUERIES = {
     "skyline_blocks_merged": (skyline_blocks_merged, _MERGED),
     "dominated_by_point": (dominated_by_point, _BY_POINT),
     "dominated_by_benchmarks": (dominated_by_benchmarks, _BY_BENCHMARKS),
+    "skyline_prefiltered": (skyline_prefiltered, _OFFER_SQL),
+    "skyline_by_flag_prefiltered": (skyline_by_flag_prefiltered, _BY_FLAG),
     "skyline_eight_dims": (skyline_eight_dims, _EIGHT.format(_beats("q", "p", EIGHT))),
     "skyline_eight_dims_by_label": (skyline_eight_dims_by_label, _EIGHT.format(_beats("q", "p", EIGHT, "label"))),
     "dimension_equality": (dimension_equality, _EQUALITY),

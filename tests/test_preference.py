@@ -102,19 +102,19 @@ def test_nothing_can_be_pruned(spark):
     assert pref.skyline(df, ["a", high("b")], block_rows=700).collect()[0]["id"] == 0
 
 
-def test_prefilter_keeps_the_answer(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("least", [0, 100])
+def test_prefilter_keeps_the_answer(spark, tmp_path, least):
     data = frame(np.random.default_rng(2), 4000, 3, 3)
     path = str(tmp_path / "rows")
     spark.createDataFrame(data).write.parquet(path)
     df = spark.read.parquet(path)
     assert is_plain_scan(df)
-    monkeypatch.setattr(pref, "PREFILTER_ROWS", 100)
-    monkeypatch.setattr(pref, "SMALL_BYTES", 0)
+    size = {"small_bytes": 0, "prefilter_rows": least}
     dims = ["d0", high("d1"), "d2"]
     signed = data.assign(d1=-data["d1"])
-    assert [i for i, in ids(pref.skyline(df, dims), "id")] == sorted(brute(signed, ["d0", "d1", "d2"])["id"])
+    assert [i for i, in ids(pref.skyline(df, dims, **size), "id")] == sorted(brute(signed, ["d0", "d1", "d2"])["id"])
     want = sorted(i for _, part in signed.groupby("k") for i in brute(part, ["d0", "d1", "d2"])["id"])
-    assert [i for i, in ids(pref.skyline(df, dims, ["k"]), "id")] == want
+    assert [i for i, in ids(pref.skyline(df, dims, ["k"], **size), "id")] == want
 
 
 def test_merge_is_associative_and_idempotent(spark):
