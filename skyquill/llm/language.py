@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyquill.llm.storage import same, small_first, stored
-from skyquill.llm.textkit import LOWER, slices, text_bytes
+from skyquill.llm.textkit import LOWER, SEPARATORS, slices, text_bytes
 
 LANGUAGES = ("de", "en", "es", "fr")
 #: Trigrams are hashed to this many cells.
@@ -39,12 +39,19 @@ def _cells(data: np.ndarray) -> np.ndarray:
     return (mixed * np.uint32(0x27D4EB2F)) >> np.uint32(16)
 
 
+#: Bytes that say something about a language: letters, other than ASCII ones by their bytes, and space between words.
+_TELLING = np.zeros(256, bool)
+_TELLING[[*range(65, 91), *range(97, 123), *range(128, 256), *SEPARATORS]] = True
+
+
 def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of all trigrams within rows, and the border of each row in them."""
+    """Cells of all trigrams within rows, and the border of each row in them. Trigrams with digits or marks are left
+    out, so numbers, keys and addresses in a text are no evidence against its language."""
     if len(data) < 3:
         return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
     cells = _cells(data)
-    inside = np.ones(len(cells), bool)
+    telling = _TELLING[data]
+    inside = telling[:-2] & telling[1:-1] & telling[2:]
     for back in (1, 2):  # trigrams that leave their row
         at = offsets[1:-1] - back
         inside[at[(at >= 0) & (at < len(cells))]] = False
