@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyquill.llm.storage import stored
-from skyquill.llm.textkit import IS_SEPARATOR, LOWER, SEPARATORS, slices, text_bytes
+from skyquill.llm.storage import small_batches, stored
+from skyquill.llm.textkit import IS_SEPARATOR, LOWER, SEPARATORS, slices, text_bytes, word_borders
 
 #: Labelled rows that the scorer is fitted on at most.
 SAMPLE = 20_000
@@ -72,7 +72,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def character_model(docs: DataFrame) -> np.ndarray:
     """log P(third | first, second) of symbols, counted over all texts and smoothed by shorter histories."""
     counts = (docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count, "gram int, n long")
-              .groupBy("gram").agg(F.sum("n").alias("n")).toPandas())  # as many rows as trigrams of symbols at most
+              .groupBy("gram").agg(F.sum("n").alias("n")))
+    with small_batches(docs.sparkSession):
+        counts = counts.toPandas()  # as many rows as trigrams of symbols at most
     grams = np.zeros(_SYMBOLS ** 3)
     grams[counts["gram"]] = counts["n"]
     grams = grams.reshape(_SYMBOLS, _SYMBOLS, _SYMBOLS)
@@ -137,15 +139,21 @@ class Restorer:
             letters.append(letter)
         return "".join(reversed(letters)).encode()
 
-    def words(self, text: bytes) -> set[bytes]:
-        """The distinct words of a lower-cased text, as written and as restored."""
+    def words(self, text: bytes, odd: list[bytes] | None = None, spaced: bool = True) -> set[bytes]:
+        """The distinct words of a lower-cased text, as written and as restored.
+
+        ``odd`` are the words in which ``signs`` saw a disguise (all words are looked at without it), and
+        ``spaced`` says whether it saw single characters set apart.
+        """
         out = {word.strip(_EDGES) for word in set(text.split())}
-        if _DISGUISE.search(text):
-            out |= {self.word(word) for word in out if _DISGUISE.search(word)}
+        for word in list(out) if odd is None else odd:
             # a mark may also end a word, which then is not part of it
-            out |= {self.word(bare) for word in out if (bare := word.rstrip(b"!")) != word and _DISGUISE.search(bare)}
-        for run in _SPACED.finditer(text):
-            out.add(self.word(run.group()))
+            for bare in {word.strip(_EDGES), word.strip(_EDGES).rstrip(b"!")}:
+                if _DISGUISE.search(bare):
+                    out.add(self.word(bare))
+        if spaced:
+            for run in _SPACED.finditer(text):
+                out.add(self.word(run.group()))
         out |= {word.rstrip(b"!") for word in out if word.endswith(b"!")}
         out.discard(b"")
         return out
@@ -159,13 +167,48 @@ def features(words: set[bytes]) -> set[bytes]:
     return out
 
 
-def _lower_texts(column: pa.Array) -> Iterator[bytes]:
+_IS_LETTER = np.zeros(256, bool)
+_IS_LETTER[list(_LETTERS.encode())] = True
+_IS_MARK = np.zeros(256, bool)
+_IS_MARK[list(b"0123456789@$!|+(*#")] = True
+_IS_BETWEEN = np.zeros(256, bool)
+_IS_BETWEEN[list(b".-_*")] = True
+_IS_SINGLE = _IS_LETTER | _IS_MARK
+_IS_APART = IS_SEPARATOR | _IS_BETWEEN
+
+
+def signs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where lower-cased bytes show a sign of disguise, and where a single character stands apart from its neighbours.
+
+    Both find every place that the patterns of words and of spaced runs can match at, and more.
+    """
+    n = len(data)
+    odd, apart = np.zeros(n, bool), np.zeros(n, bool)
+    if n > 2:
+        letter, mark = _IS_LETTER[data], _IS_MARK[data]
+        odd[:-1] = (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
+        odd[:-2] |= letter[:-2] & (data[:-2] == data[1:-1]) & (data[:-2] == data[2:])
+        odd[:-2] |= letter[:-2] & _IS_BETWEEN[data[1:-1]] & letter[2:]
+        apart[1:-1] = _IS_APART[data[:-2]] & _IS_SINGLE[data[1:-1]] & _IS_APART[data[2:]]
+    return odd, apart
+
+
+def _lower_texts(column: pa.Array) -> Iterator[tuple[bytes, list[bytes], bool]]:
+    """Each text lower-cased, its words with a sign of disguise, and whether single characters stand apart in it."""
     data, offsets = text_bytes(column)
     for a, b in slices(offsets):
-        whole = LOWER[data[offsets[a]:offsets[b]]].tobytes()
-        at = (offsets[a:b + 1] - offsets[a]).tolist()
-        for s, e in zip(at, at[1:], strict=False):
-            yield whole[s:e]
+        part = LOWER[data[offsets[a]:offsets[b]]]
+        whole = part.tobytes()
+        at = offsets[a:b + 1] - offsets[a]
+        odd, apart = signs(part)
+        singles = np.concatenate([[0], np.cumsum(apart)])
+        starts, ends, first = word_borders(part, at)
+        strange = np.unique(np.searchsorted(starts, np.flatnonzero(odd), "right") - 1)
+        strange = strange[strange >= 0]
+        split = np.searchsorted(strange, first)
+        words = [whole[s:e] for s, e in zip(starts[strange].tolist(), ends[strange].tolist(), strict=True)]
+        for k, (s, e) in enumerate(zip(at.tolist(), at[1:].tolist(), strict=False)):
+            yield whole[s:e], words[split[k]:split[k + 1]], bool(singles[e] > singles[s])
 
 
 def _tally(model: np.ndarray):
@@ -187,7 +230,7 @@ def _tally(model: np.ndarray):
         for batch in batches:
             for toxic, half, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), _lower_texts(batch.column(0)),
                                          strict=True):
-                counts[toxic, half].update(features(restorer.words(text)))
+                counts[toxic, half].update(features(restorer.words(*text)))
                 if sum(map(len, counts.values())) > 500_000:
                     yield from given()
         yield from given()
@@ -202,11 +245,15 @@ class Scorer:
     weights: dict[bytes, float]
     curve: np.ndarray
 
-    def measures(self, restorer: Restorer, text: bytes) -> tuple[float, ...]:
+    def __post_init__(self) -> None:
+        #: the first bytes of all features: other words weigh nothing
+        self.heads = {feature.removesuffix(b"~")[:4] for feature in self.weights}
+
+    def measures(self, restorer: Restorer, text: tuple[bytes, list[bytes], bool]) -> tuple[float, ...]:
         """One, all evidence, the three weightiest words, and the share of weighty words."""
-        words = restorer.words(text)
-        get = self.weights.get
-        hits = sorted((best for word in words if (best := max(get(word, 0.0), *(get(word[:n] + b"~", 0.0) for n in (4, 5, 6))))),
+        words = restorer.words(*text)
+        get, heads = self.weights.get, self.heads
+        hits = sorted((best for word in words if word[:4] in heads and (best := max(get(word, 0.0), *(get(word[:n] + b"~", 0.0) for n in (4, 5, 6))))),
                       reverse=True)
         return 1.0, math.log1p(sum(hits)), sum(hits[:3]), 10 * len(hits) / (10 + len(words))
 
