@@ -6,6 +6,7 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +130,15 @@ def test_disguised_words_are_restored(model):
     assert restorer.words(b"") == set() and restorer.words("é é é ñ".encode())
 
 
+def test_signs_miss_no_disguise(model):
+    rng = random.Random(12)
+    parts = ["the ", "1d10t ", "i d i o t ", "i.d.i.o.t ", "aaa", "b", "\n", "a!", "! ", "é", "x-y-z ", "$", "9", ". ", "i  d  i ", "_a_b_c_"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(400)] + [None, ""]
+    restorer = toxicity.Restorer(model)
+    for text, seen in zip(texts, toxicity._lower_texts(pa.array(texts)), strict=True):
+        assert seen[0] == (text or "").encode() and restorer.words(*seen) == restorer.words(seen[0])
+
+
 def test_viterbi_is_the_best_path(model):
     restorer = toxicity.Restorer(model)
     for written in ("c4t", "1t", "s3a", "@n7"):
