@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyquill.llm.storage import same, small_first, stored
+from skyquill.llm.storage import same, small_batches, small_first, stored
 from skyquill.llm.textkit import LOWER, SEPARATORS, slices, text_bytes
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -82,7 +82,9 @@ def text_model(docs: DataFrame, text: Column, declared: Column, languages: tuple
     """Log probability of each trigram cell per language, counted over all rows that declare one of ``languages``."""
     counts = (docs.select(text.cast("string").alias("text"), declared.cast("string").alias("declared"))
               .mapInArrow(_count(languages), "language int, cell int, n long")
-              .groupBy("language", "cell").agg(F.sum("n").alias("n")).toPandas())  # languages * CELLS rows at most
+              .groupBy("language", "cell").agg(F.sum("n").alias("n")))
+    with small_batches(docs.sparkSession):
+        counts = counts.toPandas()  # languages * CELLS rows at most
     model = np.full((len(languages), CELLS), 0.1)
     model[counts["language"], counts["cell"]] += counts["n"]
     return np.log(model / model.sum(axis=1, keepdims=True)).astype(np.float32)

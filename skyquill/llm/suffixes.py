@@ -17,14 +17,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyquill.llm.storage import same, small_first, stored
+from skyquill.llm.storage import same, small_batches, small_first, stored
 from skyquill.llm.textkit import lower_words, window_hashes
 from skyquill.runtime import checkpointed
 
@@ -84,8 +83,12 @@ def _anchors(passage: int, gram: int):
     return run
 
 
-def _contexts(passage: int):
-    """The suffix at each given place and the words before it, as big-endian hashes, so bytes sort as words do."""
+def _contexts(passage: int, reach: int):
+    """The suffix at each given place and the words before it, as big-endian hashes, so bytes sort as words do.
+
+    Runs of words reach no further to the left of a kept position than ``passage`` less its hashed words; what a
+    longer match has there is covered by the kept positions before.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, words, first, _, _ in lower_words(batch.column(0)):
@@ -97,7 +100,7 @@ def _contexts(passage: int):
                 place = at + first[row]
                 end, begin, n = first[row + 1], first[row], len(codes)
                 right = [codes[p:min(p + passage, e)].tobytes() for p, e in zip(place.tolist(), end.tolist(), strict=True)]
-                left = [back[n - p:n - max(p - passage, s)].tobytes() for p, s in zip(place.tolist(), begin.tolist(), strict=True)]
+                left = [back[n - p:n - max(p - reach, s)].tobytes() for p, s in zip(place.tolist(), begin.tolist(), strict=True)]
                 rows = pa.array(row + a)
                 for s in range(0, len(row), 4096):
                     take = rows.slice(s, 4096)
@@ -280,7 +283,8 @@ def repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> tuple[
                   F.first("words").alias("words")))
     texts = stored(texts, "suffix-texts")
     places = texts.select("h", "g", F.explode(F.arrays_zip("seeds", "places")).alias("x")).select("h", "g", "x.seeds", "x.places")
-    again = places.groupBy("seeds").agg(F.count("*").alias("n")).where("n > 1").select("seeds")
+    # stored apart, so that the join has two exchanges and a beginning that very many texts share can be split
+    again = stored(places.groupBy("seeds").agg(F.count("*").alias("n")).where("n > 1").select("seeds"), "suffix-again")
     hits = stored(places.join(again, "seeds").groupBy("h", "g").agg(F.collect_list("places").alias("places")), "suffix-hits")
     hit_texts = hits.join(texts.select("h", "g", "doc"), ["h", "g"])
 
@@ -288,11 +292,12 @@ def repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> tuple[
     keys = small_first(hits.select("h", "g"))
     one = (keyed.select("text", "h", "g").join(keys, ["h", "g"], "left_semi").groupBy("h", "g")
            .agg(F.first("text").alias("text")).join(hit_texts, ["h", "g"]).select("text", "h", "g", "doc", "places"))
-    suffixes = one.mapInArrow(_contexts(passage), "h long, g long, doc long, place int, suffix binary, before binary")
+    suffixes = one.mapInArrow(_contexts(passage, passage - gram), "h long, g long, doc long, place int, suffix binary, before binary")
     many = hits.agg(F.sum(F.size("places"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), many // PARTITION_ROWS + 1)
-    order = checkpointed(suffixes.repartitionByRange(parts, "suffix", "doc", "h", "g", "place")
-                         .sortWithinPartitions("suffix", "doc", "h", "g", "place"))
+    with small_batches(spark):
+        order = checkpointed(suffixes.repartitionByRange(parts, "suffix", "doc", "h", "g", "place")
+                             .sortWithinPartitions("suffix", "doc", "h", "g", "place"))
     row = "h long, g long, doc long, place int, suffix binary, before binary"
     matched = stored(order.mapInArrow(_neighbours(passage), f"part int, run long, l0 int, r0 int, l1 int, r1 int, {row}"),
                      "suffix-matched")
@@ -301,7 +306,8 @@ def repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> tuple[
     matched = matched.withColumn("run", F.shiftleft(F.col("part").cast("long"), 40).bitwiseOR(F.col("run")))
     bridges = _bridges(ends, lasts, passage)
     if bridges:
-        bridge = F.broadcast(spark.createDataFrame(bridges, "run long, onto long"))
+        runs, onto = zip(*bridges, strict=True)
+        bridge = F.broadcast(spark.createDataFrame(pa.table({"run": runs, "onto": onto})))  # fewer rows than partitions
         matched = matched.join(bridge, "run", "left").withColumn("run", F.coalesce("onto", "run")).drop("onto")
     smallest = matched.groupBy("run").agg(F.min(F.struct("doc", "h", "g", "place", "suffix", "before")).alias("x"), F.count("*").alias("n"))
     smallest = smallest.where("n > 1").selectExpr("run", "x.h AS h0", "x.g AS g0", "x.place AS place0", "x.suffix AS suffix0",
@@ -335,13 +341,13 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM)
             .select("doc_id", F.expr("borders[i]").alias("start_word"), F.expr("borders[i + 1] - borders[i]").alias("n_words"), "removed"))
 
 
-@F.pandas_udf(T.StringType())
-def _without(text: pd.Series, borders: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def _without(text: pa.Array, borders: pa.Array) -> pa.Array:
     """The text without the words between the borders and the space after them."""
     from skyquill.llm.textkit import word_borders
 
     out = []
-    for value, cut in zip(text, borders, strict=True):
+    for value, cut in zip(text.to_pylist(), borders.to_pylist(), strict=True):
         if value is None or cut is None:
             out.append(value)
             continue
@@ -353,7 +359,7 @@ def _without(text: pd.Series, borders: pd.Series) -> pd.Series:
             kept.append(data[at:starts[a]])
             at = int(starts[b])
         out.append(b"".join([*kept, data[at:]]).decode())
-    return pd.Series(out, dtype=object)
+    return pa.array(out, pa.string())
 
 
 def without_repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
@@ -364,14 +370,14 @@ def without_repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -
     _, found = repeats(docs, passage, gram)
     found = found.select(F.col("h").alias("_h"), F.col("g").alias("_g"), F.col("doc").alias("_doc"), F.col("removed").alias("_cut"))
     h, g = text_keys(F.col("text"))
-    keyed = docs.select("*", h.alias("_key_h"), g.alias("_key_g"))
-    joined = keyed.join(small_first(found), (F.col("_key_h") == F.col("_h")) & (F.col("_key_g") == F.col("_g")), "left")
-    joined = joined.where(F.col("_doc").isNull() | (F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col("_doc")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("_text"),
+                       F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_id"), h.alias("_key_h"), g.alias("_key_g"))
+    rows = rows.join(small_first(found), (F.col("_key_h") == F.col("_h")) & (F.col("_key_g") == F.col("_g")), "left")
+    rows = rows.where(F.col("_doc").isNull() | (F.col("_id") == F.col("_doc")))
     cut = F.col("_cut").isNotNull()
-    text = _without(F.when(cut, F.col("text")), F.col("_cut"))
-    joined = joined.withColumn("text", F.when(cut, text).otherwise(F.col("text")))
-    joined = joined.where(~cut | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    rows = rows.withColumn("_rest", _without(F.when(cut, F.col("_text")), F.col("_cut")))
+    rows = rows.where(~cut | F.col("_rest").rlike(r"[^\x20\x09-\x0D]"))
+    changed = F.col("row").withField("text", F.col("_rest"))
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        joined = joined.withColumn("n_chars", F.when(cut, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
+        changed = changed.withField("n_chars", F.char_length("_rest").cast(docs.schema["n_chars"].dataType))
+    return rows.select(F.when(cut, changed).otherwise(F.col("row")).alias("row")).select("row.*")

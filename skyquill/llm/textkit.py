@@ -6,13 +6,15 @@ space and ``\\t\\n\\v\\f\\r``; all of these are ASCII, so byte borders are code
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once; a single longer document is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 IS_SEPARATOR = np.zeros(256, bool)
@@ -51,8 +53,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def let_go() -> None:
+    """Give back what earlier batches have left in the pools of a worker, which lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError, TypeError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the border offsets of its rows; null is empty."""
+    let_go()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string())
@@ -73,6 +83,7 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         last = min(n, max(last, first + 1))
         yield first, last
         first = last
+    let_go()
 
 
 def word_borders(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -15,7 +15,7 @@ import numpy as np
 from skyquill.llm.textkit import LOWER
 
 #: Words a worker remembers in each of two generations.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 _LOWER = LOWER.tobytes()
 _PUNCTUATION = b".,"
