@@ -64,7 +64,8 @@ class WordEncoder:
 
     def _new(self, word: bytes) -> bytes:
         stem = word.rstrip(_PUNCTUATION)
-        if len(stem) in (0, len(word)) or not stem.decode()[-1].isalpha():
+        # a letter that isn't one letter in lower case may join the punctuation
+        if len(stem) in (0, len(word)) or not stem.decode()[-1].lower().isalpha():
             return self._word(word)
         # letters and a run of punctuation after them are encoded apart
         for part in (stem, word[len(stem):]):
