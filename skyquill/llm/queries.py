@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from skyquill.llm.language import documents_language, pages_language
 from skyquill.llm.mixing import mix
 from skyquill.llm.near_text import near_duplicates
 from skyquill.llm.packing import pack_documents
+from skyquill.llm.storage import stored
 from skyquill.llm.suffixes import repeated_passages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,8 +87,9 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is read back from all conversations formatted, and from one whose texts are control strings."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.digests(chat.formatted(rows.unionByName(extra)))
+    extra = pa.table({"conv_id": [-7, -7], "turn": [0, 1], "role": ["user", "assistant"], "text": [said, said]})
+    whole = stored(chat.formatted(rows.unionByName(spark.createDataFrame(extra))), "chat-formatted")
+    return chat.digests(whole)
 
 
 QUERIES["op2_chat_format"] = op2_chat_format
