@@ -108,7 +108,8 @@ def linked_pairs(a: CoverTree, b: CoverTree, cosine: float) -> tuple[np.ndarray,
             continue
         gap = _distances(a.points[[a.centre[k] for k in xs]], b.points[[b.centre[k] for k in ys]])
         reached = np.add.outer([a.radius[k] for k in xs], [b.radius[k] for k in ys])
-        single = reached == 0  # decided by the cosine of the two centres
+        # two points are decided by their cosine; a radius of 0 may still hold several, which rounding sets apart
+        single = np.logical_and.outer([len(a.members[k]) == 1 for k in xs], [len(b.members[k]) == 1 for k in ys])
         inside = ~single & (gap + reached <= reach - SLACK)
         for k, m in zip(*np.nonzero(inside), strict=True):
             p, q = a.members[xs[k]], b.members[ys[m]]

@@ -87,3 +87,20 @@ def test_dual_traversal_is_exact():
         finest = np.sqrt(2 - 2 * 0.98) / 16
         i, j = covertree.linked_pairs(covertree.CoverTree(a, finest), covertree.CoverTree(b, finest), 0.98)
         assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(zip(*(x.tolist() for x in np.nonzero(a @ b.T >= 0.98)), strict=True))
+
+
+def test_points_at_a_rounded_distance_of_zero_keep_their_links(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(40):
+        v = rng.normal(size=64)
+        near = [v + rng.normal(size=64) * 0.08 for _ in range(3)]
+        rows += [(len(rows) + k, [float(c) for c in x], 0) for k, x in enumerate([v, 3 * v, 7 * v, *near])]
+    units = np.array([np.array(v) / np.abs(v).max() for _, v, _ in rows])
+    units /= np.sqrt((units * units).sum(axis=1))[:, None]
+    tree = covertree.CoverTree(units, np.sqrt(2 - 2 * 0.98) / 16)
+    assert any(r == 0 and len(np.unique(units[m], axis=0)) > 1 for r, m in zip(tree.radius, tree.members, strict=True))
+    i, j = covertree.linked_pairs(tree, tree, 0.98)
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(zip(*(x.tolist() for x in np.nonzero(units @ units.T >= 0.98)), strict=True))
+    got = covertree.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {x["vec_id"]: (x["n_links"], x["component_id"]) for x in got} == plain_links(rows)
