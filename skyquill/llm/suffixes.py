@@ -6,6 +6,10 @@ words that follow it, and equal runs keep equal positions. Suffixes whose first
 others are sorted in one distributed order, neighbours are compared, and matches are extended to the right and to the left.
 Chains of matching neighbours elect their smallest occurrence, against which all others are compared once more.
 
+The order settles all matches of suffixes whose first 16 words occur twice. Where they occur more often, suffixes with
+other words before them may stand between two that match, so each run of 50 words whose least hash is that of such a
+beginning is also grouped by its own hash: the smallest place of a group is its first, all others are removable.
+
 A passage is removable from a document only if the same words stand at a smaller (doc_id, position), so of each
 passage one occurrence always stays. Words are compared with A-Z lower-cased and whatever separates them. Texts that
 are equal are one text, held by their smallest doc_id; the others repeat it wholly, and rows equal in text and doc_id
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyquill.llm.storage import same, small_batches, small_first, stored
-from skyquill.llm.textkit import lower_words, window_hashes
+from skyquill.llm.textkit import _BASE, _BASE_INVERSE, lower_words, mix, powers, window_hashes
 from skyquill.runtime import checkpointed
 
 #: Words a repeated passage has at least, and words of the hash that selects positions and starts a suffix's order.
@@ -83,22 +87,51 @@ def _anchors(passage: int, gram: int):
     return run
 
 
-def _contexts(passage: int, reach: int):
+def _owned(grams: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, passage: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which runs of ``passage`` words have their leftmost least hash at each place: they begin ``low`` up to, without,
+    ``high`` words before it. ``at`` are places in ``grams``, of texts that lie between ``begin`` and ``end``."""
+    width = passage - gram + 1
+    least = _running(grams, width, np.minimum) if len(grams) >= width else np.zeros(0, np.uint64)
+    low, high = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
+    for back in range(width):
+        start = at - back
+        fits = np.flatnonzero((start >= begin) & (start + passage <= end))
+        fits = fits[least[start[fits]] == grams[at[fits]]]
+        low[fits[high[fits] == 0]] = back
+        high[fits] = back + 1
+    # an equal hash further left in the run owns it
+    order = np.lexsort((at, grams[at]))
+    near = (grams[at[order[1:]]] == grams[at[order[:-1]]]) & (begin[order[1:]] == begin[order[:-1]])
+    gap = at[order[1:]] - at[order[:-1]]
+    later = order[1:][near]
+    high[later] = np.minimum(high[later], gap[near])
+    return low, np.maximum(low, high)
+
+
+def _contexts(passage: int, gram: int):
     """The suffix at each given place and the words before it, as big-endian hashes, so bytes sort as words do.
 
     Runs of words reach no further to the left of a kept position than ``passage`` less its hashed words; what a
-    longer match has there is covered by the kept positions before.
+    longer match has there is covered by the kept positions before. ``low``/``high`` say which runs of words are to be
+    grouped by hash as well (see ``_owned``); none for suffixes that the order settles.
     """
+    reach = passage - gram
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, words, first, _, _ in lower_words(batch.column(0)):
                 codes = (words >> np.uint64(32)).astype(">u4")
                 back = codes[::-1].copy()
                 lists = batch.column(4).slice(a, b - a)
-                at = np.concatenate([np.zeros(0, np.int64), lists.flatten().to_numpy(zero_copy_only=False)]).astype(np.int64)
+                given = lists.flatten()
+                at = np.concatenate([np.zeros(0, np.int64), given.field(0).to_numpy(zero_copy_only=False)]).astype(np.int64)
+                often = np.concatenate([np.zeros(0, bool), given.field(1).to_numpy(zero_copy_only=False)]).astype(bool)
                 row = np.repeat(np.arange(b - a), np.diff(lists.offsets.to_numpy()))
                 place = at + first[row]
                 end, begin, n = first[row + 1], first[row], len(codes)
+                low, high = np.zeros((2, len(at)), np.int32)
+                if often.any():
+                    low[often], high[often] = _owned(window_hashes(words, gram), place[often], begin[often], end[often], passage, gram)
                 right = [codes[p:min(p + passage, e)].tobytes() for p, e in zip(place.tolist(), end.tolist(), strict=True)]
                 left = [back[n - p:n - max(p - reach, s)].tobytes() for p, s in zip(place.tolist(), begin.tolist(), strict=True)]
                 rows = pa.array(row + a)
@@ -106,8 +139,9 @@ def _contexts(passage: int, reach: int):
                     take = rows.slice(s, 4096)
                     yield pa.RecordBatch.from_arrays(
                         [*(batch.column(i).take(take) for i in (1, 2, 3)), pa.array(at[s:s + 4096].astype(np.int32)),
-                         pa.array(right[s:s + 4096], pa.binary()), pa.array(left[s:s + 4096], pa.binary())],
-                        ["h", "g", "doc", "place", "suffix", "before"])
+                         pa.array(right[s:s + 4096], pa.binary()), pa.array(left[s:s + 4096], pa.binary()),
+                         pa.array(low[s:s + 4096]), pa.array(high[s:s + 4096])],
+                        [*_SUFFIX, "low", "high"])
     return run
 
 
@@ -226,6 +260,66 @@ def _spans(passage: int):
     return run
 
 
+def _windows(passage: int, gram: int):
+    """Each run of ``passage`` words that rows of the order own, with its place and 128 bits of its words."""
+    reach, salts = passage - gram, (np.uint64(0), np.uint64(0x9E3779B97F4A7C15))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for s in range(0, whole.num_rows, 4096):
+                batch = whole.slice(s, 4096)
+                suffix, _ = _matrix(batch.column("suffix"), passage)
+                before, _ = _matrix(batch.column("before"), reach)
+                codes = np.concatenate([before[:, ::-1], suffix], axis=1).astype(np.uint64)
+                low, high = batch.column("low").to_numpy(), batch.column("high").to_numpy()
+                back = np.arange(reach + 1)
+                row, back = np.nonzero((back >= low[:, None]) & (back < high[:, None]))
+                bits = []
+                for salt in salts:
+                    sums = np.zeros((len(codes), codes.shape[1] + 1), np.uint64)
+                    np.cumsum(mix(codes + salt) * powers(_BASE, codes.shape[1])[:codes.shape[1]], axis=1, out=sums[:, 1:])
+                    inverse = powers(_BASE_INVERSE, codes.shape[1] + 1)
+                    start = reach - back
+                    bits.append(pa.array(mix((sums[row, start + passage] - sums[row, start]) * inverse[start]).view(np.int64)))
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i).take(take) for i in range(3)),
+                     pa.array((batch.column("place").to_numpy()[row] - back).astype(np.int32)), *bits], ["h", "g", "doc", "place", "u", "v"])
+    return run
+
+
+def _runs(passage: int):
+    """Runs of ``passage`` words at the places of a text united where they touch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(3)
+            at, offsets = lists.flatten().to_numpy().astype(np.int64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            order = np.lexsort((at, row))
+            at, row = at[order], row[order]
+            begins = np.ones(len(at), bool)
+            begins[1:] = (np.diff(at) > passage) | (np.diff(row) > 0)
+            ends = np.append(begins[1:], True)[:len(at)]
+            take = pa.array(row[begins])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(at[begins]), pa.array(at[ends] + passage),
+                 batch.column(2).take(take)], ["h", "g", "start", "stop", "removed"])
+    return run
+
+
+def _grouped(order: DataFrame, passage: int, gram: int) -> DataFrame:
+    """Spans of repeated runs of words that the order may miss, by the hash of the whole run."""
+    runs = stored(order.where("low < high").mapInArrow(
+        _windows(passage, gram), "h long, g long, doc long, place int, u long, v long"), "suffix-windows")
+    # grouped where they are first, then stored, so that a run of words that very many texts share can be split in the join
+    again = stored(runs.groupBy("u", "v").agg(F.min(F.struct("doc", "h", "g", "place")).alias("x"), F.count("*").alias("n"))
+                   .where("n > 1").select("u", "v", "x"), "suffix-window-groups")
+    later = F.struct("doc", "h", "g", "place") != F.col("x")
+    places = runs.join(small_first(again), ["u", "v"]).select("h", "g", later.alias("removed"), "place")
+    return (places.groupBy("h", "g", "removed").agg(F.collect_list("place").alias("places"))
+            .mapInArrow(_runs(passage), "h long, g long, start long, stop long, removed boolean"))
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans (start, stop) of a text united where they touch, as a flat list of borders."""
     for batch in batches:
@@ -284,21 +378,25 @@ def repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> tuple[
     texts = stored(texts, "suffix-texts")
     places = texts.select("h", "g", F.explode(F.arrays_zip("seeds", "places")).alias("x")).select("h", "g", "x.seeds", "x.places")
     # stored apart, so that the join has two exchanges and a beginning that very many texts share can be split
-    again = stored(places.groupBy("seeds").agg(F.count("*").alias("n")).where("n > 1").select("seeds"), "suffix-again")
-    hits = stored(places.join(again, "seeds").groupBy("h", "g").agg(F.collect_list("places").alias("places")), "suffix-hits")
+    again = stored(places.groupBy("seeds").agg(F.count("*").alias("n")).where("n > 1")
+                   .select("seeds", (F.col("n") > 2).alias("often")), "suffix-again")
+    hits = stored(places.join(again, "seeds").groupBy("h", "g")
+                  .agg(F.collect_list(F.struct("places", "often")).alias("places")), "suffix-hits")
     hit_texts = hits.join(texts.select("h", "g", "doc"), ["h", "g"])
 
     # the suffixes themselves, one text of each key
     keys = small_first(hits.select("h", "g"))
     one = (keyed.select("text", "h", "g").join(keys, ["h", "g"], "left_semi").groupBy("h", "g")
            .agg(F.first("text").alias("text")).join(hit_texts, ["h", "g"]).select("text", "h", "g", "doc", "places"))
-    suffixes = one.mapInArrow(_contexts(passage, passage - gram), "h long, g long, doc long, place int, suffix binary, before binary")
+    row = "h long, g long, doc long, place int, suffix binary, before binary"
+    suffixes = one.mapInArrow(_contexts(passage, gram), f"{row}, low int, high int")
     many = hits.agg(F.sum(F.size("places"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), many // PARTITION_ROWS + 1)
     with small_batches(spark):
         order = checkpointed(suffixes.repartitionByRange(parts, "suffix", "doc", "h", "g", "place")
                              .sortWithinPartitions("suffix", "doc", "h", "g", "place"))
-    row = "h long, g long, doc long, place int, suffix binary, before binary"
+    grouped = _grouped(order, passage, gram)
+    order = order.select(*_SUFFIX)
     matched = stored(order.mapInArrow(_neighbours(passage), f"part int, run long, l0 int, r0 int, l1 int, r1 int, {row}"),
                      "suffix-matched")
     ends = order.mapInArrow(_ends, f"part int, end int, {row}").collect()  # two rows a partition
@@ -313,7 +411,7 @@ def repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> tuple[
     smallest = smallest.where("n > 1").selectExpr("run", "x.h AS h0", "x.g AS g0", "x.place AS place0", "x.suffix AS suffix0",
                                                   "x.before AS before0")
     spans = (matched.join(smallest, "run").drop("part", "run", "doc")
-             .mapInArrow(_spans(passage), "h long, g long, start long, stop long, removed boolean").distinct())
+             .mapInArrow(_spans(passage), "h long, g long, start long, stop long, removed boolean").unionAll(grouped).distinct())
     merged = (spans.groupBy("h", "g", "removed").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
               .mapInArrow(_merged, "h long, g long, removed boolean, borders array<long>"))
     merged = merged.groupBy("h", "g").agg(F.first(F.when(F.col("removed"), F.col("borders")), True).alias("removed"),

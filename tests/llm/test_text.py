@@ -137,6 +137,30 @@ def test_passages_match_all_windows(spark):
     assert {w for t in texts.values() for w in plain.words(t)} == {w for t in rest.values() for w in plain.words(t)}
 
 
+def frequent_line(seed: int) -> list[str]:
+    """300 texts with one line of 30 words; for 40 pairs of them the 20 to 30 words before or after it are the same as well."""
+    rng = random.Random(seed)
+    line = [f"line{i}" for i in range(30)]
+    texts = [[f"t{t}w{i}" for i in range(60)] for t in range(300)]
+    for k in range(40):
+        shared = [f"pair{k}w{i}" for i in range(20 + k % 11)]
+        for t in rng.sample(range(300), 2):
+            texts[t][30:30] = [*shared, *line] if k % 2 else [*line, *shared]
+    return [" ".join(t if "line0" in t else t[:30] + line + t[30:]) for t in texts]
+
+
+def test_passages_around_a_frequent_line_match_all_windows(spark):
+    texts = dict(enumerate(frequent_line(6) + passages(3)))
+    covered, later = plain.repeated(texts)
+    found, removed = {}, {}
+    for x in repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)).collect():
+        span = set(range(x["start_word"], x["start_word"] + x["n_words"]))
+        found.setdefault(x["doc_id"], set()).update(span)
+        if x["removed"]:
+            removed.setdefault(x["doc_id"], set()).update(span)
+    assert found == covered and removed == later
+
+
 def test_passages_of_edge_cases(spark):
     docs = spark.createDataFrame(plain.edge_documents(), plain.DOCUMENTS)
     got = repeated_passages(docs).collect()
