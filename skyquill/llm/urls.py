@@ -6,8 +6,10 @@ the prior of a unit has the posterior mean of the unit above and a weight estima
 differ (method of moments). A page is blocked when a lower bound of its host's posterior share exceeds a limit, so hosts
 with few labels are blocked on strong evidence only. Explicit rules go first.
 
-Null addresses and those without ``://`` have an empty host and path: no rule fits them, they have no reputation and
-pass, as hosts without a labelled page do. A page with several labels counts each; null labels count none. Repeated pages
+A host without a labelled page is judged with n = 0 by the mean of its registered domain, else its suffix, else all pages.
+The spread around it is that of every level without labels, one beta within the other. Null addresses and those without ``://`` have an empty
+host and path: no rule fits them, they have no reputation and pass. Without any label nothing is known of any host, and
+the prior of all pages is even. A page with several labels counts each; null labels count none. Repeated pages
 repeat their outcomes. Extra columns are not read.
 """
 
@@ -78,8 +80,14 @@ def _shrunk(units: DataFrame, above: str) -> DataFrame:
         "mean", (F.col("bad") + F.col("weight") * F.col(above)) / F.col("pages")).drop("weight")
 
 
-def reputations(outcomes: DataFrame) -> DataFrame:
-    """(host, mean, bound) from (host, bad): posterior share of bad pages and its lower bound, per host with pages."""
+def _bound(mean: Column, pages: Column) -> Column:
+    spread = F.sqrt(mean * (1 - mean) / (pages + 1))
+    return F.greatest(mean - DEVIATIONS * spread, F.lit(0.0))
+
+
+def _levels(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Posteriors of hosts, of domains and of suffixes with labelled pages, and one row of the mean of all
+    pages and how much a host differs from its domain (``in_domain``), suffix and all: the beta's 1 / (weight + 1)."""
     hosts = stored(outcomes.where("bad IS NOT NULL").groupBy("host").agg(
         F.sum(F.col("bad").cast("double")).alias("bad"), F.count("*").cast("double").alias("n"))
         .withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("host"))), "url-hosts")
@@ -91,19 +99,43 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     suffixes = _shrunk(level("suffix").join(F.broadcast(whole)), "above")
     domains = _shrunk(level("domain", "suffix").join(suffixes.select("suffix", F.col("mean").alias("above")), "suffix"), "above")
     units = _shrunk(hosts.join(domains.select("domain", F.col("mean").alias("above")), "domain"), "above")
-    spread = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("pages") + 1))
-    return units.select("host", "mean", F.greatest(F.col("mean") - DEVIATIONS * spread, F.lit(0.0)).alias("bound"))
+    # within betas of weights w, mean * (1 - mean) is left by the product of w / (w + 1)
+    held = [x.agg(F.coalesce(F.first(F.col("pages") - F.col("n")), F.lit(MOST_WEIGHT)).alias("w")).select((F.col("w") / (F.col("w") + 1)).alias(name))
+            for x, name in ((units, "a"), (domains, "b"), (suffixes, "c"))]
+    for one in held:
+        whole = whole.join(F.broadcast(one))  # one row
+    return units, domains, suffixes, whole.selectExpr("above", "1 - a AS in_domain", "1 - a * b AS in_suffix", "1 - a * b * c AS in_all")
+
+
+def reputations(outcomes: DataFrame) -> DataFrame:
+    """(host, mean, bound) from (host, bad): posterior share of bad pages and its lower bound, per host with pages."""
+    return _levels(outcomes)[0].select("host", "mean", _bound(F.col("mean"), F.col("pages")).alias("bound"))
+
+
+def _inherited(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(host, mean, bound) of all ``hosts`` (a row each): their own posterior, or with no labels that of what is above them."""
+    units, domains, suffixes, whole = _levels(outcomes)
+    known = stored(units.select("host", "mean", "pages"), "url-reputations")
+    domains, suffixes = (stored(x.select(key, F.col("mean").alias(name)), f"url-{name}")
+                         for x, key, name in ((domains, "domain", "of_domain"), (suffixes, "suffix", "of_suffix")))
+    rows = (hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("host")))
+            .join(small_first(known), "host", "left").join(small_first(domains), "domain", "left")
+            .join(small_first(suffixes), "suffix", "left").join(F.broadcast(whole)))  # one row
+    mean = F.coalesce("mean", "of_domain", "of_suffix", "above")
+    differs = F.when(F.col("of_domain").isNotNull(), F.col("in_domain")).when(F.col("of_suffix").isNotNull(), F.col("in_suffix"))
+    pages = F.coalesce("pages", 1 / F.coalesce(differs, "in_all") - 1)
+    return rows.select("host", mean.alias("mean"), _bound(mean, pages).alias("bound"))
 
 
 def judged(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], limit: float = LIMIT) -> DataFrame:
     """(page_id, host, path, rule, verdict, reputation, bound) per page.
 
-    ``outcomes``: (page_id, bad) of labelled pages, 1 for a bad one. Hosts without a label have no reputation and pass.
+    ``outcomes``: (page_id, bad) of labelled pages, 1 for a bad one. Hosts without a label have the reputation of what is above them.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     rows = rows.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     labelled = rows.join(outcomes.select("page_id", "bad"), "page_id").where("host <> ''").select("host", "bad")
-    known = stored(reputations(labelled), "url-reputations")
+    known = stored(_inherited(rows.where("host <> ''").select("host").distinct(), labelled), "url-known")
     name, verdict = ruled(F.col("host"), F.col("path"), rules)
     own = F.when(F.coalesce(F.col("bound") > limit, F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
     return (rows.join(small_first(known), "host", "left")

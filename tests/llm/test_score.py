@@ -202,3 +202,16 @@ def test_reputation_shrinks_and_blocks(spark):
     counts = Counter(h for h, b in outcomes if b is not None)
     assert all(min(x["mean"], 1 - x["mean"]) > 0 and abs(x["bound"]) < 1 for x in got.values()) and len(got) == len(counts)
     assert urls.reputations(frame.limit(0)).count() == 0
+
+
+def test_hosts_without_labels_are_judged_by_what_is_above_them(spark):
+    urls_of = [f"http://h{i % 5}.spam.com/{i}" for i in range(300)] + [f"http://h{i % 5}.fine.com/{i}" for i in range(300)]
+    urls_of += [f"http://h{i}.d{i % 20}.bad/" for i in range(300)]
+    outcomes = [(i, int(i < 300 or i >= 600)) for i in range(len(urls_of))]
+    asked = ["http://new.spam.com/", "http://new.fine.com/", "http://x.new.bad/", "http://x.other/", None, "http://h0.spam.com/"]
+    pages = spark.createDataFrame(list(enumerate(urls_of + asked)), "page_id long, url string")
+    got = {x["page_id"] - len(urls_of): x for x in urls.judged(pages, spark.createDataFrame(outcomes, "page_id long, bad int"), []).collect()}
+    assert [got[k]["verdict"] for k in range(6)] == ["block", "allow", "block", "allow", "allow", "block"]
+    assert abs(got[3]["reputation"] - (600 + 1) / (900 + 2)) < 1e-9 and got[4]["reputation"] is None
+    assert min(got[0]["reputation"], got[2]["reputation"]) > got[3]["reputation"] > got[1]["reputation"]
+    assert len(got) == len(urls_of + asked)
