@@ -77,3 +77,17 @@ u0 AS (SELECT host, bad, n, mean AS above FROM hosts JOIN d1 USING (domain)),
 SELECT page_id, host, path, {_case('rule')} AS rule,
        coalesce({_case('verdict')}, CASE WHEN mean - 2 * sqrt(mean * (1 - mean) / (pages + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN u1 USING (host)"""
+
+FIM = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+                  regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w FROM documents),
+d AS (SELECT *, len(w) AS n, ('0x' || h[1:8])::BIGINT % (len(w) + 1) AS p, ('0x' || h[9:16])::BIGINT % (len(w) + 1) AS q,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                       OR ('0x' || h[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+                  WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM w),
+c AS (SELECT *, array_to_string(w[1:least(p, q)], '') AS a, array_to_string(w[least(p, q) + 1:greatest(p, q)], '') AS b,
+             array_to_string(w[greatest(p, q) + 1:], '') AS c FROM d)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b
+                        ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(text) AS restored_sha256
+FROM c"""

@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyquill.llm import chat, oracle, toxicity, urls
+from skyquill.llm.bestfit import pack_whole
 from skyquill.llm.covertree import near_vectors
 from skyquill.llm.divergence import judged
+from skyquill.llm.fim import fill_in_middle, restored
 from skyquill.llm.language import documents_language, pages_language
 from skyquill.llm.mixing import mix
 from skyquill.llm.near_text import near_duplicates
 from skyquill.llm.packing import pack_documents
+from skyquill.llm.runs import periodic_runs
 from skyquill.llm.storage import stored
 from skyquill.llm.suffixes import repeated_passages
 
@@ -134,6 +137,55 @@ QUERIES["op10_cover_tree"] = op10_cover_tree
 SQL["op10_cover_tree"] = oracle.VECTORS
 
 
+def op11_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in as few sequences of 1024 tokens as the search finds."""
+    return pack_whole(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op11_bin_completion"] = op11_bin_completion
+
+
+def op12_learned_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms, cuts and outputs of all documents, and the texts read back from the outputs."""
+    cut = fill_in_middle(table(spark, sf_dir, "documents"))
+
+    def digest(text: Column) -> Column:
+        return F.sha2(text.cast("binary"), 256)
+    return cut.select("row.doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+                      digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+QUERIES["op12_learned_fim"] = op12_learned_fim
+SQL["op12_learned_fim"] = oracle.FIM
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """The documents, a tenth of which (by doc_id) repeat a stretch of their words to the end."""
+    h = F.crc32(docs["doc_id"].cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    n = F.size("words")
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    turned = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get("words", F.when(i >= a, a + (i - a) % p).otherwise(i).cast("int")))
+    chosen = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"))
+    return chosen.select("doc_id", F.when(n > 0, F.array_join(turned, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents, some of which are planted, and the documents without repetitions."""
+    found = periodic_runs(planted(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")), F.lit("\n")))
+    return found.select(
+        "row.doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+QUERIES["op13_periodic_runs"] = op13_periodic_runs
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over all documents."""
     import corpus_pipeline
