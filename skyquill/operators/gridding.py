@@ -137,7 +137,9 @@ def share_out(
         return left, right, keys
     if len(found) <= BROADCAST_ROWS:
         hot = F.broadcast(left.sparkSession.createDataFrame(found, hot.schema))
-    deal = F.pmod(F.monotonically_increasing_id(), F.coalesce("__shares", F.lit(1))).cast("int")
+    # by the row itself: a task that runs again on a lost executor deals as the first one did
+    whole = [F.col(f.name) for f in left.schema if "map<" not in f.dataType.simpleString()]
+    deal = F.pmod(F.xxhash64(*whole), F.coalesce("__shares", F.lit(1))).cast("int")
     on = [k for k in keys if k in hot.columns]
     left = left.join(hot, on, "left").withColumn(share, deal).drop("__shares")
     right = right.join(hot, on, "left").withColumn(

@@ -165,9 +165,8 @@ def knn_ties(spark, sf_dir):
 
 
 def knn_ties_in_groups(spark, sf_dir):
-    """The way of more queries than are broadcast, by small bounds."""
-    found = knn(_part_grid(spark, sf_dir), _asked_grid(spark, sf_dir), 4, "s_suppkey", array_of("x", "y"), array_of("qx", "qy"),
-                broadcast_rows=10, share_rows=700)
+    """The path of cells too full for one task, by a small bound."""
+    found = knn(_part_grid(spark, sf_dir), _asked_grid(spark, sf_dir), 4, "s_suppkey", array_of("x", "y"), array_of("qx", "qy"), hot_rows=10)
     return found.select("s_suppkey", "p_partkey", F.round("distance", 6).alias("distance"))
 
 
@@ -178,13 +177,21 @@ r AS (SELECT *, rank() OVER (PARTITION BY {qid} ORDER BY distance) AS place FROM
 SELECT {qid}, {oid}, round(distance, 6) AS distance FROM r WHERE place <= {k}"""
 
 
-def _manhattan(data: np.ndarray, query: np.ndarray) -> np.ndarray:
-    return np.abs(data[:, :, 0] - query[:, 0]).sum(axis=1)
+def _manhattan(data: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    return np.abs(data[None, :, :, 0] - queries[:, None, :, 0]).sum(axis=2)
 
 
 def knn_custom_distance(spark, sf_dir):
+    """A metric of one's own, with blocks small enough that most are left out."""
+    found = knn(_part_grid(spark, sf_dir), _asked_grid(spark, sf_dir), 3, "s_suppkey", array_of("x", "y"), array_of("qx", "qy"),
+                distance=_manhattan, metric=True, block_rows=100)
+    return found.select("s_suppkey", "p_partkey", F.round("distance", 6).alias("distance"))
+
+
+def knn_any_distance(spark, sf_dir):
+    """A distance that need not be a metric: everything is compared."""
     found = knn(_part_grid(spark, sf_dir), _asked_grid(spark, sf_dir), 3, "s_suppkey", array_of("x", "y"), array_of("qx", "qy"),
-                distance=_manhattan)
+                distance=lambda data, queries: _manhattan(data, queries) ** 2)
     return found.select("s_suppkey", "p_partkey", F.round("distance", 6).alias("distance"))
 
 
@@ -321,6 +328,8 @@ QUERIES = {
         qid="s_suppkey", oid="p_partkey", dist="sqrt((x - qx) * (x - qx) + (y - qy) * (y - qy))", src="p, q", k=4)),
     "knn_custom_distance": (knn_custom_distance, f"WITH {_GRID}" + _KNN.format(
         qid="s_suppkey", oid="p_partkey", dist="abs(x - qx) + abs(y - qy)", src="p, q", k=3)),
+    "knn_any_distance": (knn_any_distance, f"WITH {_GRID}" + _KNN.format(
+        qid="s_suppkey", oid="p_partkey", dist="pow(abs(x - qx) + abs(y - qy), 2)", src="p, q", k=3)),
     "knn_boxes": (knn_boxes, f"WITH {BOXES}, {QUERY_BOXES}" + _KNN.format(
         qid="query_id", oid="vec_id", dist=_GAP, src="bx, qb", k=3)),
     "box_measures": (box_measures, _MEASURES),

@@ -60,7 +60,7 @@ def _versioned(spark, sf_dir, query=None, **options):
 
 
 def versioned_range(spark, sf_dir):
-    return _versioned(spark, sf_dir, time_bucket=24.0 * HOUR).select("c_custkey", "id")
+    return _versioned(spark, sf_dir).select("c_custkey", "id")
 
 
 def versioned_range_all(spark, sf_dir):
@@ -68,7 +68,7 @@ def versioned_range_all(spark, sf_dir):
 
 
 def versioned_contained(spark, sf_dir):
-    return _versioned(spark, sf_dir, inside=True, time_bucket=24.0 * HOUR).select("c_custkey", "id")
+    return _versioned(spark, sf_dir, inside=True).select("c_custkey", "id")
 
 
 def versioned_points(spark, sf_dir):
@@ -168,7 +168,7 @@ _MOVING_SQL = f"WITH {MOVING}, {MOVING_QUERIES}, {_MEETING}"
 
 
 def moving_range(spark, sf_dir):
-    found = versions.predictive_join(moving_objects(spark, sf_dir), moving_queries(spark, sf_dir), OBJECT(), QUERY(), 1.0)
+    found = versions.predictive_join(moving_objects(spark, sf_dir), moving_queries(spark, sf_dir), OBJECT(), QUERY())
     return found.select(*PAIR, F.round("meet_from", 6).alias("meet_from"), F.round("meet_to", 6).alias("meet_to"))
 
 
@@ -179,14 +179,14 @@ def _held(at):
 
 def moving_contained(spark, sf_dir):
     """Objects inside the query box for the whole common time."""
-    return versions.predictive_join(moving_objects(spark, sf_dir), moving_queries(spark, sf_dir), OBJECT(), QUERY(), 1.0,
+    return versions.predictive_join(moving_objects(spark, sf_dir), moving_queries(spark, sf_dir), OBJECT(), QUERY(),
                                     inside=True, over="query").select(*PAIR)
 
 
 def moving_contained_always(spark, sf_dir):
     """Short-lived objects inside the query box for their whole valid time."""
     rows = moving_objects(spark, sf_dir).withColumns({"t0": F.col("t0") + 2.5, "t1": F.col("t0") + 3.5})
-    return versions.predictive_join(rows, moving_queries(spark, sf_dir), OBJECT(), QUERY(), 1.0, inside=True).select(*PAIR)
+    return versions.predictive_join(rows, moving_queries(spark, sf_dir), OBJECT(), QUERY(), inside=True).select(*PAIR)
 
 
 _ALWAYS = f"""WITH {MOVING.replace('mo AS', 'mo0 AS')}, mo AS (SELECT * REPLACE (t0 + 2.5::DOUBLE AS t0, t0 + 3.5::DOUBLE AS t1) FROM mo0),
@@ -310,7 +310,7 @@ SELECT vec_id, round(CASE WHEN h <= 0 THEN 0 ELSE ((2 * a * h + b) * e - b * sqr
 
 def common_areas(spark, sf_dir):
     """Common area over time of every pair that meets."""
-    found = versions.predictive_join(moving_objects(spark, sf_dir), moving_queries(spark, sf_dir), OBJECT(), QUERY(), 1.0)
+    found = versions.predictive_join(moving_objects(spark, sf_dir), moving_queries(spark, sf_dir), OBJECT(), QUERY())
     return mv.with_common_area(found, OBJECT(), QUERY(), "area", when=mv.interval("meet_from", "meet_to")).select(*PAIR, F.round("area", 7).alias("area"))
 
 

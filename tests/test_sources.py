@@ -55,7 +55,7 @@ def test_versioned_and_moving_logs(spark, tmp_path):
     objects = oplogs.inserts(log).select("id", "ax", "ay", "vx", "vy", F.col("ct").alias("start"))
     p = mv.moving_point(["ax", "ay"], ["vx", "vy"], "start", F.lit(float("inf")))
     q = mv.still_box(g.box(["x_lo", "y_lo"], ["x_hi", "y_hi"]), "t_start", "t_end")
-    hit = versions.predictive_join(objects, oplogs.moving_queries(log), p, q, 1.0).collect()
+    hit = versions.predictive_join(objects, oplogs.moving_queries(log), p, q).collect()
     assert [(r["id"], r["meet_from"], r["meet_to"]) for r in hit] == [(3, 4.0, 6.0)]
 
 
