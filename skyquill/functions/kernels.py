@@ -52,6 +52,25 @@ def dominated_by(points: np.ndarray, pruners: np.ndarray, strict: bool) -> np.nd
     return hit
 
 
+def dominated_by_tiles(points: np.ndarray, pruners: np.ndarray, tile: int = 256) -> np.ndarray:
+    """``dominated_by`` with ``strict`` for rows in an order that keeps neighbours together: tiles of
+    pruners whose low corner is not below a tile's high corner are left out."""
+    hit = np.zeros(len(points), dtype=bool)
+    if not len(points) or not len(pruners):
+        return hit
+    lows = np.minimum.reduceat(pruners, np.arange(0, len(pruners), tile))
+    for s in range(0, len(points), tile):
+        block = points[s:s + tile]
+        near = np.flatnonzero((lows <= block.max(axis=0)).all(axis=1))
+        if len(near):
+            rows = (near[:, None] * tile + np.arange(tile)).ravel()
+            rows = rows[rows < len(pruners)]
+            some = pruners[rows]
+            some = some[(some <= block.max(axis=0)).all(axis=1)]
+            hit[s:s + tile] = dominated_by(block, some, strict=True)
+    return hit
+
+
 def _score(x: np.ndarray) -> np.ndarray:
     """Monotone in every dimension, so a dominating row never scores higher."""
     x = np.clip(x, -1e300, 1e300)

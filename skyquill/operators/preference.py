@@ -3,8 +3,9 @@
 Every query runs in the same three steps. Each input partition prunes its own
 rows without a shuffle. The survivors, far fewer than the input, are cut from
 their lineage and counted per group. A group within ``block_rows`` is finished
-by one task; a larger one is dealt into blocks and every pair of blocks is one
-bounded task, so no group is ever held whole however many rows survive.
+by one task; a larger one is cut into blocks along a space-filling order, and a pair of blocks is one
+bounded task, unless the blocks' corners show that none of its rows can matter
+to the other's. No group is ever held whole however many rows survive.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ from skyquill.functions.dominance import Dim, as_dims, dominates, usable
 from skyquill.functions.kernels import (
     dominance_factors,
     dominated_by as dominated_mask,
+    dominated_by_tiles,
     group_codes,
     matrix,
     skyline_rows,
 )
+from skyquill.operators.blocks import block_pairs, corners, in_blocks, reachable_dims, same_keys
 from skyquill.operators.ordering import arrival_rank, first_rows
 from skyquill.runtime import (
     BROADCAST_ROWS,
@@ -60,6 +63,8 @@ class PreferenceAggregate:
 
     #: extra output column filled by ``finish``, or None
     score: str | None = None
+    #: whether a row's score is raised by rows alone that are no worse in every dimension
+    only_dominance = False
 
     def prune(self, codes: np.ndarray, points: np.ndarray) -> np.ndarray:
         return skyline_rows(codes, points)
@@ -80,8 +85,10 @@ class PreferenceAggregate:
 class Skyline(PreferenceAggregate):
     """Rows that no row of their group dominates."""
 
+    only_dominance = True
+
     def against(self, victims, rivals):
-        return dominated_mask(victims, rivals, strict=True).astype(np.int32)
+        return dominated_by_tiles(victims, rivals).astype(np.int32)
 
     def accept(self, column, n_dims):
         return F.col(column) == 0
@@ -239,50 +246,77 @@ def _on(left: DataFrame, right: DataFrame, keys: list[str]):
     return reduce(and_, (left[k].eqNullSafe(right[k]) for k in keys))
 
 
-def _attach_blocks(rows: DataFrame, hot: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
-    """Rows of the hot groups with ``__blocks``, the number of blocks of their group, and ``__block``."""
+def _dealt(rows: DataFrame, hot: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
+    """Rows of the hot groups, each group dealt by hash over as many ``__block`` as it needs."""
     sized = hot.select(*keys, F.ceil(F.col("__rows") / block_rows).cast("int").alias("__blocks"))
     if keys:
         renamed = sized.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__blocks")
-        match = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)))
-        joined = rows.join(renamed, match).drop(*[f"__k{i}" for i in range(len(keys))])
+        joined = rows.join(renamed, same_keys(keys, "__k")).drop(*[f"__k{i}" for i in range(len(keys))])
     else:
         joined = rows.withColumn("__blocks", F.lit(sized.first()["__blocks"]))
-    return joined.withColumn("__block", F.pmod(F.xxhash64("__rid"), F.col("__blocks")).cast("int"))
+    return joined.withColumn("__block", F.pmod(F.xxhash64("__rid"), F.col("__blocks")).cast("int")).drop("__blocks")
 
 
-def _finish_large(
-    rows: DataFrame, hot: DataFrame, keys: list[str], names: list[str],
-    aggregate: PreferenceAggregate, block_rows: int,
-) -> DataFrame:
-    """Scores every block of a group against every block of it, one bounded task per pair."""
-    blocks = _attach_blocks(rows, hot, keys, block_rows)
-    every = F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))
-    victims = blocks.select(*keys, "__rid", *names, F.col("__block").alias("__vb"), every.alias("__rb"),
-                            F.lit(True).alias("__victim"))
-    rivals = blocks.select(*keys, "__rid", *names, every.alias("__vb"), F.col("__block").alias("__rb"),
-                           F.lit(False).alias("__victim"))
+def _scores(victims: DataFrame, rivals: DataFrame, pairs: DataFrame, names: list[str], aggregate: PreferenceAggregate) -> DataFrame:
+    """(__rid, __score) of the victims: one bounded task for each pair of blocks, whose scores meet in an aggregate."""
+    columns = ["__vb", "__rb", "__rid", "__z", *names, "__victim"]
+    left = victims.withColumn("__vb", F.col("__block")).join(pairs, "__vb").withColumn("__victim", F.lit(True))
+    right = rivals.withColumn("__rb", F.col("__block")).join(pairs, "__rb").withColumn("__victim", F.lit(False))
 
     def pair(table: pa.Table) -> pa.Table:
+        table = table.sort_by("__z")  # neighbours share a tile
         victim = table.column("__victim").to_numpy()
         points = matrix(table, names)
         found = aggregate.against(points[victim], points[~victim])
         ids = table.column("__rid").to_numpy()[victim]
         return pa.table({"__rid": ids, "__score": pa.array(found, pa.int32())})
 
-    scores = (
-        victims.select(*keys, "__vb", "__rb", "__rid", *names, "__victim")
-        .unionByName(rivals)
-        .groupBy(*keys, "__vb", "__rb")
-        .applyInArrow(pair, "__rid long, __score int")
-        .groupBy("__rid")
-        .agg(aggregate.combine("__score").alias("__score"))
-        .filter(aggregate.accept("__score", len(names)))
+    return (
+        left.select(*columns).unionByName(right.select(*columns)).groupBy("__vb", "__rb").applyInArrow(pair, "__rid long, __score int")
+        .groupBy("__rid").agg(aggregate.combine("__score").alias("__score"))
     )
-    out = rows.join(scores, "__rid")
+
+
+def _finish_large(
+    rows: DataFrame, keys: list[str], names: list[str], aggregate: PreferenceAggregate, block_rows: int, count: int,
+) -> DataFrame:
+    """Scores blocks of a group against those of its blocks that the corners do not rule out."""
+    blocks = in_blocks(rows, keys, names, block_rows, count)
+    d = len(names)
+    if isinstance(aggregate, DominanceFactor):
+        # dominated rows cannot raise a factor: they go first, and what is left is dealt anew
+        best = _survivors(blocks, keys, names, Skyline(), d)
+        blocks = in_blocks(best.drop("__z", "__block"), keys, names, block_rows, count)
+        return _factors(blocks, keys, names, aggregate)
+    out = _survivors(blocks, keys, names, aggregate, d).drop("__z", "__block")
     return out.withColumnRenamed("__score", aggregate.score) if aggregate.score else out.drop("__score")
 
 
+def _survivors(blocks: DataFrame, keys: list[str], names: list[str], aggregate: PreferenceAggregate, d: int) -> DataFrame:
+    table = checkpointed(corners(blocks, keys, names))
+    meet = reachable_dims(d) == d if aggregate.only_dominance else F.lit(True)
+    pairs = checkpointed(block_pairs(table, table, keys, meet))
+    scores = _scores(blocks, blocks, pairs, names, aggregate).filter(aggregate.accept("__score", d))
+    out = blocks.join(scores, "__rid")
+    return out if aggregate.score else out.drop("__score")
+
+
+def _factors(blocks: DataFrame, keys: list[str], names: list[str], aggregate: DominanceFactor) -> DataFrame:
+    """Factors of skyline rows: against their own block first; a factor of one below the number of dimensions is final."""
+    d = len(names)
+    own = blocks.select(F.col("__block").alias("__vb"), F.col("__block").alias("__rb")).distinct()
+    first = checkpointed(blocks.select("__rid", "__block", *keys, "__z", *names).join(
+        _scores(blocks, blocks, own, names, aggregate), "__rid"))
+    open_ = first.filter(F.col("__score") < d - 1)
+    table = checkpointed(corners(blocks, keys, names))
+    least = open_.groupBy("__block").agg(F.min("__score").alias("__least"))
+    victims = corners(open_, keys, names).join(least, "__block")
+    rest = block_pairs(victims, table, keys, reachable_dims(d) > F.col("__least")).filter("__vb <> __rb")
+    more = _scores(open_, blocks, checkpointed(rest), names, aggregate)
+    scores = first.select("__rid", "__score").unionByName(more).groupBy("__rid").agg(aggregate.combine("__score").alias(aggregate.score))
+    return blocks.drop("__z", "__block").join(scores, "__rid")
+
+
 def evaluate(
     df: DataFrame,
     dims: Sequence[Dim | str],
@@ -341,7 +375,7 @@ def evaluate_bounded(
     # merge step: blocks of one group meet in one task each and prune again
     rows = checkpointed(rows.withColumn("__rid", F.monotonically_increasing_id()))
     hot = checkpointed(oversized(rows))
-    dealt = _attach_blocks(rows, hot, keys, 4 * block_rows).drop("__blocks")
+    dealt = _dealt(rows, hot, keys, 4 * block_rows)
     merged = dealt.repartition(*keys, "__block").mapInArrow(_pruner(keys, names, aggregate), dealt.schema)
     rest = _without(rows, hot, keys)
     rows = checkpointed(merged.drop("__block").unionByName(rest))
@@ -350,7 +384,7 @@ def evaluate_bounded(
     if hot.isEmpty():
         return small, bound
     big = rows.join(hot.drop("__rows"), _on(rows, hot, keys), "left_semi") if keys else rows
-    large = _finish_large(big, hot, keys, names, aggregate, block_rows)
+    large = _finish_large(big, keys, names, aggregate, block_rows, hot.agg(F.sum("__rows")).first()[0])
     return small.unionByName(large.select(*output)), bound
 
 
@@ -463,7 +497,7 @@ def dominated_by(df: DataFrame, points: DataFrame, dims: Sequence[Dim | str], br
                 yield from table.filter(pa.array(mask)).to_batches()
 
         return rows.mapInArrow(keep, rows.schema).drop(*names)
-    worse = df.filter(usable(dims)).withColumn("__rid", F.monotonically_increasing_id())
+    worse = checkpointed(df.filter(usable(dims)).withColumn("__rid", F.monotonically_increasing_id()))  # ids must not change
     asked = best.select(*[(F.col(n) * d.sign).alias(f"point_{d.column}") for n, d in zip(names, dims)])
     left, right = _theta_blocks(worse, asked, broadcast_rows)
     met = left.join(right, [left["__share"] == right["__s"], left["__block"] == right["__b"], _beaten(dims)], "left_semi")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyquill.functions.dominance import canonical_order, high, low, no_worse_count, same_point
+from skyquill.operators import counting
 from skyquill.operators import preference as pref
 from skyquill.plans.tables import STREAM, stream_rows, table
 
@@ -210,8 +211,21 @@ WHERE EXISTS (SELECT 1 FROM pt WHERE {_BEATEN})"""
 
 
 def dominance_pair_counts(spark, sf_dir):
-    pairs = pref.dominance_pairs(offers(spark, sf_dir), _benchmarks(spark, sf_dir), OFFER)
-    return pairs.groupBy("point_l_suppkey").agg(F.count("*").alias("n_beaten"))
+    """Counted without pairs; points that beat nothing are left out."""
+    found = counting.dominance_counts(offers(spark, sf_dir), _benchmarks(spark, sf_dir), OFFER, "l_suppkey")
+    return found.filter("n_beaten > 0").withColumnRenamed("l_suppkey", "point_l_suppkey")
+
+
+def dominance_counts_of_parts(spark, sf_dir):
+    """As many points as rows: how many parts each part beats, in slabs of few rows."""
+    parts = table(spark, sf_dir, "part").select(
+        "p_partkey", F.col("p_retailprice"), F.col("p_size").cast("double").alias("p_size"), (F.col("p_partkey") * 7919 % 101).cast("double").alias("wait"))
+    return counting.dominance_counts(parts, parts, [low("p_retailprice"), high("p_size"), low("wait")], "p_partkey", slab_rows=100)
+
+
+_PART_COUNTS = """WITH x AS (SELECT p_partkey, p_retailprice AS a, -p_size::DOUBLE AS b, (p_partkey * 7919 % 101)::DOUBLE AS c FROM part)
+SELECT p.p_partkey, count(r.p_partkey) AS n_beaten FROM x p LEFT JOIN x r
+ON p.a <= r.a AND p.b <= r.b AND p.c <= r.c AND (p.a < r.a OR p.b < r.b OR p.c < r.c) GROUP BY p.p_partkey"""
 
 
 def dominated_by_benchmark_blocks(spark, sf_dir):
@@ -288,6 +302,7 @@ QUERIES = {
     "skyline_eight_dims_by_label": (skyline_eight_dims_by_label, _EIGHT.format(_beats("q", "p", EIGHT, "label"))),
     "dimension_equality": (dimension_equality, _EQUALITY),
     "dominance_pair_counts": (dominance_pair_counts, _PAIR_COUNTS),
+    "dominance_counts_of_parts": (dominance_counts_of_parts, _PART_COUNTS),
     "dominated_by_benchmark_blocks": (dominated_by_benchmark_blocks, _BY_BENCHMARKS),
     "dominance_pair_count_blocks": (dominance_pair_count_blocks, _PAIR_COUNTS),
     "dominance_factor": (dominance_factor, _FACTOR),

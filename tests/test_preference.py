@@ -5,9 +5,11 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from skyquill.functions.dominance import dominates, high, low, no_worse_count, same_point
-from skyquill.functions.kernels import dominance_factors, skyline_rows
+from skyquill.functions.kernels import dominance_factors, dominated_by, dominated_by_tiles, skyline_rows
+from skyquill.operators import blocks, counting
 from skyquill.operators import preference as pref
 from skyquill.runtime import is_plain_scan
 
@@ -171,3 +173,62 @@ def test_column_predicates(spark):
     got = a.join(b, no_worse_count("p", "q", ["x", "y"]) >= 0).select(
         dominates("p", "q", [low("x"), low("y")]).alias("d"), same_point("p", "q", ["x", "y"]).alias("s")).collect()
     assert sorted((r["d"], r["s"]) for r in got) == [(False, False), (True, False)]
+
+
+def anticorrelated(rng, n, d):
+    """Points near a plane of equal sums, of which hardly one dominates another."""
+    x = rng.dirichlet(np.ones(d), n) * 100 + rng.normal(size=(n, d)) * 0.05
+    x[: n // 50] = x[0]
+    return np.round(x, 3)
+
+
+def test_corners_rule_out_most_pairs_of_blocks(spark):
+    """Eight dimensions, one group of many blocks: results as by definition, few pairs of blocks compared."""
+    n, d = 6000, 8
+    x = anticorrelated(np.random.default_rng(31), n, d)
+    dims = [f"d{i}" for i in range(d)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=dims).assign(id=range(n), k=1)).repartition(4)
+    alive = ~dominated_by(x, x, strict=True)
+    got = pref.skyline(df, dims, ["k"], block_rows=300)
+    assert [i for i, in ids(got, "id")] == np.flatnonzero(alive).tolist()
+    factors = dominance_factors(x[alive], x[alive])
+    got = pref.dominance_factor(df, dims, ["k"], block_rows=300)
+    assert dict(ids(got, "id", "factor")) == dict(zip(np.flatnonzero(alive).tolist(), factors.tolist()))
+    shares = []
+    for block_rows in (300, 30):
+        rows = blocks.in_blocks(df.withColumn("__rid", F.col("id").cast("long")), ["k"], dims, block_rows, n)
+        sizes = [r["count"] for r in rows.groupBy("k", "__block").count().collect()]
+        assert max(sizes) <= block_rows and sum(sizes) == n
+        table = blocks.corners(rows, ["k"], dims)
+        shares.append(blocks.block_pairs(table, table, ["k"], blocks.reachable_dims(d) == d).count() / len(sizes) ** 2)
+    assert shares[0] < 0.6 and shares[1] < 0.4
+
+
+def test_tiles_match_the_plain_kernel():
+    rng = np.random.default_rng(32)
+    for n, m, d in ((0, 5, 2), (700, 900, 3), (1000, 600, 2)):
+        a, b = rng.integers(0, 30, (n, d)).astype(float), rng.integers(0, 30, (m, d)).astype(float)
+        a, b = a[np.lexsort(a.T)], b[np.lexsort(b.T)]
+        assert (dominated_by_tiles(a, b, 64) == dominated_by(a, b, strict=True)).all()
+
+
+@pytest.mark.parametrize("slab_rows, d", [(40, 3), (25, 2), (300, 4), (7, 1), (20_000, 3)])
+def test_dominance_counts_match_the_definition(spark, slab_rows, d):
+    rng = np.random.default_rng(33 + d)
+    x, p = rng.integers(0, 60, (900, d)).astype(float), rng.integers(0, 60, (500, d)).astype(float)
+    x[:300] = x[0]  # a third of the rows in one place
+    p[:100] = x[0]
+    dims = [f"d{i}" for i in range(d)]
+    rows = spark.createDataFrame(pd.DataFrame(x, columns=dims)).repartition(3)
+    points = spark.createDataFrame(pd.DataFrame(p, columns=dims).assign(pid=range(500)))
+    got = counting.dominance_counts(rows, points, dims, "pid", slab_rows=slab_rows)
+    want = [int(((x >= q).all(axis=1) & (x > q).any(axis=1)).sum()) for q in p]
+    assert [n for _, n in ids(got, "pid", "n_beaten")] == want
+
+
+def test_dominance_counts_of_other_directions_and_nothing(spark):
+    rows = spark.createDataFrame([(1.0, 9.0), (2.0, 8.0), (None, 1.0), (3.0, float("nan"))], "a double, b double")
+    points = spark.createDataFrame([(1, 0.5, 9.0), (2, 2.0, 8.0), (3, None, 0.0), (4, 0.0, 0.0)], "pid int, a double, b double")
+    assert ids(counting.dominance_counts(rows, points, ["a", high("b")], "pid"), "pid", "n_beaten") == [(1, 2), (2, 0), (4, 0)]
+    assert ids(counting.dominance_counts(rows.limit(0), points, ["a", high("b")], "pid"), "pid", "n_beaten") == [(1, 0), (2, 0), (4, 0)]
+    assert counting.dominance_counts(rows, points.limit(0), ["a", high("b")], "pid").count() == 0
