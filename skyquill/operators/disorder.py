@@ -17,7 +17,7 @@ from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -270,6 +270,19 @@ def kept_rows(flagged: DataFrame) -> DataFrame:
     return flagged.filter(~F.col("is_late"))
 
 
+def in_order_rows(df: DataFrame, ts: str, gen: str, order: Sequence[str], pending_rows: int = 500_000) -> tuple[DataFrame, int | None]:
+    """The rows that leave the reorder buffer in order, stored, and the event time of the last one.
+
+    Each emission closes what lies before it: after the last, input is complete up to that time, and with it the
+    windows over these rows. None if no row leaves.
+    """
+    seen = Observation()
+    emitted = reorder(df, ts, gen, order, pending_rows)
+    kept = kept_rows(emitted).select(*df.columns)
+    rows = checkpointed(kept.observe(seen, F.max(micros(df, ts)).alias("last")))
+    return rows, seen.get["last"]
+
+
 def dropped_rows(flagged: DataFrame) -> DataFrame:
     return flagged.filter("is_late")
 

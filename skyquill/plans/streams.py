@@ -277,6 +277,24 @@ def _emitted(spark, sf_dir):
     return disorder.reorder(_disordered(spark, sf_dir), "app_us", "gen_us", ARRIVAL)
 
 
+def _in_order(spark, sf_dir):
+    rows = _disordered(spark, sf_dir).select("event_id", "app_us", "gen_us", *DIMS)
+    kept, last = disorder.in_order_rows(rows, "app_us", "gen_us", ARRIVAL)
+    return kept.drop("gen_us"), last
+
+
+def window_skyline_inorder(spark, sf_dir):
+    """The full query behind the reorder buffer: windows are complete up to the last emission."""
+    kept, last = _in_order(spark, sf_dir)
+    return win.window_skyline(kept, DIMS, "app_us", UNEVEN, progress=last)
+
+
+def window_sizes_inorder(spark, sf_dir):
+    kept, last = _in_order(spark, sf_dir)
+    found = win.window_skyline(kept, DIMS, "app_us", UNEVEN, progress=last)
+    return win.window_sizes(found, win.complete_windows(kept, "app_us", UNEVEN, last))
+
+
 def inorder_emission(spark, sf_dir):
     return _emitted(spark, sf_dir).select("event_id", "app_us", "release_gen", "is_late")
 
@@ -294,6 +312,28 @@ em AS (SELECT event_id, app_us, gen_us, coalesce((SELECT a.gen_us FROM a WHERE a
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS is_late FROM rel)"""
 
 
+_INORDER_RW = _RELEASE + f""", kept AS (SELECT event_id, app_us, d1, d2, d3 FROM em JOIN ev USING (event_id, app_us) WHERE NOT is_late),
+{_windows_sql(UNEVEN, 'app_us', 'kept')}, sky AS (
+  SELECT event_id, app_us, d1, d2, d3, window_id FROM rw p WHERE NOT EXISTS (SELECT 1 FROM rw q WHERE {_beats('q', 'p', key='window_id')}))"""
+
+
+EIGHT_DIMS = [*DIMS, *[f"d{i}" for i in range(4, 9)]]
+_PRIMES = (15485863, 32452843, 49979687, 67867967, 86028121)
+
+
+def window_skyline_eight_dims(spark, sf_dir):
+    """The published setting: eight dimensions over sliding windows of the event stream."""
+    rows = stream_rows(spark, sf_dir).withColumns({
+        f"d{4 + i}": (F.col("event_id") * p % 10007).cast("double") for i, p in enumerate(_PRIMES)})
+    found = win.window_skyline(rows.select("event_id", "gen_us", *EIGHT_DIMS), EIGHT_DIMS, "gen_us", DAY)
+    return found.select("event_id", "window_id")
+
+
+_EIGHT_WINDOWS = f"""WITH {STREAM}, e8 AS (SELECT *, {', '.join(f"(event_id * {p} % 10007)::DOUBLE AS d{4 + i}" for i, p in enumerate(_PRIMES))} FROM ev),
+{_windows_sql(DAY, source='e8')}
+SELECT event_id, window_id FROM rw p WHERE NOT EXISTS (SELECT 1 FROM rw q WHERE {_beats('q', 'p', EIGHT_DIMS, 'window_id')})"""
+
+
 def reorder_buffer_time(spark, sf_dir):
     return metrics.buffer_time(_emitted(spark, sf_dir), "gen_us").select(
         F.round("avg_buffer_time", 6).alias("avg_buffer_time"))
@@ -497,6 +537,10 @@ SELECT count(*) AS n_results, round(avg(n_points), 6) AS avg_size, round(stddev_
     "disorder_profile": (disorder_profile, _PROFILE),
     "inorder_emission": (inorder_emission, _RELEASE + " SELECT event_id, app_us, release_gen, is_late FROM em"),
     "inorder_emission_kept": (inorder_emission_kept, _RELEASE + " SELECT event_id, app_us FROM em WHERE NOT is_late"),
+    "window_skyline_inorder": (window_skyline_inorder, _INORDER_RW + " SELECT * FROM sky"),
+    "window_sizes_inorder": (window_sizes_inorder, _INORDER_RW +
+                             " SELECT window_id, count(sky.event_id) AS n_points FROM cw LEFT JOIN sky USING (window_id) GROUP BY window_id"),
+    "window_skyline_eight_dims": (window_skyline_eight_dims, _EIGHT_WINDOWS),
     "reorder_buffer_time": (reorder_buffer_time, _RELEASE +
                             " SELECT round(avg(release_gen - gen_us), 6) AS avg_buffer_time FROM em"),
     "reorder_by_user": (reorder_by_user, _BY_USER_EMISSION),
