@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyquill.llm.textkit import slices, text_bytes
-from skyquill.llm.tokens import encoder
+from skyquill.llm.tokens import encoder, forget
 
 #: Id that ends a document.
 END = 2
+#: Bytes of text encoded at once: words that occur again in them are looked up once.
+ENCODE_BYTES = 1 << 21
 #: Tokens and examples a task's pool may hold before it is packed down to half.
 POOL_TOKENS, POOL_EXAMPLES = 1 << 20, 8192
 
@@ -146,7 +148,7 @@ _SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens lon
 
 def _pack(limits: Limits, pool_tokens: int, pool_examples: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder().encode
+        encode = encoder().rows
         end = np.array([END], "<u2").tobytes()
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 33
@@ -181,10 +183,10 @@ def _pack(limits: Limits, pool_tokens: int, pool_examples: int, with_ids: bool):
 
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            for a, b in slices(offsets):
-                whole = data[offsets[a]:offsets[b]].tobytes()
-                borders = (offsets[a:b + 1] - offsets[a]).tolist()
-                coded = encode([whole[s:e] for s, e in zip(borders, borders[1:], strict=False)])
+            for a, b in slices(offsets, ENCODE_BYTES):
+                ids, first = encode(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+                whole, first = ids.astype("<u2").tobytes(), (2 * first).tolist()
+                coded = [whole[s:e] for s, e in zip(first, first[1:], strict=False)]
                 keys = list(range(count, count + b - a))
                 count += b - a
                 lengths = []
@@ -197,6 +199,8 @@ def _pack(limits: Limits, pool_tokens: int, pool_examples: int, with_ids: bool):
                 yield from emit()
         packer.pack()
         yield from emit()
+        del encode
+        forget()
     return run
 
 
