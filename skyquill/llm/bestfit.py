@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyquill.llm.storage import small_first, stored
-from skyquill.llm.textkit import slices, text_bytes
+from skyquill.llm.textkit import let_go, slices, text_bytes
+from skyquill.llm.tokens import WIDE_SPACE, has_wide_space
 
 #: Id that ends a document.
 END = 2
 #: Nodes the search may open after its first descent, and fillings it tries at a node. They bound the search for a better
 #: packing, not what is packed: every piece has its place in the best one found.
-NODES, FILLINGS = 3000, 12
+NODES, FILLINGS = 1000, 12
 
 Filling = tuple[tuple[int, int], ...]  # (length, how many), lengths descending
 
@@ -121,19 +122,22 @@ def dominates(a: Filling, b: Filling) -> bool:
     return deal(0)
 
 
-def fillings(counts: np.ndarray, room: int, limit: int = FILLINGS) -> list[Filling]:
-    """Undominated fillings of ``room``, the fullest first; at most ``limit``.
+def fillings(counts: np.ndarray, room: int, limit: int = FILLINGS) -> Iterator[Filling]:
+    """Undominated fillings of ``room``, the fullest first; at most ``limit``, each worked out when it is asked for.
 
     One item that fills the room dominates all others. Else sums of items are tried from the fullest reachable one down
     to the largest single item, which dominates everything below.
     """
     if room == 0:
-        return [()]
+        yield ()
+        return
     if counts[room]:
-        return [((room, 1),)]
+        yield ((room, 1),)
+        return
     sizes = np.flatnonzero(counts[:room])[::-1].tolist()
     if not sizes:
-        return [()]
+        yield ()
+        return
     mask = (1 << (room + 1)) - 1
     reach = [1]  # sums of the items from each place on, as bits
     for size in reversed(sizes):
@@ -159,15 +163,19 @@ def fillings(counts: np.ndarray, room: int, limit: int = FILLINGS) -> list[Filli
                         yield ((size, n), *rest)
 
     found: list[Filling] = []
+    seen = 0
     for total in range(room, sizes[0], -1):
         if reach[0] >> total & 1:
-            for filling in islice(exactly(0, total), 2 * limit):
+            for filling in islice(exactly(0, total), limit):
+                seen += 1
                 if not any(dominates(other, filling) for other in found):
                     found.append(filling)
-                    if len(found) == limit:
-                        return found
+                    yield filling
+                if len(found) == limit or seen == 4 * limit:
+                    return
     alone = ((sizes[0], 1),)
-    return found if any(dominates(other, alone) for other in found) else [*found, alone]
+    if not any(dominates(other, alone) for other in found):
+        yield alone
 
 
 def complete(counts: np.ndarray, capacity: int, nodes: int = NODES, limit: int = FILLINGS) -> list[Pattern]:
@@ -248,10 +256,6 @@ def _tokenizer(name: str):
     return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
-#: White space as the vocabulary's splitting pattern sees it, in runs longer than its backtracking should meet.
-_WIDE = re.compile(r"([\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,})")
-
-
 def token_ids(text: str, name: str = "byte_bpe_50k.json") -> np.ndarray:
     """Ids of a text, as the vocabulary's tokenizer gives them without further special tokens.
 
@@ -259,12 +263,12 @@ def token_ids(text: str, name: str = "byte_bpe_50k.json") -> np.ndarray:
     without its last character, which goes with what follows; it is encoded by itself.
     """
     encoding = _tokenizer(name)
-    if len(text) < 4096 or not _WIDE.search(text):
+    if not has_wide_space(text):
         return encoding.encode_to_numpy(text, allowed_special="all")
     special = "|".join(re.escape(s) for s in encoding._special_tokens)
     found: list[np.ndarray] = []
     for part in re.split(f"({special})", text):
-        pieces = _WIDE.split(part)
+        pieces = WIDE_SPACE.split(part)
         carried = ""
         for k, piece in enumerate(pieces):
             if k % 2 == 0:
@@ -304,6 +308,8 @@ def _cut(name: str, capacity: int, with_ids: bool):
                     columns.append(pa.array(ids, pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        _tokenizer.cache_clear()  # a worker lives on for tasks of other kinds
+        let_go()
     return run
 
 

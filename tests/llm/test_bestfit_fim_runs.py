@@ -67,7 +67,7 @@ def test_dominance():
     assert bestfit.dominates(((5, 1), (3, 1)), ((5, 1), (2, 1), (1, 1)))
     assert not bestfit.dominates(((4, 1), (4, 1)), ((5, 1), (2, 1)))
     counts = np.bincount([6, 4, 2, 3], minlength=11)
-    assert bestfit.fillings(counts, 6) == [((6, 1),)]  # one item that fills the room is the only filling
+    assert list(bestfit.fillings(counts, 6)) == [((6, 1),)]  # one item that fills the room is the only filling
 
 
 def test_plan_is_bounded_by_the_capacity():
