@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyquill.llm.tokens import WIDE_SPACE, has_wide_space
+
 #: Reserved strings, in the order of their ids after the vocabulary's.
 RESERVED = ("<s>", "</s>", "[TURN]", "[BODY]", "[END]")
 #: Strings that must not occur bare in a text, as they are control strings here or in common templates.
@@ -60,14 +62,22 @@ def reserved_ids() -> list[int]:
     return [encoding().encode_single_token(text) for text in RESERVED]
 
 
+def encoded(text: str) -> np.ndarray:
+    """Ids that decode to the text. White space in very long runs, on which the splitting pattern fails, is cut into pieces."""
+    encode = encoding().encode_ordinary
+    if not has_wide_space(text):
+        return np.array(encode(text), "<i4")
+    pieces = [part[s:s + 4096] if k % 2 else part for k, part in enumerate(WIDE_SPACE.split(text))
+              for s in range(0, len(part) if k % 2 else 1, 4096)]
+    return np.concatenate([np.array(encode(piece), "<i4") for piece in pieces])
+
+
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Role and text of each turn, escaped and encoded, as little-endian int32."""
-    encode = encoding().encode_ordinary
     for batch in batches:
         columns = []
         for i in (1, 2):
-            texts = [escaped(x or "") for x in batch.column(i).to_pylist()]
-            columns.append(pa.array([np.array(encode(x), "<i4").tobytes() for x in texts], pa.binary()))
+            columns.append(pa.array([encoded(escaped(x or "")).tobytes() for x in batch.column(i).to_pylist()], pa.binary()))
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["key", "role_ids", "text_ids"])
 
 

@@ -104,3 +104,18 @@ def test_points_at_a_rounded_distance_of_zero_keep_their_links(spark):
     assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(zip(*(x.tolist() for x in np.nonzero(units @ units.T >= 0.98)), strict=True))
     got = covertree.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     assert {x["vec_id"]: (x["n_links"], x["component_id"]) for x in got} == plain_links(rows)
+
+
+@pytest.mark.parametrize("character", [" ", "\n", "\t", " ", "a", "!"])
+def test_very_long_runs_survive(character):
+    for text in (character * 3_000_000, "x" + character * 5000 + "[INST] y" + character * 4999):
+        ids = chat.encoded(chat.escaped(text))
+        assert chat.unescaped(chat.encoding().decode(ids.tolist(), errors="strict")) == text
+
+
+def test_labels_of_any_type(spark):
+    rows = [(1, [1.0, 0.0], "a"), (2, [2.0, 0.0], "a"), (3, [1.0, 0.0], "b"), (4, [1.0, 0.0], None)]
+    for kind, value in (("string", lambda x: x), ("long", lambda x: x and (1 << 40) + ord(x))):
+        vectors = spark.createDataFrame([(i, v, value(x)) for i, v, x in rows], f"vec_id long, embedding array<double>, label {kind}")
+        got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in covertree.near_vectors(vectors).collect()}
+        assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}
