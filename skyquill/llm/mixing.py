@@ -5,8 +5,8 @@ the others by weight. A target is met by whole passes over the source and one pa
 the source's histogram of lengths: each length gives in proportion, and a bounded-knapsack dynamic programme spends the
 remaining budget. Which documents of a length are taken is decided by a seeded hash, so reruns agree.
 
-A null text has size 0; a null source is a source, ordered last. Rows equal in doc_id and text are taken together or not
-at all. Only the histogram and one row per source meet in single tasks, never rows.
+A null text has size 0; a null source is a source, ordered last. Rows equal in doc_id, text and source are numbered, and
+each number draws anew, so how many of them are taken is as fine as with different rows. Only the histogram and one row per source meet in single tasks, never rows.
 """
 
 from __future__ import annotations
@@ -35,7 +35,28 @@ def word_count(text: Column) -> Column:
 
 def draw(seed: int) -> Column:
     """The seeded number that decides which documents of a length are taken."""
-    return F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"))
+
+
+def drawn_apart(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``rows`` with a new ``draw`` for all but one of those that draw alike; ``repeated`` holds the draws of several rows.
+
+    Rows that draw alike are numbered 0, 1, ... within and across partitions; which of them has which number makes no
+    difference, as they are equal. No group is brought together but as counts by partition.
+    """
+    if repeated.isEmpty():
+        return rows
+    alike = rows["draw"] == F.col("_draw")
+    single = rows.join(small_first(repeated), alike, "left_anti")
+    several = stored(rows.join(small_first(repeated), alike, "left_semi").withColumn("_part", F.spark_partition_id()), "mix-repeated")
+    earlier = Window.partitionBy("_draw").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    before = (several.groupBy(F.col("draw").alias("_draw"), F.col("_part").alias("_at")).agg(F.count("*").alias("_n"))
+              .select("_draw", "_at", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")))
+    local = F.row_number().over(Window.partitionBy("_part", "draw").orderBy(F.lit(0))) - 1
+    number = F.col("_before") + F.col("_local")
+    several = (several.withColumn("_local", local).join(before, (F.col("draw") == F.col("_draw")) & (F.col("_part") == F.col("_at")))
+               .withColumn("draw", F.when(number > 0, F.xxhash64("draw", number)).otherwise(F.col("draw"))))
+    return single.unionByName(several.select(*single.columns))
 
 
 def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW) -> np.ndarray:
@@ -156,15 +177,17 @@ def _again() -> Column:
 
 
 def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST,
-             seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Narrow rows (doc_id, source, size, draw), targets with passes, and cuts."""
+             seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Narrow rows (doc_id, source, size, draw), draws of several rows, targets with passes, and cuts."""
     rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
                               word_count(F.col("text")).alias("size"), draw(seed).alias("draw")), "mix-rows")
+    repeated = stored(rows.groupBy(F.col("draw").alias("_draw")).agg(F.count("*").alias("n")).where("n > 1").select("_draw"), "mix-alike")
+    rows = drawn_apart(rows, repeated)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = targets(sizes, weights, share, most).withColumn(
         "passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goal = stored(goal, "mix-goal")
-    return rows, goal, stored(cuts(rows, goal), "mix-cuts")
+    return rows, repeated, goal, stored(cuts(rows, goal), "mix-cuts")
 
 
 def _decided(rows: DataFrame, goal: DataFrame, cut: DataFrame) -> DataFrame:
@@ -179,7 +202,7 @@ def _decided(rows: DataFrame, goal: DataFrame, cut: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST,
         seed: int = 0) -> DataFrame:
     """(doc_id, size, source_size, target, taken) per document."""
-    rows, goal, cut = mix_plan(docs, weights, share, most, seed)
+    rows, _, goal, cut = mix_plan(docs, weights, share, most, seed)
     return _decided(rows, goal, cut).select("doc_id", "size", "source_size", "target",
                                             (F.col("times") * F.col("size")).alias("taken"))
 
@@ -187,9 +210,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST,
           seed: int = 0) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it (documents without a word as often as their source is passed)."""
-    _, goal, cut = mix_plan(docs, weights, share, most, seed)
+    _, repeated, goal, cut = mix_plan(docs, weights, share, most, seed)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
                        draw(seed).alias("draw"))
+    rows = drawn_apart(rows, repeated)
     return (_decided(rows, goal, cut).withColumn("_", F.explode(F.expr("IF(times > 0, sequence(1L, times), array())")))
             .select("row.*"))

@@ -136,3 +136,17 @@ def test_sources_come_near_their_targets(spark):
     got["source"] = [rows[i][2] or "" for i in got["doc_id"]]
     for _, own in got.groupby("source"):
         assert abs(own["taken"].sum() - own["target"].iloc[0]) <= 1
+
+
+def test_equal_rows_are_taken_one_by_one(spark):
+    words = " ".join(["w"] * 100)
+    rows = [(7, words, "a")] * 100 + [(k, "x y z", "b") for k in range(10)] + [(None, "u v", None)] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs.repartition(4)).toPandas()
+    for size in (100, 2):
+        own = got[got["size"] == size]
+        assert abs(own["taken"].sum() - own["target"].iloc[0]) <= size and (own["taken"] <= 2 * size).all()
+    again = mixing.mix(docs.repartition(9)).toPandas()
+    key = ["doc_id", "size", "taken"]
+    assert sorted(map(tuple, got[key].fillna(-1).values.tolist())) == sorted(map(tuple, again[key].fillna(-1).values.tolist()))
+    assert sum(len(plain.words(x["text"])) for x in mixing.mixed(docs).collect()) == got["taken"].sum()
