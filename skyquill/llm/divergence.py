@@ -32,7 +32,7 @@ LEAST_WORDS, REPEATED_PERCENT = 50, 50
 LEAST_CHARACTERS, LEAST_JUDGED_WORDS = 200, 100
 CHARACTER_DISTANCE, WORD_DISTANCE = 0.25, 0.5
 
-#: Bits for a word's position in the sorted list of windows; longer texts are sorted as structures.
+#: Bits for a word's position in one number with the other bits of its window's hash.
 _BITS = 24
 
 
@@ -62,9 +62,12 @@ def base_counts(docs: DataFrame) -> DataFrame:
         "_windows", lambda h, i: F.shiftleft(h, _BITS).bitwiseOR(i.cast("bigint")))))
     rows = rows.select("*", packed.alias("_sorted"), again.alias("_again"))
     place = F.transform("_sorted", lambda x: x.bitwiseAND(low).cast("int"))
-    # beyond that many windows a window's place no longer fits; they are sorted as structures
+    # where two windows agree in the bits kept but differ, or a place needs more bits, whole hashes are sorted with their places
+    beside = F.transform("_sorted", lambda x, i: (F.shiftright(x, _BITS) == F.shiftright(F.get("_sorted", i + 1), _BITS)) & (
+        F.get("_windows", x.bitwiseAND(low).cast("int")) != F.get("_windows", F.get("_sorted", i + 1).bitwiseAND(low).cast("int"))))
+    apart = ~F.exists(beside, lambda differs: F.coalesce(differs, F.lit(False)))
     wide = F.transform(F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))), lambda x: x["i"])
-    rows = rows.withColumn("_place", F.when(F.col("_sorted").isNotNull(), place).when(F.col("_again"), wide)).drop("_sorted")
+    rows = rows.withColumn("_place", F.when(apart, place).when(F.col("_again"), wide)).drop("_sorted")
 
     def hashed(i: Column) -> Column:
         return F.get("_windows", F.get("_place", i))

@@ -1,5 +1,6 @@
 """The SQL of queries that SQL can express, for DuckDB on the same tables."""
 
+from skyquill.llm import divergence
 from skyquill.llm.chat import CONTROL
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,10 +74,18 @@ s0 AS (SELECT suffix, sum(bad) AS bad, sum(n) AS n, any_value(above) AS above FR
 d0 AS (SELECT domain, sum(bad) AS bad, sum(n) AS n, any_value(mean) AS above FROM hosts JOIN s1 USING (suffix) GROUP BY domain),
 {_shrink('d1', 'domain', 'd0')},
 u0 AS (SELECT host, bad, n, mean AS above FROM hosts JOIN d1 USING (domain)),
-{_shrink('u1', 'host', 'u0')}
+{_shrink('u1', 'host', 'u0')},
+d AS (SELECT (SELECT above FROM whole) AS above, (SELECT weight / (weight + 1) FROM u1_w) AS a, (SELECT weight / (weight + 1) FROM d1_w) AS b,
+             (SELECT weight / (weight + 1) FROM s1_w) AS c),
+q AS (SELECT *, CASE WHEN len(string_split(host, '.')) > 2 THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE host END AS domain,
+             string_split(host, '.')[-1] AS suffix FROM p),
+j AS (SELECT page_id, q.host, path, coalesce(u1.mean, d1.mean, s1.mean, d.above) AS mean,
+             coalesce(u1.pages, 1 / (1 - a * CASE WHEN d1.mean IS NOT NULL THEN 1 WHEN s1.mean IS NOT NULL THEN b ELSE b * c END) - 1) AS pages
+      FROM q CROSS JOIN d LEFT JOIN u1 ON u1.host = q.host LEFT JOIN d1 ON d1.domain = q.domain LEFT JOIN s1 ON s1.suffix = q.suffix)
 SELECT page_id, host, path, {_case('rule')} AS rule,
-       coalesce({_case('verdict')}, CASE WHEN mean - 2 * sqrt(mean * (1 - mean) / (pages + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
-FROM p LEFT JOIN u1 USING (host)"""
+       coalesce({_case('verdict')}, CASE WHEN host <> '' AND mean - 2 * sqrt(mean * (1 - mean) / (pages + 1)) > 0.5
+                                         THEN 'block' ELSE 'allow' END) AS verdict
+FROM j"""
 
 FIM = r"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
@@ -91,3 +100,47 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_c
        sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b
                         ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(text) AS restored_sha256
 FROM c"""
+
+
+def _list(words: tuple[str, ...] | list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_EVERY = sorted({word for words in divergence.COMMON.values() for word in words})
+_LISTS = "CASE lang " + " ".join(f"WHEN '{name}' THEN {_list(words)}" for name, words in divergence.COMMON.items()) + f" ELSE {_list(_EVERY)} END"
+_COUNTED = [c.replace("'", "''") for c in divergence.CLASSES]
+_N = len(_EVERY) + 1
+
+
+def _divergence(counts: str, means: str) -> str:
+    """Jensen-Shannon distance of a list of counts and one of mean shares, as a scalar over two lists."""
+    x, y = f"({counts}[i] / list_sum({counts}))", f"({means}[i] / list_sum({means}))"
+    part = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0 END"
+    total = f"list_sum(list_transform(range(1, len({counts}) + 1), lambda i: ({part(x, y)} + {part(y, x)}) / 2))"
+    return f"CASE WHEN list_sum({counts}) > 0 AND list_sum({means}) > 0 THEN sqrt(greatest({total}, 0)) ELSE 0 END"
+
+
+DIVERGENCE = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{divergence.WORD}') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{divergence.WORD}')) AS lines,
+             {_LISTS} AS common FROM t),
+g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM
+        (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g) WHERE n > 1) GROUP BY r),
+b AS (SELECT w.*, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+             len(regexp_extract_all(text, '{_COUNTED[4]}'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+             coalesce(rep.n, 0)::BIGINT AS n_repeat_words, length(text) AS size,
+             [{', '.join(f"len(regexp_extract_all(text, '{c}'))" for c in _COUNTED)}] AS few FROM w LEFT JOIN rep USING (r)),
+c AS (SELECT *, list_append(few, greatest(size - list_sum(few), 0))::DOUBLE[] AS chars,
+             list_append(list_transform(range(1, {_N}), lambda i: CASE WHEN i <= len(common) THEN len(list_filter(w, lambda x: x = common[i])) ELSE 0 END),
+                         len(list_filter(w, lambda x: NOT list_contains(common, x))))::DOUBLE[] AS found FROM b),
+m AS (SELECT lang, [{', '.join(f"coalesce(avg(chars[{i}] / size) FILTER (size > 0), 0)" for i in range(1, len(_COUNTED) + 2))}] AS chars_all,
+             [{', '.join(f"coalesce(avg(found[{i}] / n_words) FILTER (n_words > 0), 0)" for i in range(1, _N + 1))}] AS found_all FROM c GROUP BY lang),
+d AS (SELECT c.*, {_divergence('chars', 'chars_all')} AS character_distance, {_divergence('found', 'found_all')} AS word_distance,
+             n_words < {divergence.LEAST_WORDS} OR 100 * n_repeat_words > {divergence.REPEATED_PERCENT} * n_words AS base_failed
+      FROM c JOIN m ON c.lang IS NOT DISTINCT FROM m.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(character_distance, 9) AS character_distance,
+       round(word_distance, 9) AS word_distance, NOT base_failed
+       AND NOT (size >= {divergence.LEAST_CHARACTERS} AND character_distance > {divergence.CHARACTER_DISTANCE})
+       AND NOT (n_words >= {divergence.LEAST_JUDGED_WORDS} AND word_distance > {divergence.WORD_DISTANCE}) AS kept
+FROM d"""

@@ -80,10 +80,12 @@ QUERIES["page_language"] = page_language
 
 def op9_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of all documents."""
-    return judged(table(spark, sf_dir, "documents")).drop("lang")
+    found = judged(table(spark, sf_dir, "documents")).drop("lang")
+    return found.withColumns({c: F.round(c, 9) for c in ("character_distance", "word_distance")})
 
 
 QUERIES["op9_divergence_rules"] = op9_divergence_rules
+SQL["op9_divergence_rules"] = oracle.DIVERGENCE
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -215,3 +215,31 @@ def test_hosts_without_labels_are_judged_by_what_is_above_them(spark):
     assert abs(got[3]["reputation"] - (600 + 1) / (900 + 2)) < 1e-9 and got[4]["reputation"] is None
     assert min(got[0]["reputation"], got[2]["reputation"]) > got[3]["reputation"] > got[1]["reputation"]
     assert len(got) == len(urls_of + asked)
+
+
+def test_windows_that_agree_in_few_bits_are_told_apart(spark, documents, monkeypatch):
+    """With four bits kept nearly all windows agree with another, which must not change a count."""
+    want = divergence.base_counts(documents).select("doc_id", "n_repeat_words").collect()
+    monkeypatch.setattr(divergence, "_BITS", 60)
+    got = divergence.base_counts(documents).select("doc_id", "n_repeat_words").collect()
+    assert sorted(got) == sorted(want) and sum(x["n_repeat_words"] for x in want) > 0
+
+
+def test_sql_judges_hosts_without_labels_alike(spark, tmp_path):
+    import duckdb
+
+    from skyquill.llm import oracle
+
+    pages = [(i, f"http://h{i % 9}.spam.com/p") for i in range(300)] + [(i, f"http://www{i % 5}.fine.org/") for i in range(300, 400)]
+    pages += [(400, "http://new.spam.com/x"), (401, "http://new.fine.org/"), (402, "http://other.com/"), (403, "nothing"), (404, None), (405, "http://a.example/")]
+    for n, labels in enumerate(([(i, 0 if i < 300 else 1, 0) for i in range(400)], [], [(1, None, 0)])):
+        spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/{n}/pages.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{n}/labels.parquet")
+        got = queries.op5_url_reputation(spark, f"{tmp_path}/{n}").toPandas()
+        con = duckdb.connect()
+        for table in ("pages", "labels"):
+            con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{n}/{table}.parquet/*.parquet'")
+        want = con.execute(oracle.URLS).df()
+        key = lambda frame: sorted(map(tuple, frame[["page_id", "host", "path", "rule", "verdict"]].astype(object).where(lambda x: x.notna(), None).values.tolist()))
+        assert key(got) == key(want)
+        assert n or got.set_index("page_id")["verdict"][400] == "block"
