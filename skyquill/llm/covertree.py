@@ -195,9 +195,9 @@ def _cells(points: DataFrame, sizes: list, cosine: float, block: int, most: int)
         rows = points.where((F.col("label") == label) & (F.col("dim") == dim)).orderBy("h", "g").limit(k).select("unit").collect()
         centres[label, dim] = np.stack([np.frombuffer(x["unit"], "<f8") for x in rows])
     placed = stored(points.select("label", "dim", "unit", "h", "g", "weight").mapInArrow(
-        _nearest(centres), "label int, dim int, unit binary, h long, g long, weight long, cell int, far double"), "cover-points")
+        _nearest(centres), "label string, dim int, unit binary, h long, g long, weight long, cell int, far double"), "cover-points")
     grouped = placed.groupBy("label", "dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
-    cells = grouped.join(F.broadcast(spark.createDataFrame(quota or [(0, -1, 0)], "label int, dim int, k long")), ["label", "dim"])
+    cells = grouped.join(F.broadcast(spark.createDataFrame(quota or [("", -1, 0)], "label string, dim int, k long")), ["label", "dim"])
     known = {(x["label"], x["dim"], x["cell"]): x for x in cells.collect()}  # a row a centre
     reach = float(np.sqrt(2 - 2 * cosine)) + SLACK
     pairs = []
@@ -209,9 +209,9 @@ def _cells(points: DataFrame, sizes: list, cosine: float, block: int, most: int)
                 p, q = known[label, dim, i], known[label, dim, j]
                 if i == j or gap[i, j] - p["radius"] - q["radius"] <= reach:
                     pairs.append((label, dim, i, j, -(-p["n"] // block), -(-q["n"] // block)))
-    table = spark.createDataFrame(pairs, "label int, dim int, i int, j int, blocks_i long, blocks_j long") if pairs else None
+    table = spark.createDataFrame(pairs, "label string, dim int, i int, j int, blocks_i long, blocks_j long") if pairs else None
     # labels of one cell have one pair, made where the data are
-    single = (grouped.join(F.broadcast(spark.createDataFrame(quota or [(0, -1, 0)], "label int, dim int, k long")),
+    single = (grouped.join(F.broadcast(spark.createDataFrame(quota or [("", -1, 0)], "label string, dim int, k long")),
                            ["label", "dim"], "left_anti")
               .select("label", "dim", F.col("cell").alias("i"), F.col("cell").alias("j"),
                       F.ceil(F.col("n") / block).alias("blocks_i"), F.ceil(F.col("n") / block).alias("blocks_j")))
@@ -222,9 +222,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK,
     """(vec_id, n_links, component_id, kept) per row of (vec_id, embedding, label); ``kept`` marks a component's smallest."""
     if not 0.5 < cosine < 1:
         raise ValueError("the cosine must be between 0.5 and 1")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"),
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"),
                           F.col("embedding").cast("array<double>").alias("embedding"))
-    units = rows.where("label IS NOT NULL").mapInArrow(_units, "vec_id long, label int, unit binary")
+    units = rows.where("label IS NOT NULL").mapInArrow(_units, "vec_id long, label string, unit binary")
     units = stored(units.select("vec_id", "label", "unit", (F.octet_length("unit") / 8).cast("int").alias("dim"),
                                 F.xxhash64("label", "unit").alias("h"), F.xxhash64(F.lit(7), "label", "unit").alias("g")), "cover-units")
     points = stored(units.groupBy("label", "dim", "h", "g").agg(
