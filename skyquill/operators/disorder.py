@@ -93,12 +93,13 @@ def _longs(batch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _carried_highest(rows: DataFrame, highest: int = 0) -> dict[int, int]:
+def _carried_highest(rows: DataFrame, highest: int = 0) -> tuple[dict[int, int], int]:
+    """Highest event time before each partition, and after all."""
     carried = {}
     for part, top in sorted(tuple(r) for r in rows.groupBy(PART).agg(F.max("__ts")).collect()):
         carried[part] = highest
         highest = max(highest, top)
-    return carried
+    return carried, highest
 
 
 def _carried_slack(rows: DataFrame, highest: dict[int, int], segment: int = _NONE, slack: int = 0):
@@ -179,22 +180,25 @@ def _carried_progress(rows: DataFrame, start, progress: int = 0) -> tuple[dict[i
 
 
 class _Passes:
-    """Rows in arrival order with the carried state of every range partition."""
+    """Rows in arrival order with the carried state of every range partition.
 
-    def __init__(self, df: DataFrame, ts: str, order: Sequence[str], initial: SlackFold | None = None):
+    The passes read the times alone (``times``), in the same partitions and order as the rows.
+    """
+
+    def __init__(self, df: DataFrame, ts: str, order: Sequence[str], initial: SlackFold | None = None, more: Sequence[str] = ()):
         initial = initial or SlackFold()
         self.columns = df.columns
         df = with_times(df, ts)
         self.rows = range_ordered(df.withColumn("__ts", micros(df, ts)), order)
-        highest = _carried_highest(self.rows, int(initial.highest))
-        slack, last = _carried_slack(self.rows, highest, int(initial.segment_min), int(initial.slack))
+        self.times = checkpointed(self.rows.select(PART, POS, "__ts", *more))
+        highest, top = _carried_highest(self.times, int(initial.highest))
+        slack, last = _carried_slack(self.times, highest, int(initial.segment_min), int(initial.slack))
 
         def start(part: int) -> SlackFold:
             return SlackFold(highest[part], *slack[part])
 
-        self.before, self.inside, self.progress = _carried_progress(self.rows, start, int(initial.progress))
-        top = self.rows.agg(F.max("__ts")).first()[0]
-        self.final = SlackFold(max(int(initial.highest), top or 0), *last, self.progress)
+        self.before, self.inside, self.progress = _carried_progress(self.times, start, int(initial.progress))
+        self.final = SlackFold(top, *last, self.progress)
         before = self.before
 
         def resume(part: int) -> SlackFold:
@@ -244,7 +248,7 @@ def kslack_with_state(
 def arrival_delay(df: DataFrame, ts: str, order: Sequence[str], name: str = "delay") -> DataFrame:
     """How far each row lies behind the largest event time that arrived before or with it."""
     rows = range_ordered(with_times(df, ts).withColumn("__ts", micros(df, ts)), order)
-    highest = _carried_highest(rows)
+    highest, _ = _carried_highest(rows.select(PART, "__ts"))
 
     def behind(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = None
@@ -326,39 +330,51 @@ def reorder(df: DataFrame, ts: str, gen: str, order: Sequence[str], pending_rows
     leave in the order of (event time, arrival).
     """
     df = with_times(df, ts, gen)
-    passes = _Passes(df.withColumn("__gen", micros(df, gen)), ts, order)
+    passes = _Passes(df.withColumn("__gen", micros(df, gen)), ts, order, more=["__gen"])
     resume, inside = passes.resume, passes.inside
     parts = np.array(sorted(inside), dtype=np.int64)
     tops = np.array([inside[p] for p in parts], dtype=np.int64)
-    names = passes.rows.columns
+    names = passes.times.columns
 
     def release(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]  # one range partition
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        part = table.column(PART)[0].as_py()
-        times = table.column("__ts").to_numpy().astype(np.int64)
-        state = resume(part).feed(times)
-        at, punct = state["at"], state["punct"]
-        own = np.searchsorted(at, np.arange(len(times)))
-        hit = _first_at_least(punct, own, times)
-        here = hit < len(punct)
-        row = at[np.where(here, hit, 0)] if len(at) else np.zeros(len(times), dtype=np.int64)
-        gens = table.column("__gen").to_numpy()[row]
-        seqs = table.column(POS).to_numpy()[row]
-        later = _first_at_least(tops, np.full(len(times), np.searchsorted(parts, part) + 1), times)
-        target = np.where(later < len(parts), parts[np.minimum(later, len(parts) - 1)], -1)
-        out = table.append_column("__release", pa.array(seqs, pa.int64(), mask=~here))
-        out = out.append_column("release_gen", pa.array(gens, pa.int64(), mask=~here))
-        out = out.append_column("__target", pa.array(target.astype(np.int32), pa.int32(), mask=here))
-        yield from out.to_batches()
-
-    schema = T.StructType([*passes.rows.schema.fields, T.StructField("__release", T.LongType()),
+        fold, part, waiting = None, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = _one(batch, PART) if part is None else part
+            fold = fold or resume(part)
+            times, gens, seqs = (_longs(batch, c) for c in ("__ts", "__gen", POS))
+            state = fold.feed(times)
+            at, punct = state["at"], state["punct"].astype(np.int64)
+            # rows of this batch wait for a punctuation at or after them, earlier ones for any of this batch
+            table = pa.Table.from_batches([batch])
+            first = np.searchsorted(at, np.arange(len(times)))
+            if waiting is not None:
+                first = np.r_[np.zeros(waiting.num_rows, dtype=np.int64), first]
+                table = pa.concat_tables([waiting, table])
+            hit = _first_at_least(punct, first, _longs(table.combine_chunks(), "__ts"))
+            here = hit < len(punct)
+            row = at[hit[here]]
+            yield from placed(table.filter(pa.array(here)), gens[row], seqs[row], None)
+            waiting = table.filter(pa.array(~here))
+        if waiting is not None and waiting.num_rows:
+            # what still waits leaves in a later partition, or at the end
+            later = _first_at_least(tops, np.full(waiting.num_rows, np.searchsorted(parts, part) + 1), _longs(waiting.combine_chunks(), "__ts"))
+            target = np.where(later < len(parts), parts[np.minimum(later, len(parts) - 1)], -1)
+            yield from placed(waiting, None, None, target)
+
+    def placed(table: pa.Table, gens, seqs, target) -> list[pa.RecordBatch]:
+        none = lambda kind: pa.nulls(table.num_rows, kind)
+        out = table.append_column("__release", none(pa.int64()) if seqs is None else pa.array(seqs, pa.int64()))
+        out = out.append_column("release_gen", none(pa.int64()) if gens is None else pa.array(gens, pa.int64()))
+        out = out.append_column("__target", none(pa.int32()) if target is None else pa.array(target.astype(np.int32)))
+        return out.combine_chunks().to_batches()
+
+    schema = T.StructType([*passes.times.schema.fields, T.StructField("__release", T.LongType()),
                            T.StructField("release_gen", T.LongType()), T.StructField("__target", T.IntegerType())])
-    first = checkpointed(passes.rows.mapInArrow(release, schema))
-    ladder = _ladder(passes.rows, resume)
-    end = passes.rows.agg(F.max("__gen").alias("gen")).first()["gen"]
+    first = checkpointed(passes.times.mapInArrow(release, schema))
+    ladder = _ladder(passes.times, resume)
+    end = passes.times.agg(F.max("__gen").alias("gen")).first()["gen"]
     waiting = first.filter(F.col("__target") >= 0)
     crossed = _released_later(waiting, ladder, names, pending_rows)
     flushed = first.filter(F.col("__target") == -1).select(
@@ -367,7 +383,9 @@ def reorder(df: DataFrame, ts: str, gen: str, order: Sequence[str], pending_rows
         first.filter(F.col("__target").isNull()).select(*names, "__release", "release_gen")
         .unionByName(crossed).unionByName(flushed)
     )
-    return _flag_overtaken(checkpointed(done), df)
+    # only times and positions went through the passes; their results meet the rows once
+    left = _flag_overtaken(checkpointed(done))
+    return passes.rows.select(POS, *df.columns).join(left, POS).select(*df.columns, "release_gen", "emit_pos", "is_late")
 
 
 def _ladder(rows: DataFrame, resume) -> DataFrame:
@@ -418,14 +436,13 @@ def _released_later(waiting: DataFrame, ladder: DataFrame, names: list[str], pen
     return looked.filter(F.col("__step") == 0).select(*names, "__release", "release_gen")
 
 
-def _flag_overtaken(done: DataFrame, df: DataFrame) -> DataFrame:
-    """Late in emission order: below the running maximum of the event times emitted before."""
-    columns = df.columns
+def _flag_overtaken(done: DataFrame) -> DataFrame:
+    """(POS, release_gen, emit_pos, is_late): late in emission order is what lies below the running maximum of the
+    event times emitted before."""
     last = F.coalesce("__release", F.lit(_NONE))
     placed = range_ordered(
-        done.drop(PART).withColumnRenamed(POS, "__arrival").withColumn("__leave", last),
-        ["__leave", "__ts", "__arrival"])
-    highest = _carried_highest(placed)
+        done.select(F.col(POS).alias("__arrival"), last.alias("__leave"), "__ts", "release_gen"), ["__leave", "__ts", "__arrival"])
+    highest, _ = _carried_highest(placed)
 
     def flag(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = None
@@ -436,12 +453,11 @@ def _flag_overtaken(done: DataFrame, df: DataFrame) -> DataFrame:
             ts = _longs(batch, "__ts")
             high = np.maximum(np.maximum.accumulate(ts), top)
             top = high[-1]
-            arrays = [batch.column(c) for c in (*columns, "release_gen", POS)] + [pa.array(ts < high)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "release_gen", "emit_pos", "is_late"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("__arrival"), batch.column("release_gen"), batch.column(POS), pa.array(ts < high)],
+                names=[POS, "release_gen", "emit_pos", "is_late"])
 
-    schema = T.StructType([*df.schema.fields, T.StructField("release_gen", T.LongType()), T.StructField("emit_pos", T.LongType()),
-                           T.StructField("is_late", T.BooleanType())])
-    return placed.mapInArrow(flag, schema)
+    return placed.mapInArrow(flag, f"{POS} long, release_gen long, emit_pos long, is_late boolean")
 
 
 class AlphaControl:
