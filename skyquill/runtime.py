@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -34,20 +35,30 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf) -
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
-
-    Partitions and the order of rows in them are fixed afterwards, which the
-    ordered scans rely on, and a lost executor costs a re-read, not a recompute.
-    """
-    sc = df.sparkSession.sparkContext
+def _checkpoint_dir(spark: SparkSession) -> str:
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="skyquill-checkpoint-")  # one machine
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new place for tables and stream checkpoints in the folder the cluster names in ``spark.checkpoint.dir``."""
+    return f"{_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+
+    Partitions and the order of rows in them are fixed afterwards, which the
+    ordered scans rely on, and a lost executor costs a re-read, not a recompute.
+    """
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

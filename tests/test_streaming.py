@@ -9,6 +9,7 @@ from skyquill.operators.preference import skyline
 from skyquill.operators.windows import Windows, window_skyline, window_sizes, complete_windows
 from skyquill.plans.tables import HOUR, ORIGIN, stream_rows
 from skyquill.sources.tuples import ingest, replay_stream, stage_replay
+from skyquill.streaming.drain import drained, drained_by_batch
 from skyquill.streaming.slack import kslack_stream, reorder_stream
 from skyquill.streaming.windows import FeedbackSplit, SkylineView, WindowSkylineSink
 
@@ -115,3 +116,20 @@ def test_watermark_baseline_and_ingest(spark, staged, tmp_path):
                .agg(F.count("*").alias("n")))
     got = run(counted, tmp_path, "baseline")
     assert got.count() > 0
+
+
+def test_drained_streams_go_on_after_a_restart(spark, tmp_path):
+    """What was drained before a restart is neither read nor written again."""
+    rows = stream_rows(spark, DATA).select("event_id", "app_us", "gen_us", *DIMS)
+    cut = rows.agg(F.percentile_approx("gen_us", 0.5)).first()[0]
+    path = str(tmp_path / "rows")
+    places = [(str(tmp_path / f"out{i}"), str(tmp_path / f"ck{i}")) for i in (0, 1)]
+    for part in (rows.filter(F.col("gen_us") <= cut), rows.filter(F.col("gen_us") > cut)):
+        stage_replay(part, path, ORDER, 300)
+        stream = replay_stream(spark, path, rows.schema)
+        appended, numbered = drained(stream, *places[0]), drained_by_batch(stream, *places[1])
+    assert as_set(appended, "event_id", "app_us") == as_set(rows, "event_id", "app_us")
+    assert as_set(numbered, "event_id", "app_us") == as_set(rows, "event_id", "app_us")
+    ends = sorted((r["batch"], r["lo"], r["hi"]) for r in numbered.groupBy("batch").agg(F.min("gen_us").alias("lo"), F.max("gen_us").alias("hi")).collect())
+    assert len(ends) >= 4 and all(a[2] <= b[1] for a, b in zip(ends, ends[1:]))
+    assert drained(replay_stream(spark, path, rows.schema), *places[0]).count() == rows.count()
