@@ -12,7 +12,6 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
-from heapq import heappop, heappush
 from operator import and_, or_
 
 import numpy as np
@@ -526,44 +525,69 @@ class AdaptiveSlack:
 
 
 class AdaptiveBuffer:
-    """Reorder buffer of one source with an adaptive slack."""
+    """Reorder buffer of one source with an adaptive slack, worked in slices between samples, in which alpha is constant.
+
+    Rows are known by ``numbers`` that grow with arrival.
+    """
 
     def __init__(self, target: float | None, gains=GAINS, period: int = SAMPLE_MICROS):
         self.control = AlphaControl(target, gains, period) if target else None
-        self.highest = self.slack = 0
-        self.segment_min = _NONE
-        self.heap: list = []
+        self.fold = SlackFold()
         self.emitted = 0
+        self.waiting = tuple(np.zeros(0, dtype=np.int64) for _ in range(3))  # event time, arrival time, number
+
+    def state(self) -> list[int]:
+        return [int(self.fold.highest), int(self.fold.segment_min), int(self.fold.slack), int(self.emitted)]
 
-    def push(self, ts: int, gen: int, row) -> list[tuple]:
-        """Rows that leave at this arrival as (event time, row, late)."""
-        heappush(self.heap, (ts, gen, row))
+    def restore(self, state: Sequence[int]) -> None:
+        self.fold.highest, self.fold.segment_min, self.fold.slack, self.emitted = state
+
+    def hold(self, ts: np.ndarray, gen: np.ndarray, numbers: np.ndarray) -> None:
+        """Rows that were in the buffer before."""
+        self.waiting = tuple(np.r_[old, new] for old, new in zip(self.waiting, (ts, gen, numbers)))
+
+    def feed(self, ts: np.ndarray, gen: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the rows that leave, in the order in which they do, and whether each is late."""
+        control, i, left = self.control, 0, []
+        ascending = len(gen) < 2 or (gen[1:] >= gen[:-1]).all()
+        while i < len(ts):
+            j, counted = len(ts), 0
+            if control:
+                if control.due(int(gen[i])):
+                    control.received += 1
+                    control.step(int(gen[i]))
+                    counted = 1
+                due = control.sampled + control.period
+                j = int(np.searchsorted(gen, due)) if ascending else next(iter(np.flatnonzero(gen[i + 1:] >= due) + i + 1), len(ts))
+                j = max(i + 1, j)
+                self.fold.alpha = control.alpha
+                control.received += j - i - counted
+            state = self.fold.feed(ts[i:j])
+            ready = np.floor(state["punct"]).astype(np.int64)
+            first = np.r_[np.zeros(len(self.waiting[0]), dtype=np.int64), np.searchsorted(state["at"], np.arange(j - i))]
+            self.hold(ts[i:j], gen[i:j], numbers[i:j])
+            left.append(self._leave(_first_at_least(ready, first, self.waiting[0]), len(ready)))
+            i = j
+        return tuple(np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (list(zip(*left)) or [(), ()]))
+
+    def flush(self) -> tuple[np.ndarray, np.ndarray]:
+        """What is still waiting."""
+        return self._leave(np.zeros(len(self.waiting[0]), dtype=np.int64), 1)
+
+    def _leave(self, step: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows leave at their step, and of one step by event time, then arrival; those of ``steps`` stay."""
+        go = np.flatnonzero(step < steps)
+        ts, gen, numbers = self.waiting
+        order = go[np.lexsort((numbers[go], gen[go], ts[go], step[go]))]
+        out = ts[order]
+        highest = np.maximum.accumulate(np.r_[self.emitted, out])
+        late = out < highest[:-1]
+        self.emitted = int(highest[-1])
         if self.control:
-            self.control.received += 1
-            if self.control.due(gen):
-                self.control.step(gen)
-        self.segment_min = min(self.segment_min, ts)
-        if ts <= self.highest:
-            return []
-        self.highest = ts
-        self.slack = max(self.slack, ts - self.segment_min)
-        self.segment_min = _NONE
-        hold = (1 - self.control.alpha) * self.slack if self.control else self.slack
-        return self._emit(ts - hold)
-
-    def flush(self) -> list[tuple]:
-        return self._emit(float("inf"))
-
-    def _emit(self, bound) -> list[tuple]:
-        out = []
-        while self.heap and self.heap[0][0] <= bound:
-            ts, _, row = heappop(self.heap)
-            late = ts < self.emitted
-            if late and self.control:
-                self.control.dropped += 1
-            self.emitted = max(self.emitted, ts)
-            out.append((ts, row, late))
-        return out
+            self.control.dropped += int(late.sum())
+        stay = step >= steps
+        self.waiting = (ts[stay], gen[stay], numbers[stay])
+        return numbers[order], late
 
 
 class _SlackOfSource:
@@ -600,38 +624,31 @@ class _BufferOfSource:
         self.store: pa.Table | None = None
         self.numbers = np.zeros(0, dtype=np.int64)
         if state:
-            b = self.buffer
-            (b.highest, b.segment_min, b.slack, b.emitted), self.seq, control = json.loads(state)
-            if b.control:
-                b.control.restore(control)
+            saved, self.seq, control = json.loads(state)
+            self.buffer.restore(saved)
+            if self.buffer.control:
+                self.buffer.control.restore(control)
 
-    def _keep(self, rows: pa.RecordBatch, numbers: np.ndarray) -> None:
+    def feed(self, rows: pa.RecordBatch, held: bool) -> list[pa.RecordBatch]:
+        ts, gen = _longs(rows, "__ts"), _longs(rows, "__gen")
+        numbers = np.arange(self.arrival, self.arrival + rows.num_rows)
+        self.arrival += rows.num_rows
         table = pa.Table.from_batches([rows])
         self.store = table if self.store is None else pa.concat_tables([self.store, table])
         self.numbers = np.r_[self.numbers, numbers]
-
-    def feed(self, rows: pa.RecordBatch, held: bool) -> list[pa.RecordBatch]:
-        times = zip(_longs(rows, "__ts").tolist(), _longs(rows, "__gen").tolist())
-        self._keep(rows, np.arange(self.arrival, self.arrival + rows.num_rows))
         if held:  # numbered again from 0, in arrival order and before all new rows
-            for t, g in times:
-                heappush(self.buffer.heap, (t, g, self.arrival))
-                self.arrival += 1
+            self.buffer.hold(ts, gen, numbers)
             return []
-        left = []
-        for t, g in times:
-            left += self.buffer.push(t, g, self.arrival)
-            self.arrival += 1
-        return self._take(left)
+        return self._take(*self.buffer.feed(ts, gen, numbers))
 
-    def _take(self, left: list[tuple]) -> list[pa.RecordBatch]:
+    def _take(self, left: np.ndarray, late: np.ndarray) -> list[pa.RecordBatch]:
         """Emitted rows in emission order; the store keeps the others."""
-        if not left:
+        if not len(left):
             return []
-        where = np.searchsorted(self.numbers, [row for _, row, _ in left])
+        where = np.searchsorted(self.numbers, left)
         out = self.store.take(where)
         out = out.append_column("emit_seq", pa.array(np.arange(self.seq, self.seq + len(left))))
-        out = out.append_column("is_late", pa.array([late for _, _, late in left], pa.bool_()))
+        out = out.append_column("is_late", pa.array(late, pa.bool_()))
         self.seq += len(left)
         stay = np.ones(len(self.numbers), dtype=bool)
         stay[where] = False
@@ -639,12 +656,11 @@ class _BufferOfSource:
         return out.combine_chunks().to_batches()
 
     def end(self) -> list[pa.RecordBatch]:
-        return self._take(self.buffer.flush())
+        return self._take(*self.buffer.flush())
 
     def pause(self) -> tuple[str, pa.Table | None]:
         b = self.buffer
-        control = b.control.state() if b.control else None
-        return json.dumps([[b.highest, b.segment_min, b.slack, b.emitted], self.seq, control]), self.store
+        return json.dumps([b.state(), self.seq, b.control.state() if b.control else None]), self.store
 
 
 def _timed(df: DataFrame, ts: str, gen: str) -> DataFrame:

@@ -94,27 +94,24 @@ class ReorderProcessor(StatefulProcessor):
         ts_at, gen_at = self.columns.index("__ts"), self.columns.index("__gen")
         if self.state.exists():
             saved = self.state.get()
-            buffer.highest, buffer.segment_min, buffer.slack, buffer.emitted, seq, arrival = (int(v) for v in saved[:6])
+            buffer.restore([int(v) for v in saved[:4]])
+            seq, arrival = int(saved[4]), int(saved[5])
             if buffer.control:
                 buffer.control.restore(saved[6:])
-            for row in self.waiting.get():
-                held[row[-1]] = row[:-1]
-                buffer.heap.append((row[ts_at], row[gen_at], row[-1]))
-            buffer.heap.sort()  # a sorted list is a heap
-        out = []
-        left = []
-        for row in data[self.columns].itertuples(index=False, name=None):
-            held[arrival] = row
-            left += buffer.push(int(row[ts_at]), int(row[gen_at]), arrival)
-            arrival += 1
+            held = {row[-1]: row[:-1] for row in self.waiting.get()}
+            buffer.hold(*(np.array([row[at] for row in held.values()], dtype=np.int64) for at in (ts_at, gen_at)),
+                        np.array(list(held), dtype=np.int64))
+        rows = list(data[self.columns].itertuples(index=False, name=None))
+        numbers = np.arange(arrival, arrival + len(rows))
+        held.update(zip(numbers.tolist(), rows))
+        arrival += len(rows)
+        left, late = buffer.feed(*(np.array([row[at] for row in rows], dtype=np.int64) for at in (ts_at, gen_at)), numbers)
         if ended.any():
-            left += buffer.flush()
-        for _, number, late in left:
-            out.append((*held.pop(number), seq, late))
-            seq += 1
+            left, late = (np.r_[x, y] for x, y in zip((left, late), buffer.flush()))
+        out = [(*held.pop(number), seq + i, overtaken) for i, (number, overtaken) in enumerate(zip(left.tolist(), late.astype(bool).tolist()))]
+        seq += len(out)
         control = buffer.control or AdaptiveBuffer(0.5).control
-        self.state.update((int(buffer.highest), int(buffer.segment_min), int(buffer.slack), int(buffer.emitted), seq, arrival,
-                           *control.state()))
+        self.state.update((*buffer.state(), seq, arrival, *control.state()))
         self.waiting.clear()
         if held:
             self.waiting.put([(*row, number) for number, row in held.items()])
