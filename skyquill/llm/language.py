@@ -216,7 +216,10 @@ def documents_language(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES)
 
 def spoken(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
     """The documents that are not rejected, unchanged."""
-    return documents_language(docs, languages).where("kept").select("row.*")
+    # numbered names, so that no column clashes and no text is carried twice
+    at = {name: f"_c{i}" for i, name in enumerate(docs.columns)}
+    found = identified(docs.toDF(*at.values()), F.col(at["text"]), F.col(at["lang"]), F.lit(None).cast("string"), F.col(at["source"]), languages)
+    return found.where("kept").select(*[F.col(c).alias(name) for name, c in at.items()])
 
 
 #: Language of the markup, and the path segment that names one.

@@ -25,20 +25,23 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-#: Rows of an Arrow batch while an operator writes its own tables: whole texts make large rows.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch while an operator writes its own tables: whole texts make large rows.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Smaller Arrow batches for the time of an action of our own; the session's setting is put back."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = {name: spark.conf.get(name) for name in (rows, size)}
+    held = int(before[rows])
+    spark.conf.set(rows, str(min(held, BATCH_ROWS) if held > 0 else BATCH_ROWS))
+    spark.conf.set(size, str(BATCH_BYTES))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -468,14 +468,16 @@ def without_repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -
     _, found = repeats(docs, passage, gram)
     found = found.select(F.col("h").alias("_h"), F.col("g").alias("_g"), F.col("doc").alias("_doc"), F.col("removed").alias("_cut"))
     h, g = text_keys(F.col("text"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("_text"),
-                       F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_id"), h.alias("_key_h"), g.alias("_key_g"))
+    # numbered names, so that no column clashes and no text is carried twice
+    at = {name: f"_c{i}" for i, name in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(f"`{name}`").alias(c) for name, c in at.items()], F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_id"),
+                       h.alias("_key_h"), g.alias("_key_g"))
     rows = rows.join(small_first(found), (F.col("_key_h") == F.col("_h")) & (F.col("_key_g") == F.col("_g")), "left")
     rows = rows.where(F.col("_doc").isNull() | (F.col("_id") == F.col("_doc")))
     cut = F.col("_cut").isNotNull()
-    rows = rows.withColumn("_rest", _without(F.when(cut, F.col("_text")), F.col("_cut")))
+    rows = rows.withColumn("_rest", _without(F.when(cut, F.col(at["text"]).cast("string")), F.col("_cut")))
     rows = rows.where(~cut | F.col("_rest").rlike(r"[^\x20\x09-\x0D]"))
-    changed = F.col("row").withField("text", F.col("_rest"))
-    if "n_chars" in docs.columns:
-        changed = changed.withField("n_chars", F.char_length("_rest").cast(docs.schema["n_chars"].dataType))
-    return rows.select(F.when(cut, changed).otherwise(F.col("row")).alias("row")).select("row.*")
+    anew = {"text": F.col("_rest").cast(docs.schema["text"].dataType)}
+    if "n_chars" in at:
+        anew["n_chars"] = F.char_length("_rest").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[(F.when(cut, anew[name]).otherwise(F.col(c)) if name in anew else F.col(c)).alias(name) for name, c in at.items()])
