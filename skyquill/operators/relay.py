@@ -1,10 +1,11 @@
 """Sequential folds per source that may span any number of range partitions.
 
 Rows are range-partitioned by (source, arrival), so a source with very many
-rows covers several partitions of ordinary size. Partitions whose first source
-begins in them run at once; one that continues a source runs in a later round,
-from the state the partition before it ended in. A state is a short text, and
-rows that must be held over (a reorder buffer) go through a table in the
+rows covers several partitions of ordinary size. All sources run at once from
+the partition they begin in; only the rows of a source that goes on in the next
+partition wait for a later round, from the state the partition before ended in.
+There are as many rounds as partitions that one source covers. A state is a short
+text, and rows that must be held over (a reorder buffer) go through a table in the
 checkpoint folder, never through the driver.
 """
 
@@ -58,10 +59,11 @@ def relay(
         (tuple(r) for r in rows.groupBy(PART).agg(F.min_by(source, POS), F.max_by(source, POS)).collect()),
         key=lambda r: r[0])
     onward = {a[0]: b[0] for a, b in zip(edges, edges[1:]) if a[2] == b[1]}
-    depth = {part: 0 for part, _, _ in edges}
-    for part, _, _ in edges:
+    # the round of the first source of a partition; what begins in a partition waits for nothing
+    depth: dict[int, int] = {}
+    for part, first, last in edges:
         if part in onward:
-            depth[onward[part]] = depth[part] + 1
+            depth[onward[part]] = depth.get(part, 0) + 1 if first == last else 1
     lasts = {part: last for part, _, last in edges if part in onward}
     firsts = {part: first for part, first, _ in edges}
 
@@ -127,15 +129,19 @@ def relay(
 
     spark = df.sparkSession
     folder = f"{spark.sparkContext.getCheckpointDir()}/relay-{uuid4()}"
-    depths = spark.createDataFrame(list(depth.items()), f"{PART} int, relay_depth int")
-    data.join(F.broadcast(depths), PART).write.partitionBy("relay_depth").parquet(f"{folder}/rows")
-    states: dict[int, str] = {}
-    for level in range(max(depth.values()) + 1):
+    depths = spark.createDataFrame(
+        [(part, firsts[part], level) for part, level in depth.items()],
+        T.StructType([T.StructField("__p", T.IntegerType()), T.StructField("__first", df.schema[source].dataType), T.StructField("relay_depth", T.IntegerType())]))
+    continued = (F.col(PART) == F.col("__p")) & F.col(source).eqNullSafe(F.col("__first"))
+    # a broadcast leaves the rows in their partitions and order
+    begun = data.join(F.broadcast(depths), continued, "left_anti")
+    begun.mapInArrow(run({}), schema).write.parquet(f"{folder}/out/round=0")
+    data.join(F.broadcast(depths), continued).drop("__p", "__first").write.partitionBy("relay_depth").parquet(f"{folder}/rows")
+    for level in range(1, max(depth.values()) + 1):
         turn = spark.read.schema(data.schema).parquet(f"{folder}/rows/relay_depth={level}")
-        if level:
-            last = spark.read.schema(schema).parquet(f"{folder}/out/round={level - 1}")
-            states = {r[PART]: r["__state"] for r in last.filter(F.col("__kind") == _STATE).select(PART, "__state").collect()}
-            turn = turn.unionByName(last.filter(F.col("__kind") == _HELD).select(*names).withColumn(held_flag, F.lit(True)))
+        last = spark.read.schema(schema).parquet(f"{folder}/out/round={level - 1}")
+        states = {r[PART]: r["__state"] for r in last.filter(F.col("__kind") == _STATE).select(PART, "__state").collect()}
+        turn = turn.unionByName(last.filter(F.col("__kind") == _HELD).select(*names).withColumn(held_flag, F.lit(True)))
         placed = turn.repartition(PART).sortWithinPartitions(PART, source, F.desc(held_flag), *order)
         placed.mapInArrow(run(states), schema).write.parquet(f"{folder}/out/round={level}")
     done = spark.read.schema(schema).parquet(*[f"{folder}/out/round={i}" for i in range(max(depth.values()) + 1)])

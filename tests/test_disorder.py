@@ -221,3 +221,21 @@ def test_rows_without_times_are_set_aside(spark):
     keyed = df.withColumn("k", F.lit(1))
     assert {r["seq"] for r in disorder.adaptive_kslack(keyed, "ts", "gen", "k", ["seq"], 0.1).collect()} == {0, 2, 3}
     assert disorder.arrival_delay(df, "ts", ["seq"]).agg(F.max("delay")).first()[0] <= 13
+
+
+def test_sources_wait_only_for_their_own_partitions(spark):
+    """Every partition ends within a source; still one source is not waited for by the next."""
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    rng = np.random.default_rng(71)
+    rows = [(s, i, 1000 + 10 * i - int(rng.integers(0, 90)), i * 1000) for s in [None, *range(60)] for i in range(25)]
+    df = spark.createDataFrame(rows, "source int, id int, app long, gen long")
+    folder = Path(urlparse(df.limit(1).checkpoint().sparkSession.sparkContext.getCheckpointDir()).path)
+    before = set(folder.glob("relay-*"))
+    out = disorder.adaptive_reorder(df, "app", "gen", "source", ["gen", "id"], None).collect()
+    runs = set(folder.glob("relay-*")) - before
+    assert len(runs) == 1 and len(list((runs.pop() / "out").glob("round=*"))) == 2
+    for s in (None, 0, 17, 59):
+        mine = sorted((r["emit_seq"], r["id"], r["is_late"]) for r in out if r["source"] == s)
+        assert [(i, late) for _, i, late in mine] == [(i, late) for i, _, late in emit([r[2] for r in rows if r[0] == s])]
