@@ -133,3 +133,22 @@ def test_drained_streams_go_on_after_a_restart(spark, tmp_path):
     ends = sorted((r["batch"], r["lo"], r["hi"]) for r in numbered.groupBy("batch").agg(F.min("gen_us").alias("lo"), F.max("gen_us").alias("hi")).collect())
     assert len(ends) >= 4 and all(a[2] <= b[1] for a, b in zip(ends, ends[1:]))
     assert drained(replay_stream(spark, path, rows.schema), *places[0]).count() == rows.count()
+
+
+def test_slices_are_staged_by_few_jobs_and_keep_little_state(spark, tmp_path):
+    rows = stream_rows(spark, DATA).select("event_id", "gen_us")
+    path, sink, checkpoint = (str(tmp_path / n) for n in ("rows", "out", "ck"))
+    sc = spark.sparkContext
+    sc.setJobGroup("staging", "staging")
+    n = stage_replay(rows, path, ORDER, 20)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert n == -(-rows.count() // 20) and len(sc.statusTracker().getJobIdsForGroup("staging")) < 15 < n
+    files = sorted((tmp_path / "rows").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    spans = [spark.read.parquet(str(f)).agg(F.min("gen_us"), F.max("gen_us"), F.count("*")).first() for f in files[:5] + files[-2:]]
+    assert all(a[1] <= b[0] and a[2] == 20 for a, b in zip(spans, spans[1:]))
+    stream = replay_stream(spark, path, rows.schema, 30).withColumn("at", F.timestamp_micros("gen_us"))
+    days = disorder.watermark_baseline(stream, "at", "1 day").groupBy(F.window("at", "1 day")).agg(F.count("*").alias("n"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    assert drained(days, sink, checkpoint, state_partitions=1).count() > 0
+    assert [p.name for p in (tmp_path / "ck/state/0").iterdir() if p.name.isdigit()] == ["0"]
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
