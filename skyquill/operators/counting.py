@@ -60,7 +60,8 @@ def _ancestor(slab: Column, k: str, c: str) -> Callable[[Column], Column]:
 def _later(cells: DataFrame, asked: DataFrame, d: int, slabs: list[int]) -> DataFrame:
     """(__pid, n): rows of ``cells`` in later slabs than the point's in every dimension."""
     left, right, keys = cells, asked, []
-    for i in range(d - 1):
+    *noded, summed = sorted(range(d), key=lambda i: slabs[i])  # few slabs have few levels of nodes
+    for i in noded:
         levels = max(1, slabs[i].bit_length())
         k, c = f"__k{i}", f"__c{i}"
         nodes = F.transform(F.sequence(F.lit(0), F.lit(levels)), _ancestor(F.col(f"__s{i}"), k, c))
@@ -69,13 +70,14 @@ def _later(cells: DataFrame, asked: DataFrame, d: int, slabs: list[int]) -> Data
         siblings = F.transform(F.filter(nodes, lambda x: x[c].bitwiseAND(F.lit(1)) == 0), lambda x: F.struct(x[k].alias(k), (x[c] + 1).alias(c)))
         right = right.select("*", F.inline(siblings))
         keys += [k, c]
-    last = f"__s{d - 1}"
+    last = f"__s{summed}"
     key = [*keys, last]
     counted = left.groupBy(*key).agg(F.sum("__n").alias("__n")).unionByName(right.select(*key).distinct().withColumn("__n", F.lit(0).cast("long")))
     # a window holds two rows a slab number at most, however many rows and points there are
     above = Window.partitionBy(*keys).orderBy(F.col(last).desc()).rangeBetween(Window.unboundedPreceding, -1)
     sums = counted.groupBy(*key).agg(F.sum("__n").alias("__n")).withColumn("n", F.coalesce(F.sum("__n").over(above), F.lit(0))).filter("n > 0")
-    return right.join(sums.drop("__n"), key).groupBy("__pid").agg(F.sum("n").alias("n"))
+    # a point has many keys, which the size of its table does not tell: no side is broadcast
+    return right.hint("merge").join(sums.drop("__n"), key).groupBy("__pid").agg(F.sum("n").alias("n"))
 
 
 def _beside(rows: DataFrame, asked: DataFrame, names: list[str], slab_rows: int) -> DataFrame:
@@ -107,8 +109,10 @@ def _beside(rows: DataFrame, asked: DataFrame, names: list[str], slab_rows: int)
     slab = F.array(*[F.col(f"__s{i}") for i in range(d)])[F.col("__dim")].alias("__slab")
     left = rows.select(*columns, F.lit(None).cast("long").alias("__pid"), F.lit(False).alias("__point"), "__row", every).select("*", slab)
     right = asked.select(*columns, "__pid", F.lit(True).alias("__point"), F.col("__pid").alias("__row"), every).select("*", slab)
-    # both sides of a crowded slab are dealt over shares, so a task holds a bounded number of each
-    size = lambda df, name: df.groupBy("__dim", "__slab").agg(F.ceil(F.count("*") / (4 * slab_rows)).cast("int").alias(name))
+    # both sides of a crowded slab are dealt over shares, so a task holds a bounded number of each; equal values cannot be
+    # cut, so a slab may be far larger than asked for, and shares as small as slabs would copy its rows very often
+    share_rows = 4 * max(slab_rows, SLAB_ROWS)
+    size = lambda df, name: df.groupBy("__dim", "__slab").agg(F.ceil(F.count("*") / share_rows).cast("int").alias(name))
     shares = checkpointed(size(left, "__x").join(size(right, "__y"), ["__dim", "__slab"]))
     deal = lambda name: F.pmod(F.xxhash64("__row"), F.col(name)).cast("int")
     left, right = left.join(shares, ["__dim", "__slab"]), right.join(shares, ["__dim", "__slab"])
@@ -139,4 +143,4 @@ def dominance_counts(df: DataFrame, points: DataFrame, dims: Sequence[Dim | str]
         cells = rows.groupBy(*slabs).agg(F.count("*").alias("__n"))
         parts.append(_later(cells, placed.select("__pid", *slabs), d, [len(c) for c in cuts]))
     counts = reduce(DataFrame.unionByName, parts).groupBy("__pid").agg(F.sum("n").alias("__found"))
-    return asked.join(counts, "__pid", "left").select(point_id, F.coalesce("__found", F.lit(0)).cast("long").alias("n_beaten"))
+    return asked.hint("merge").join(counts, "__pid", "left").select(point_id, F.coalesce("__found", F.lit(0)).cast("long").alias("n_beaten"))

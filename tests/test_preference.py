@@ -232,3 +232,21 @@ def test_dominance_counts_of_other_directions_and_nothing(spark):
     assert ids(counting.dominance_counts(rows, points, ["a", high("b")], "pid"), "pid", "n_beaten") == [(1, 2), (2, 0), (4, 0)]
     assert ids(counting.dominance_counts(rows.limit(0), points, ["a", high("b")], "pid"), "pid", "n_beaten") == [(1, 0), (2, 0), (4, 0)]
     assert counting.dominance_counts(rows, points.limit(0), ["a", high("b")], "pid").count() == 0
+
+
+def test_crowded_slabs_copy_few_rows_and_broadcast_none(spark, monkeypatch):
+    """Values of one dimension are all equal, so its slab holds every row however few are asked for."""
+    rng = np.random.default_rng(37)
+    x = np.column_stack([rng.integers(0, 900, 3000), np.full(3000, 7), rng.integers(0, 900, 3000)]).astype(float)
+    x[:500, 1] = 8.0
+    stored, checkpointed = [], counting.checkpointed
+    monkeypatch.setattr(counting, "checkpointed", lambda df: stored.append(checkpointed(df)) or stored[-1])
+    dims = ["a", "b", "c"]
+    rows = spark.createDataFrame(pd.DataFrame(x, columns=dims).assign(pid=range(3000)))
+    got = counting.dominance_counts(rows, rows, dims, "pid", slab_rows=10)
+    want = [int(((x >= q).all(axis=1) & (x > q).any(axis=1)).sum()) for q in x]
+    assert [n for _, n in ids(got, "pid", "n_beaten")] == want
+    shares = [df for df in stored if "__x" in df.columns]
+    assert len(shares) == 1 and shares[0].agg(F.max("__x"), F.max("__y")).first()[:2] == (1, 1)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and ("__pid" in line or "__k0" in line)]
