@@ -160,6 +160,18 @@ def test_dominated_by_beyond_the_broadcast_bound(spark, monkeypatch):
     assert pairs == sum(((r <= p).all() and (r < p).any()) for p in x for r in q)
 
 
+def test_rows_are_copied_by_blocks_of_many_points(spark):
+    """How few points are broadcast says nothing about how often a row is copied."""
+    rows = spark.range(3000).selectExpr("id", "CAST(id % 70 AS double) AS a", "CAST(id % 90 AS double) AS b")
+    points = rows.filter("id % 20 = 0")
+    left, right = pref._theta_blocks(rows, points, 2)
+    assert left.count() + right.count() < 3 * 3000
+    pairs = pref.dominance_pairs(rows, points, ["a", "b"], broadcast_rows=2)
+    x = rows.toPandas()
+    q = x[x["id"] % 20 == 0]
+    assert pairs.count() == sum(int(((x.a >= p.a) & (x.b >= p.b) & ((x.a > p.a) | (x.b > p.b))).sum()) for p in q.itertuples())
+
+
 def test_maintenance_counts_removed_rows(spark):
     old = spark.createDataFrame([(1, 5.0, 5.0), (2, 1.0, 9.0)], "id int, a double, b double")
     batch = spark.createDataFrame([(3, 4.0, 4.0)], "id int, a double, b double")
