@@ -7,6 +7,8 @@ import pyarrow as pa
 
 _SMALL_GROUP = 96
 _TILE = 1 << 21
+#: Heads of a peeling round: rows compared one by one, rows kept as bits, and rows looked up at once.
+_NARROW, _WIDE, _LOOKUPS = 32, 1024, 8192
 
 
 def group_codes(table: pa.Table, keys: list[str]) -> np.ndarray:
@@ -80,11 +82,41 @@ def _score(x: np.ndarray) -> np.ndarray:
     return ((x - lowest) / span).sum(axis=1)
 
 
+def _beaten_by_head(ranks: np.ndarray, width: int) -> np.ndarray:
+    """Mask of the rows of distinct ``ranks`` that another row among the first ``width`` is <= everywhere.
+
+    A head row is a bit. In every dimension the bits of the head rows up to a rank are looked up, and what is left
+    after all dimensions are the rows that beat this one, so a comparison costs a bit of a word and not a byte a dimension.
+    """
+    n, d = ranks.shape
+    width = min(width, n)
+    places = np.arange(width)
+    upto, counts = [], []
+    for k in range(d):
+        head = ranks[:width, k]
+        order = np.argsort(head)
+        bits = np.zeros((width + 1, -(-width // 64)), dtype=np.uint64)
+        bits[places + 1, order >> 6] = np.left_shift(np.uint64(1), (order & 63).astype(np.uint64))
+        upto.append(np.bitwise_or.accumulate(bits, axis=0))
+        counts.append(np.cumsum(np.bincount(head, minlength=int(ranks[:, k].max()) + 1)))
+    hit = np.zeros(n, dtype=bool)
+    for start in range(0, n, _LOOKUPS):
+        rows = ranks[start:start + _LOOKUPS]
+        left = upto[0][counts[0][rows[:, 0]]]
+        for k in range(1, d):
+            left &= upto[k][counts[k][rows[:, k]]]
+        if start < width:  # a row does not beat itself
+            own = places[start:start + _LOOKUPS]
+            left[own - start, own >> 6] &= ~np.left_shift(np.uint64(1), (own & 63).astype(np.uint64))
+        hit[start:start + _LOOKUPS] = left.any(axis=1)
+    return hit
+
+
 def _peel(points: np.ndarray) -> np.ndarray:
     """Skyline positions of distinct points sorted so that dominators come first."""
     alive = np.arange(len(points))
     found, width = [], 8
-    while len(alive):
+    while len(alive) and width <= _NARROW:
         head = alive[:width]
         block = points[head]
         le = np.ones((len(head), len(head)), dtype=bool)
@@ -94,7 +126,13 @@ def _peel(points: np.ndarray) -> np.ndarray:
         found.append(best)
         rest = alive[width:]
         alive = rest[~dominated_by(points[rest], points[best], strict=False)]
-        width = min(width * 2, 256)
+        width *= 2
+    if len(alive):
+        ranks = np.column_stack([np.unique(x, return_inverse=True)[1] for x in points[alive].T]).astype(np.int32)
+    while len(alive):
+        hit = _beaten_by_head(ranks, _WIDE)
+        found.append(alive[:_WIDE][~hit[:_WIDE]])
+        alive, ranks = alive[_WIDE:][~hit[_WIDE:]], ranks[_WIDE:][~hit[_WIDE:]]
     return np.concatenate(found) if found else alive
 
 

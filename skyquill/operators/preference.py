@@ -1,8 +1,8 @@
 """Skylines, dominance factors and top-delta dominant skylines.
 
 Every query runs in the same three steps. Each input partition prunes its own
-rows without a shuffle. The survivors, far fewer than the input, are cut from
-their lineage and counted per group. A group within ``block_rows`` is finished
+rows without a shuffle, unless its buffers would keep most of them: then groups
+meet first. The survivors, far fewer than the input, are cut from their lineage and counted per group. A group within ``block_rows`` is finished
 by one task; a larger one is cut into blocks along a space-filling order, and a pair of blocks is one
 bounded task, unless the blocks' corners show that none of its rows can matter
 to the other's. No group is ever held whole however many rows survive.
@@ -45,11 +45,15 @@ from skyquill.runtime import (
 BLOCK_ROWS = 16_384
 #: Inputs smaller than this go to the local prune directly.
 PREFILTER_ROWS = 200_000
+#: Inputs smaller than this are always pruned before their groups meet.
+MEET_ROWS = 200_000
 #: Scans estimated below this are tried in one pass first.
 SMALL_BYTES = 64 << 20
 _PRUNE_BUFFER = 65_536
 _SHARE_ROWS, _SHARE_POINTS = 50_000, 20_000
 _MOST_PARTS = 5_000
+#: Share of a buffer expected to stay from which on pruning before the shuffle is not worth its time.
+_HARDLY = 0.25
 
 
 class PreferenceAggregate:
@@ -66,6 +70,8 @@ class PreferenceAggregate:
     score: str | None = None
     #: whether a row's score is raised by rows alone that are no worse in every dimension
     only_dominance = False
+    #: how many times ``block_rows`` survivors of a group one task may finish
+    alone = 1
 
     def prune(self, codes: np.ndarray, points: np.ndarray) -> np.ndarray:
         return skyline_rows(codes, points)
@@ -87,6 +93,7 @@ class Skyline(PreferenceAggregate):
     """Rows that no row of their group dominates."""
 
     only_dominance = True
+    alone = 4
 
     def against(self, victims, rivals):
         return dominated_by_tiles(victims, rivals).astype(np.int32)
@@ -149,15 +156,18 @@ def _pruner(keys: list[str], names: list[str], aggregate: PreferenceAggregate):
     return prune
 
 
-def _finisher(keys: list[str], names: list[str], aggregate: PreferenceAggregate):
+def _finisher(keys: list[str], names: list[str], aggregate: PreferenceAggregate, only_prune: bool = False):
     """For partitions sorted by the keys: finishes the groups that are complete
-    in the buffer and carries the survivors of the open one."""
+    in the buffer and carries the survivors of the open one. With ``only_prune``
+    groups are pruned, and survivors of an open one beyond the buffer passed on."""
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
 
         def finished(table: pa.Table, codes: np.ndarray) -> list[pa.RecordBatch]:
+            if only_prune:
+                return table.take(aggregate.prune(codes, matrix(table, names))).to_batches()
             keep, score = aggregate.finish(codes, matrix(table, names))
             out = table.take(keep)
             if score is not None:
@@ -178,6 +188,9 @@ def _finisher(keys: list[str], names: list[str], aggregate: PreferenceAggregate)
             tail = table.slice(cut)
             tail = tail.take(aggregate.prune(codes[cut:], matrix(tail, names)))
             held, rows = tail.to_batches(), tail.num_rows
+            if only_prune and rows >= _PRUNE_BUFFER:
+                yield from held
+                held, rows = [], 0
         if held:
             table = pa.Table.from_batches(held)
             yield from finished(table, group_codes(table, keys))
@@ -238,9 +251,52 @@ def _with_score(schema: T.StructType, aggregate: PreferenceAggregate) -> T.Struc
     return T.StructType(fields)
 
 
-def _finish_small(rows: DataFrame, keys: list[str], names: list[str], aggregate: PreferenceAggregate) -> DataFrame:
-    placed = rows.repartition(*keys).sortWithinPartitions(*keys) if keys else rows.repartition(1)
-    return placed.mapInArrow(_finisher(keys, names, aggregate), _with_score(rows.schema, aggregate))
+def _parts(df: DataFrame, count: int) -> int:
+    """Shuffle partitions for ``count`` rows of many groups: two buffers of rows each, or as many as the session has."""
+    return min(_MOST_PARTS, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // (2 * _PRUNE_BUFFER))))
+
+
+def _finish_small(
+    rows: DataFrame, keys: list[str], values: dict[str, Column], aggregate: PreferenceAggregate, count: int = 0,
+) -> DataFrame:
+    """Every group finished by one task; ``values`` are worked out behind the shuffle."""
+    names = list(values)
+    rows = rows.drop(*names)
+    if not keys:
+        placed = rows.repartition(1)
+    elif count >= PREFILTER_ROWS:  # the work of a group is not seen in its bytes
+        placed = rows.repartition(_parts(rows, count), *keys).sortWithinPartitions(*keys)
+    else:
+        placed = rows.repartition(*keys).sortWithinPartitions(*keys)
+    placed = placed.withColumns(values)
+    return placed.mapInArrow(_finisher(keys, names, aggregate), _with_score(placed.schema, aggregate))
+
+
+def _hardly_prunable(groups: int, n_dims: int) -> bool:
+    """Whether the rows that a buffer holds of each group would mostly stay, as independent dimensions let expect.
+
+    Of m rows in d dimensions s(m, d) are on the skyline: the sum of s(i, d - 1) / i for i up to m, with s(i, 1) = 1.
+    """
+    rows = np.arange(1, max(1, _PRUNE_BUFFER // max(1, groups)) + 1)
+    expected = np.ones(len(rows))
+    for _ in range(n_dims - 1):
+        expected = np.cumsum(expected / rows)
+    return expected[-1] > rows[-1] * _HARDLY
+
+
+def _met(
+    rows: DataFrame, keys: list[str], values: dict[str, Column], aggregate: PreferenceAggregate, sizes: DataFrame, count: int, most: int,
+) -> DataFrame:
+    """The groups brought together before any of their rows are pruned, in parts of about ``most`` rows if they are larger."""
+    large = checkpointed(sizes.filter(F.col("n") > most).select(
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.ceil(F.col("n") / most).alias("__parts")))
+    dealt = rows.withColumn("__rid", F.monotonically_increasing_id())
+    dealt = dealt.join(F.broadcast(large) if at_most(large, BROADCAST_ROWS) else large, same_keys(keys, "__k"), "left")
+    dealt = dealt.withColumn("__part", F.pmod(F.col("__rid"), F.coalesce("__parts", F.lit(1))).cast("int"))
+    dealt = dealt.select(*rows.columns, "__part")
+    by = [*keys, "__part"]
+    placed = dealt.repartition(_parts(rows, count), *by).sortWithinPartitions(*by).withColumns(values)
+    return placed.mapInArrow(_finisher(by, list(values), aggregate, only_prune=True), placed.schema).drop("__part")
 
 
 def _on(left: DataFrame, right: DataFrame, keys: list[str]):
@@ -328,50 +384,67 @@ def evaluate(
     compact_rows: int | None = None,
     small_bytes: int = SMALL_BYTES,
     prefilter_rows: int = PREFILTER_ROWS,
+    meet_rows: int = MEET_ROWS,
 ) -> DataFrame:
     """Run a preference aggregate per group of ``keys``.
 
     A plain scan of less than ``small_bytes`` whose groups fit a task is finished in one pass; in one of
     ``prefilter_rows`` rows or more, what a few strong rows dominate is dropped inside the scan. Both choose between
-    ways to the same result; 0 turns the first off and the second on for every size.
+    ways to the same result; 0 turns the first off and the second on for every size. A scan of ``meet_rows`` rows or more
+    with so many groups and dimensions that a buffer would keep most of its rows is shuffled first and pruned by whole groups.
 
     ``compact_rows`` says the input is already the small result of an earlier
     step, cheap to read twice and with at most that many rows, so the local
     prune and the checkpoint are skipped.
     """
-    return evaluate_bounded(df, dims, keys, aggregate, block_rows, compact_rows, small_bytes, prefilter_rows)[0]
+    return evaluate_bounded(df, dims, keys, aggregate, block_rows, compact_rows, small_bytes, prefilter_rows, meet_rows)[0]
 
 
 def evaluate_bounded(
     df: DataFrame, dims: Sequence[Dim | str], keys: Sequence[str] = (), aggregate: PreferenceAggregate | None = None,
     block_rows: int = BLOCK_ROWS, compact_rows: int | None = None, small_bytes: int = SMALL_BYTES,
-    prefilter_rows: int = PREFILTER_ROWS,
+    prefilter_rows: int = PREFILTER_ROWS, meet_rows: int = MEET_ROWS,
 ) -> tuple[DataFrame, int]:
     """As ``evaluate``, with an upper bound on the number of rows of the result."""
     dims, keys, aggregate = as_dims(dims), list(keys), aggregate or Skyline()
     names = _dim_names(dims)
+    values = {n: d.value() for n, d in zip(names, dims)}
     columns = df.columns
-    rows = df.filter(usable(dims)).withColumns({n: d.value() for n, d in zip(names, dims)})
+    rows = df.filter(usable(dims))
     output = columns + ([aggregate.score] if aggregate.score else [])
     bound = compact_rows
+    alone = block_rows * aggregate.alone
 
     def oversized(candidates: DataFrame) -> DataFrame:
         grouped = candidates.groupBy(*keys) if keys else candidates.groupBy()
-        return grouped.agg(F.count("*").alias("__rows")).filter(F.col("__rows") > block_rows)
-
-    if compact_rows is None and is_plain_scan(df) and (estimated_bytes(df) or small_bytes) < small_bytes:
-        # a small scan: when every raw group fits a task, one pass finishes it
-        sizes = (rows.groupBy(*keys) if keys else rows.groupBy()).agg(F.count("*").alias("n"))
-        seen = sizes.agg(F.max("n").alias("largest"), F.sum("n").alias("n")).first()
-        if (seen["largest"] or 0) <= block_rows:
-            return _finish_small(rows, keys, names, aggregate).select(*output), seen["n"] or 0
+        return grouped.agg(F.count("*").alias("__rows")).filter(F.col("__rows") > alone)
+
     if compact_rows is None:
-        if is_plain_scan(df):
-            rows = _prefiltered(rows, keys, names, prefilter_rows)
-        rows, bound = checkpointed_with_count(spread(rows).mapInArrow(_pruner(keys, names, aggregate), rows.schema))
+        plain = is_plain_scan(df)
+        small = plain and (estimated_bytes(df) or small_bytes) < small_bytes
+        met = False
+        if small or plain and keys:
+            # the rows without a place in the order are counted too, so that the dimensions need not be read
+            sizes = (df.groupBy(*keys) if keys else df.groupBy()).agg(F.count("*").alias("n"))
+            seen = sizes.agg(F.max("n").alias("largest"), F.sum("n").alias("n"), F.count("*").alias("groups")).first()
+            largest, n = seen["largest"] or 0, seen["n"] or 0
+            met = bool(keys) and n >= meet_rows and _hardly_prunable(seen["groups"], len(dims))
+            # a small scan, or one that is shuffled anyway: when every raw group fits a task, one pass finishes it
+            if small and largest <= block_rows or met and largest <= alone:
+                return _finish_small(rows, keys, values, aggregate, n).select(*output), n
+        if met:
+            rows = _met(rows, keys, values, aggregate, sizes, n, alone)
+        else:
+            rows = rows.withColumns(values)
+            if plain:
+                rows = _prefiltered(rows, keys, names, prefilter_rows)
+            rows = spread(rows).mapInArrow(_pruner(keys, names, aggregate), rows.schema)
+        rows, bound = checkpointed_with_count(rows)
+    else:
+        rows = rows.withColumns(values)
 
-    if bound <= block_rows or oversized(rows).isEmpty():
-        return _finish_small(rows, keys, names, aggregate).select(*output), bound
+    if bound <= alone or oversized(rows).isEmpty():
+        return _finish_small(rows, keys, values, aggregate, bound).select(*output), bound
 
     # merge step: blocks of one group meet in one task each and prune again
     rows = checkpointed(rows.withColumn("__rid", F.monotonically_increasing_id()))
@@ -381,7 +454,7 @@ def evaluate_bounded(
     rest = _without(rows, hot, keys)
     rows = checkpointed(merged.drop("__block").unionByName(rest))
     hot = checkpointed(oversized(rows))
-    small = _finish_small(_without(rows, hot, keys).drop("__rid"), keys, names, aggregate).select(*output)
+    small = _finish_small(_without(rows, hot, keys).drop("__rid"), keys, values, aggregate, bound).select(*output)
     if hot.isEmpty():
         return small, bound
     big = rows.join(hot.drop("__rows"), _on(rows, hot, keys), "left_semi") if keys else rows

@@ -20,7 +20,7 @@ from skyquill.operators.preference import (
     evaluate_bounded,
     top_delta,
 )
-from skyquill.runtime import checkpointed_with_count
+from skyquill.runtime import BROADCAST_ROWS, checkpointed_with_count
 
 
 @dataclass(frozen=True)
@@ -105,13 +105,18 @@ def complete_windows(rows: DataFrame, ts: str, windows: Windows, progress: int |
     ``progress``, the event time the input is known to be complete up to (the
     largest event time when the input is in order).
     """
+    sure, tail = _sure_and_late(rows, ts, windows, progress)
+    return rows.sparkSession.range(sure).select(F.col("id").alias("window_id")).unionByName(tail)
+
+
+def _sure_and_late(rows: DataFrame, ts: str, windows: Windows, progress: int | None) -> tuple[int, DataFrame]:
+    """The number of windows before the progress, all of them complete, and the complete ones that reach past it."""
     if progress is None:
         progress = rows.agg(F.max(micros(rows, ts))).first()[0]
         if progress is None:
-            return rows.sparkSession.range(0).select(F.col("id").alias("window_id"))
+            return 0, rows.sparkSession.range(0).select(F.col("id").alias("window_id"))
     closed = max(0, (progress - windows.origin) // windows.pane)
     sure = max(0, (closed - windows.per_window) // windows.per_slide + 1) if closed >= windows.per_window else 0
-    ids = rows.sparkSession.range(sure).select(F.col("id").alias("window_id"))
     # windows that reach past the progress need a row in each of their later panes
     late = with_pane(rows.select(ts), ts, windows).filter(F.col("pane_id") >= closed).select("pane_id").distinct()
     w = F.col("window_id")
@@ -121,7 +126,7 @@ def complete_windows(rows: DataFrame, ts: str, windows: Windows, progress: int |
         to_windows(late, windows).filter(w >= sure).groupBy("window_id").agg(F.count("*").alias("__have"))
         .filter(F.col("__have") == needed).select("window_id")
     )
-    return ids.unionByName(tail)
+    return sure, tail
 
 
 def pane_query(
@@ -134,7 +139,7 @@ def pane_query(
 
 def _window_rows(df, dims, ts, windows, keys, progress, block_rows) -> tuple[DataFrame, int]:
     """Rows of the pane skylines, copied to their complete windows, and a bound on their number."""
-    complete = complete_windows(df, ts, windows, progress)
+    sure, late = _sure_and_late(df, ts, windows, progress)
     panes, bound = evaluate_bounded(
         with_pane(df, ts, windows), dims, [*keys, "pane_id"], Skyline(), block_rows)
     copies = -(-windows.per_window // windows.per_slide)
@@ -142,7 +147,10 @@ def _window_rows(df, dims, ts, windows, keys, progress, block_rows) -> tuple[Dat
         panes, bound = checkpointed_with_count(panes)
     bound *= copies
     rows = to_windows(panes, windows).drop("pane_id")
-    return rows.join(complete, "window_id", "left_semi"), bound
+    # the windows before the progress need no list, so the copies are not shuffled to meet it
+    late, n_late = checkpointed_with_count(late.withColumn("__late", F.lit(True)))
+    rows = rows.join(F.broadcast(late) if n_late <= BROADCAST_ROWS else late, "window_id", "left")
+    return rows.filter((F.col("window_id") < sure) | F.col("__late")).drop("__late"), bound
 
 
 def window_skyline(

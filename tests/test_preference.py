@@ -224,6 +224,56 @@ def test_tiles_match_the_plain_kernel():
         assert (dominated_by_tiles(a, b, 64) == dominated_by(a, b, strict=True)).all()
 
 
+def test_wide_heads_match_the_plain_kernel():
+    rng = np.random.default_rng(29)
+    for n, d, most in ((3000, 8, 40), (2500, 6, 12), (1400, 2, 1 << 40), (1100, 1, 1 << 40)):
+        x = rng.integers(0, most, (n, d)).astype(float)
+        if d == 2:
+            x[:, 1] = -x[:, 0]  # nothing is dominated
+        x[rng.random((n, d)) < 0.02] = 0.0
+        x[rng.random((n, d)) < 0.02] = -0.0
+        x[rng.random((n, d)) < 0.01] = np.inf
+        x[rng.random((n, d)) < 0.01] = -np.inf
+        x[: n // 10] = x[n // 2:n // 2 + n // 10]  # equal rows
+        want = np.flatnonzero(~dominated_by(x, x, strict=True))
+        assert list(skyline_rows(np.zeros(n, dtype=int), x)) == list(want)
+
+
+def test_groups_meet_before_many_dimensions_are_pruned(spark, tmp_path):
+    class Whole(pref.Skyline):
+        def prune(self, codes, points):
+            raise AssertionError("rows of a group are pruned before they meet")
+
+    dims = [f"d{i}" for i in range(8)]
+    path = str(tmp_path / "rows")
+    spark.range(200_000).select("id", (F.col("id") % 400).alias("k"), *[
+        F.pmod(F.xxhash64("id", F.lit(d)), F.lit(500)).cast("double").alias(d) for d in dims]).write.parquet(path)
+    df = spark.read.parquet(path)
+    got = pref.evaluate(df, dims, ["k"], Whole(), small_bytes=0).select("id").toPandas()["id"]
+    data = df.toPandas()
+    assert sorted(got) == sorted(data["id"][skyline_rows(data["k"].to_numpy(), data[dims].to_numpy())])
+
+
+@pytest.mark.parametrize("block_rows", [4, 40, 16_384])
+def test_met_groups_of_every_size(spark, tmp_path, block_rows):
+    data = frame(np.random.default_rng(30), 1500, 6, 12)
+    data = pd.concat([data, data[:50].assign(id=range(2000, 2050))])  # equal rows
+    data.loc[data["id"] % 11 == 0, "d3"] = None
+    path = str(tmp_path / "rows")
+    rows = spark.createDataFrame(data).withColumn("k", F.when(F.col("k") != 1, F.col("k")))  # a null key is a group
+    rows.withColumn("d3", F.when(~F.isnan("d3"), F.col("d3"))).write.parquet(path)
+    df = spark.read.parquet(path)
+    dims = [f"d{i}" for i in range(6)]
+    how = {"small_bytes": 0, "meet_rows": 0, "block_rows": block_rows}
+    usable = data[data["d3"].notna()]
+    want = [brute(part, dims) for _, part in usable.groupby("k")]
+    got = ids(pref.skyline(df, dims, ["k"], **how), "id")
+    assert [i for i, in got] == sorted(i for part in want for i in part["id"])
+    factors = ids(pref.dominance_factor(df, dims, ["k"], **how), "id", "factor")
+    assert factors == sorted((i, f) for (_, part), kept in zip(usable.groupby("k"), want) for i, f in zip(
+        part["id"], brute_factor(part[dims].to_numpy(float))) if f < len(dims) and i in set(kept["id"]))
+
+
 @pytest.mark.parametrize("slab_rows, d", [(40, 3), (25, 2), (300, 4), (7, 1), (20_000, 3)])
 def test_dominance_counts_match_the_definition(spark, slab_rows, d):
     rng = np.random.default_rng(33 + d)

@@ -61,6 +61,22 @@ def test_sizes_do_not_depend_on_splitting(spark):
     assert want == sorted(brute)
 
 
+@pytest.mark.parametrize("progress", [None, 0, 1500, 2500, 9000])
+def test_windows_in_and_beyond_the_progress(spark, progress, monkeypatch):
+    rng = np.random.default_rng(10)
+    rows = [(i, int(t), float(a), float(b)) for i, (t, a, b) in enumerate(zip(
+        rng.integers(0, 3000, 300), rng.integers(0, 30, 300), rng.integers(0, 30, 300))) if not 900 <= t < 1100]
+    df = spark.createDataFrame(rows, "id long, t long, a double, b double")
+    w = Windows(500, 200)
+    complete = {r["window_id"] for r in win.complete_windows(df, "t", w, progress).collect()}
+    want = sorted((i, p[0]) for i in complete for p in rows if i * 200 <= p[1] < i * 200 + 500 and not any(
+        q[2] <= p[2] and q[3] <= p[3] and (q[2] < p[2] or q[3] < p[3]) for q in rows if i * 200 <= q[1] < i * 200 + 500))
+    for most in (20_000, 0):
+        monkeypatch.setattr(win, "BROADCAST_ROWS", most)
+        result = win.window_skyline(df, ["a", "b"], "t", w, progress=progress)
+        assert sorted((r["window_id"], r["id"]) for r in result.collect()) == want
+
+
 @pytest.mark.parametrize("how", ["none", "round_robin", "adaptive"])
 def test_pane_splits_lose_nothing(spark, how):
     df = spark.range(1000).withColumn("t", F.when(F.col("id") < 400, 5).otherwise(F.col("id")))
