@@ -2,8 +2,8 @@
 
 Every query runs in the same three steps. Each input partition prunes its own
 rows without a shuffle, unless its buffers would keep most of them: then groups
-meet first. The survivors, far fewer than the input, are cut from their lineage and counted per group. A group within ``block_rows`` is finished
-by one task; a larger one is cut into blocks along a space-filling order, and a pair of blocks is one
+meet first. The survivors, far fewer than the input, are cut from their
+lineage and counted per group. A group within ``block_rows`` is finished by one task; a larger one is cut into blocks along a space-filling order, and a pair of blocks is one
 bounded task, unless the blocks' corners show that none of its rows can matter
 to the other's. No group is ever held whole however many rows survive.
 """
@@ -264,10 +264,13 @@ def _finish_small(
     rows = rows.drop(*names)
     if not keys:
         placed = rows.repartition(1)
-    elif count >= PREFILTER_ROWS:  # the work of a group is not seen in its bytes
-        placed = rows.repartition(_parts(rows, count), *keys).sortWithinPartitions(*keys)
     else:
-        placed = rows.repartition(*keys).sortWithinPartitions(*keys)
+        # Spark leaves out a shuffle by the keys of a join below it, and a join that turns into a broadcast join
+        # while it runs no longer keeps those together; it does not leave out one by their hash
+        by = F.xxhash64(*keys)
+        # the work of a group is not seen in its bytes
+        placed = rows.repartition(_parts(rows, count), by) if count >= PREFILTER_ROWS else rows.repartition(by)
+        placed = placed.sortWithinPartitions(*keys)
     placed = placed.withColumns(values)
     return placed.mapInArrow(_finisher(keys, names, aggregate), _with_score(placed.schema, aggregate))
 

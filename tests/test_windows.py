@@ -77,6 +77,29 @@ def test_windows_in_and_beyond_the_progress(spark, progress, monkeypatch):
         assert sorted((r["window_id"], r["id"]) for r in result.collect()) == want
 
 
+@pytest.mark.parametrize("most", [20_000, 0])
+def test_windows_stay_whole_when_a_join_changes_while_running(spark, most, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = [(i, int(t), float(a), float(b)) for i, (t, a, b) in enumerate(zip(
+        rng.integers(0, 3000, 900), rng.integers(0, 30, 900), rng.integers(0, 30, 900)))]
+    df = spark.createDataFrame(rows, "id long, t long, a double, b double").repartition(8)
+    w = Windows(500, 200)
+    want = sorted((i, p[0]) for i in range(13) for p in rows if i * 200 <= p[1] < i * 200 + 500 and not any(
+        q[2] <= p[2] and q[3] <= p[3] and (q[2] < p[2] or q[3] < p[3]) for q in rows if i * 200 <= q[1] < i * 200 + 500))
+    monkeypatch.setattr(win, "BROADCAST_ROWS", most, raising=False)
+    # planned as a sort-merge join, run as a broadcast join that reads its shuffle locally
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
+                "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        result = win.window_skyline(df, ["a", "b"], "t", w).collect()
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    assert sorted((r["window_id"], r["id"]) for r in result) == want
+
+
 @pytest.mark.parametrize("how", ["none", "round_robin", "adaptive"])
 def test_pane_splits_lose_nothing(spark, how):
     df = spark.range(1000).withColumn("t", F.when(F.col("id") < 400, 5).otherwise(F.col("id")))
