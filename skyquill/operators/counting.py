@@ -6,6 +6,9 @@ slabs are counted dimension after dimension, each but the last by the dyadic nod
 node a level, "all later slabs" is one node a level at most), the last by a running sum. Or some dimension is the
 first in which both share a slab: then they meet in that slab, which holds a bounded number of rows, and are compared.
 With n rows and slabs of b rows that is b comparisons a point and dimension, and log(n / b) keys a cell and dimension.
+
+A dimension with no more different values than slabs has a slab for each value, however many rows that holds. There the
+number of the slab tells all, so nothing is compared for sharing one: the row's own value counts as later.
 """
 
 from __future__ import annotations
@@ -28,14 +31,25 @@ _MOST_SLABS = 4096
 _TILE = 1 << 22
 
 
-def _cut_points(rows: DataFrame, names: list[str], slab_rows: int) -> tuple[list[list[float]], int]:
+def _cut_points(rows: DataFrame, names: list[str], slab_rows: int) -> tuple[list[list[float]], list[int]]:
+    """Upper edges of the slabs of every dimension, and the dimensions that are cut at quantiles, not at every value."""
     n = rows.count()
     slabs = max(1, min(_MOST_SLABS, -(-n // slab_rows)))
+    every = list(range(len(names)))
     if slabs == 1:
-        return [[] for _ in names], n
+        return [[] for _ in names], every
     shares = [i / slabs for i in range(1, slabs)]
-    found = rows.agg(*[F.percentile_approx(c, shares, max(10_000, 4 * slabs)).alias(c) for c in names]).first()
-    return [sorted(set(found[c])) for c in names], n
+    found = rows.agg(*[F.percentile_approx(c, shares, max(10_000, 4 * slabs)).alias(c) for c in names],
+                     *[F.approx_count_distinct(c).alias(f"{c}n") for c in names]).first()
+    cuts = [sorted(set(found[c])) for c in names]
+    wide = []
+    for i, c in enumerate(names):
+        values = rows.select(c).distinct().limit(slabs + 1).collect() if found[f"{c}n"] <= 2 * slabs else []
+        if 0 < len(values) <= slabs:
+            cuts[i] = sorted(r[0] for r in values)
+        else:
+            wide.append(i)
+    return cuts, wide
 
 
 def _with_slabs(df: DataFrame, names: list[str], cuts: list[list[float]]) -> DataFrame:
@@ -80,8 +94,8 @@ def _later(cells: DataFrame, asked: DataFrame, d: int, slabs: list[int]) -> Data
     return right.hint("merge").join(sums.drop("__n"), key).groupBy("__pid").agg(F.sum("n").alias("n"))
 
 
-def _beside(rows: DataFrame, asked: DataFrame, names: list[str], slab_rows: int) -> DataFrame:
-    """(__pid, n): rows dominated that share the point's slab in some dimension, counted in the first such."""
+def _beside(rows: DataFrame, asked: DataFrame, names: list[str], wide: list[int], slab_rows: int) -> DataFrame:
+    """(__pid, n): rows dominated that share the point's slab in some dimension of ``wide``, counted in the first such."""
     d = len(names)
     columns = [*names, *[f"__s{i}" for i in range(d)]]
 
@@ -95,7 +109,7 @@ def _beside(rows: DataFrame, asked: DataFrame, names: list[str], slab_rows: int)
         for s in range(0, len(p), max(1, _TILE // max(1, len(x)))):
             e = s + max(1, _TILE // max(1, len(x)))
             meets = np.ones((len(p[s:e]), len(x)), bool)
-            for j in range(first):
+            for j in wide[:wide.index(first)]:
                 meets &= xs[None, :, j] > ps[s:e, None, j]
             worse = np.zeros_like(meets)
             for j in range(d):
@@ -105,7 +119,7 @@ def _beside(rows: DataFrame, asked: DataFrame, names: list[str], slab_rows: int)
         ids = pa.array(table.column("__pid").to_numpy(zero_copy_only=False)[point].astype(np.int64))
         return pa.table({"__pid": ids, "n": pa.array(counts)})
 
-    every = F.explode(F.sequence(F.lit(0), F.lit(d - 1))).alias("__dim")
+    every = F.explode(F.array(*[F.lit(i) for i in wide])).alias("__dim")
     slab = F.array(*[F.col(f"__s{i}") for i in range(d)])[F.col("__dim")].alias("__slab")
     left = rows.select(*columns, F.lit(None).cast("long").alias("__pid"), F.lit(False).alias("__point"), "__row", every).select("*", slab)
     right = asked.select(*columns, "__pid", F.lit(True).alias("__point"), F.col("__pid").alias("__row"), every).select("*", slab)
@@ -135,12 +149,17 @@ def dominance_counts(df: DataFrame, points: DataFrame, dims: Sequence[Dim | str]
     rows = checkpointed(df.filter(usable(dims)).select(*[c.alias(n) for n, c in values.items()], F.monotonically_increasing_id().alias("__row")))
     asked = checkpointed(points.filter(usable(dims)).select(point_id, *[c.alias(n) for n, c in values.items()])
                          .withColumn("__pid", F.monotonically_increasing_id()))
-    cuts, n = _cut_points(rows, names, slab_rows)
+    cuts, wide = _cut_points(rows, names, slab_rows)
     rows, placed = checkpointed(_with_slabs(rows, names, cuts)), checkpointed(_with_slabs(asked.drop(point_id), names, cuts))
     slabs = [f"__s{i}" for i in range(d)]
-    parts = [_beside(rows, placed, names, slab_rows)]
+    parts = [_beside(rows, placed, names, wide, slab_rows)] if wide else []
     if all(cuts):  # else no row is in a later slab in every dimension
-        cells = rows.groupBy(*slabs).agg(F.count("*").alias("__n"))
+        # where a slab is one value, a row of the point's own slab is no better than the point: it counts as one slab later
+        shifted = [F.col(s) if i in wide else (F.col(s) + 1).alias(s) for i, s in enumerate(slabs)]
+        cells = rows.groupBy(*slabs).agg(F.count("*").alias("__n")).select(*shifted, "__n")
         parts.append(_later(cells, placed.select("__pid", *slabs), d, [len(c) for c in cuts]))
+    if not wide:  # rows equal to the point are not dominated
+        equal = rows.groupBy(*names).agg((-F.count("*")).alias("n"))
+        parts.append(placed.hint("merge").join(equal, names).select("__pid", "n"))
     counts = reduce(DataFrame.unionByName, parts).groupBy("__pid").agg(F.sum("n").alias("__found"))
     return asked.hint("merge").join(counts, "__pid", "left").select(point_id, F.coalesce("__found", F.lit(0)).cast("long").alias("n_beaten"))

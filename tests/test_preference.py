@@ -312,3 +312,22 @@ def test_crowded_slabs_copy_few_rows_and_broadcast_none(spark, monkeypatch):
     assert len(shares) == 1 and shares[0].agg(F.max("__x"), F.max("__y")).first()[:2] == (1, 1)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and ("__pid" in line or "__k0" in line)]
+
+
+@pytest.mark.parametrize("sides, compared", [((5, 7, 900), {2}), ((5, 7, 6), set()), ((6,), set()), ((900, 3), {0})])
+def test_slabs_of_one_value_compare_nothing(spark, monkeypatch, sides, compared):
+    """Rows that share a value with a point are counted by the number of their slab; only slabs of many values are compared."""
+    rng = np.random.default_rng(38)
+    x = np.column_stack([rng.integers(0, n, 2000) for n in sides]).astype(float)
+    p = np.column_stack([rng.integers(-2, n + 2, 300) / 2 for n in sides])  # between, below and above the rows' values too
+    p[:100] = x[:100]
+    p[0], x[x == 0] = np.inf, -0.0
+    stored, checkpointed = [], counting.checkpointed
+    monkeypatch.setattr(counting, "checkpointed", lambda df: stored.append(checkpointed(df)) or stored[-1])
+    dims = [f"d{i}" for i in range(len(sides))]
+    rows = spark.createDataFrame(pd.DataFrame(x, columns=dims)).repartition(3)
+    points = spark.createDataFrame(pd.DataFrame(p, columns=dims).assign(pid=range(300)))
+    got = counting.dominance_counts(rows, points, dims, "pid", slab_rows=40)
+    want = [int(((x >= q).all(axis=1) & (x > q).any(axis=1)).sum()) for q in p]
+    assert [n for _, n in ids(got, "pid", "n_beaten")] == want
+    assert {r["__dim"] for df in stored if "__x" in df.columns for r in df.collect()} == compared
