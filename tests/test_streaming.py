@@ -9,6 +9,7 @@ from skyquill.operators.preference import skyline
 from skyquill.operators.windows import Windows, window_skyline, window_sizes, complete_windows
 from skyquill.plans.tables import HOUR, ORIGIN, stream_rows
 from skyquill.sources.tuples import ingest, replay_stream, stage_replay
+from skyquill.streaming import drain
 from skyquill.streaming.drain import drained, drained_by_batch
 from skyquill.streaming.slack import kslack_stream, reorder_stream
 from skyquill.streaming.windows import FeedbackSplit, SkylineView, WindowSkylineSink
@@ -152,3 +153,25 @@ def test_slices_are_staged_by_few_jobs_and_keep_little_state(spark, tmp_path):
     assert drained(days, sink, checkpoint, state_partitions=1).count() > 0
     assert [p.name for p in (tmp_path / "ck/state/0").iterdir() if p.name.isdigit()] == ["0"]
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_local_logs_start_no_processes(spark, staged, tmp_path):
+    """While a stream drains into a local folder its logs are written by the file system; a way of one's own is kept."""
+    rows, path = staged
+    name, before = drain._MANAGER, spark.conf.get(drain._MANAGER, None)
+    used = []
+
+    def look(batch, number):
+        used.append(batch.sparkSession.conf.get(name, None))
+
+    for own in (None, "org.apache.spark.sql.execution.streaming.checkpointing.FileContextBasedCheckpointFileManager"):
+        if own:
+            spark.conf.set(name, own)
+        try:
+            stream = replay_stream(spark, path, rows.schema, files_per_trigger=1000)
+            drain._run(spark, stream.writeStream.foreachBatch(look), str(tmp_path / f"ck{own}"))
+            assert used.pop() == (own or drain._BY_FILE_SYSTEM) and not used
+            assert spark.conf.get(name, None) == (own or before)
+        finally:
+            if own:
+                spark.conf.unset(name)
